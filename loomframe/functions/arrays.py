@@ -66,9 +66,7 @@ def unit_from_int(px, top: int = 255) -> Column:
 def int_from_unit(v, top: int = 255) -> Column:
     return F.transform(
         _c(v),
-        lambda x: F.bround(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) * float(top), 0).cast(
-            "int"
-        ),
+        lambda x: F.rint(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) * float(top)).cast("int"),
     )
 
 
@@ -262,9 +260,9 @@ def quantise_levels(v, levels: int) -> Column:
     """[0, 1] values to level numbers, halves to even."""
     return F.transform(
         _c(v),
-        lambda x: F.bround(
-            F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) * float(levels), 0
-        ).cast("int"),
+        lambda x: F.rint(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) * float(levels)).cast(
+            "int"
+        ),
     )
 
 
@@ -432,7 +430,7 @@ def gray_value(r, g, b) -> Column:
 
 def as_byte(v) -> Column:
     """Round half to even and store in 8 bits (out-of-range values wrap)."""
-    return F.pmod(F.bround(_c(v), 0), F.lit(256.0)).cast("int")
+    return F.pmod(F.rint(_c(v)), F.lit(256.0)).cast("int")
 
 
 def coordinate_map(height: int, width: int) -> Column:

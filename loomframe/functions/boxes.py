@@ -120,8 +120,8 @@ def sections(tokens: int) -> int:
 def point_token(x, y, tokens: int) -> Column:
     """Grid cell number of a point; halves round to even."""
     side = sections(tokens)
-    column = F.bround(_c(x) * (side - 1), 0).cast("int")
-    row = F.bround(_c(y) * (side - 1), 0).cast("int")
+    column = F.rint(_c(x) * (side - 1)).cast("int")
+    row = F.rint(_c(y) * (side - 1)).cast("int")
     return row * side + column
 
 

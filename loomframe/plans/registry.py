@@ -40,6 +40,17 @@ class Tables:
         return self.spark.read.parquet(self.path(name))
 
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """A table for compute-heavy row work.
+
+        A file with fewer splits than cores is spread by key first; larger tables
+        already have a task per split and are left alone.
+        """
+        df = getattr(self, name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def rounded(column, digits: int = 6) -> Column:
     """Rounded double without negative zero, for comparison across engines."""
     column = F.col(column) if isinstance(column, str) else column

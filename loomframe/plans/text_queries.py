@@ -52,7 +52,7 @@ A_TAGS, B_TAGS = _tag_sql(A, B, "a"), _tag_sql(B, A, "b")
 )
 def tag_split(t):
     a, b = text.split_tags("keywords", A, B)
-    cut = views.tagged_docs(t).select("doc_id", a.alias("a"), b.alias("b"))
+    cut = views.tagged_docs(t, spread=True).select("doc_id", a.alias("a"), b.alias("b"))
     return cut.select(
         "doc_id",
         F.size("a").cast("long").alias("n_a"),
@@ -103,7 +103,7 @@ def remark_split_legacy(t):
 )
 def tag_join_valid(t):
     a, b = text.split_tags("keywords", A, B)
-    cut = views.tagged_docs(t).select("doc_id", a.alias("a"), b.alias("b"))
+    cut = views.tagged_docs(t, spread=True).select("doc_id", a.alias("a"), b.alias("b"))
     a_text = text.join_tags("a", " ")
     return cut.select(
         "doc_id",
@@ -124,7 +124,7 @@ def tag_join_valid(t):
 def topic_rule(t):
     tags = F.split(F.lower("keywords"), ",", -1)
     rule = filters.on_topic(tags, ["the", "die", "que", "le"], "sch", "schen", ["under"])
-    return views.tagged_docs(t).filter(rule).select("doc_id", "source")
+    return views.tagged_docs(t, spread=True).filter(rule).select("doc_id", "source")
 
 
 @query(
@@ -179,9 +179,9 @@ def sequential_names(t):
 _UNESCAPED = "html"
 for _entity, _char in (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", "\xa0"),
-    ("&amp;", "&"),
+    ("&copy;", "©"), ("&middot;", "·"), ("&amp;?", "&"),
 ) * 2:
-    _UNESCAPED = f"replace({_UNESCAPED}, '{_entity}', '{_char}')"
+    _UNESCAPED = f"regexp_replace({_UNESCAPED}, '{_entity}', '{_char}', 'g')"
 
 
 @query(
@@ -190,7 +190,7 @@ for _entity, _char in (
     from pages""",
 )
 def clean_text(t):
-    return t.pages.select("page_id", text.clean("html").alias("clean"))
+    return t.spread("pages", "page_id").select("page_id", text.clean("html").alias("clean"))
 
 
 _WORD_SQL = text.WORD.replace("'", "''")
@@ -237,7 +237,7 @@ def pad_truncate(t):
 @query("bpe_encode")
 def bpe_encode(t):
     """Byte-pair codes of whole documents, and the text they decode to."""
-    docs = t.documents.select("doc_id", "text")
+    docs = t.spread("documents", "doc_id").select("doc_id", "text")
     merges = learned_merges(docs, "text", 200)
     encoded = encode_table(docs, "doc_id", "text", merges)
     return encoded.select(
@@ -377,7 +377,7 @@ def file_name_rules(t):
 def project_valid_rows(t):
     """Rows with text, one dropped label, and the requested columns only."""
     a, _ = text.split_tags("keywords", A, B)
-    cut = views.tagged_docs(t).filter(F.col("lang") != "de").select(
+    cut = views.tagged_docs(t, spread=True).filter(F.col("lang") != "de").select(
         "doc_id", text.join_tags(a, " ").alias("text_a")
     )
     valid = cut.filter(filters.has_text("text_a")).filter(text.validity("text_a") == 1)

@@ -15,8 +15,9 @@ B = "A-Za-z"
 WS = r"\t-\r\x1c-\x20\x85\p{Z}"
 
 
-def tagged_docs(t: Tables) -> DataFrame:
-    return t.documents.select(
+def tagged_docs(t: Tables, spread: bool = False) -> DataFrame:
+    docs = t.spread("documents", "doc_id") if spread else t.documents
+    return docs.select(
         "doc_id", "lang", "source", F.col("text").alias("remark"),
         F.replace("text", F.lit(" "), F.lit(",")).alias("keywords"),
     )
@@ -144,7 +145,7 @@ PREDICTIONS = """predictions as (
 
 def images8(t: Tables) -> DataFrame:
     byte = lambda v: F.least(
-        F.lit(255.0), F.greatest(F.lit(0.0), F.bround((v.cast("double") + 0.5) * 255.0, 0))
+        F.lit(255.0), F.greatest(F.lit(0.0), F.rint((v.cast("double") + 0.5) * 255.0))
     ).cast("int")
     return t.embeddings.select(
         F.col("vec_id").alias("image_id"), F.lit(8).alias("h"), F.lit(8).alias("w"),
