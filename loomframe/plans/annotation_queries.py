@@ -210,8 +210,8 @@ def center_crop_boxes(t):
     r as (select *, greatest(least((x - cx) / cw, 1.0::double), 0.0::double) rx,
         greatest(least((y - cy) / ch, 1.0::double), 0.0::double) ry from o where overlap > 0),
     s as (select *, least(w / cw, 1 - rx) rw, least(h / ch, 1 - ry) rh from r)
-    select ann_id, round(overlap, 9) as overlap, round(1 - (rx + rw), 9) as x, round(ry, 9) as y,
-           round(rw, 9) as w, round(rh, 9) as h, round(1 - (x + w), 9) as flipped_x
+    select ann_id, overlap, round(1 - (rx + rw), 12) as x, round(ry, 12) as y,
+           round(rw, 12) as w, round(rh, 12) as h, round(1 - (x + w), 12) as flipped_x
     from s""",
 )
 def crop_overlap(t):
@@ -226,8 +226,8 @@ def crop_overlap(t):
         "ann_id", "overlap", inner.alias("inner"), boxes.flipped(F.col("box")).alias("mirror")
     )
     return moved.select(
-        "ann_id", rounded("overlap", 9).alias("overlap"), *_fields(F.col("inner")),
-        rounded("mirror.x", 9).alias("flipped_x"),
+        "ann_id", "overlap", *_fields(F.col("inner"), 12),
+        rounded("mirror.x", 12).alias("flipped_x"),
     )
 
 
@@ -461,9 +461,9 @@ m as (select *, dist >= 128 * 0.05::double as ok, (1 - 2 * 0.37::double) * 128 /
       round(28.0::double - 72.0::double / (box[3] - box[1]) * box[1], 6) as shift_x,
       round(67.0::double / (box[4] - box[2]), 6) as scale_y,
       round(48.0::double - 67.0::double / (box[4] - box[2]) * box[2], 6) as shift_y,
-      case when ok then round(a, 6) end as eye_a, case when ok then round(b, 6) end as eye_b,
-      case when ok then round((1 - a) * mx - b * my + (64.0 - mx), 6) end as eye_x,
-      case when ok then round(b * mx + (1 - a) * my + (128 * 0.45::double - my), 6) end as eye_y
+      case when ok then round(a, 6) + 0.0 end as eye_a, case when ok then round(b, 6) + 0.0 end as eye_b,
+      case when ok then round((1 - a) * mx - b * my + (64.0 - mx), 6) + 0.0 end as eye_x,
+      case when ok then round(b * mx + (1 - a) * my + (128 * 0.45::double - my), 6) + 0.0 end as eye_y
     from m where box[3] > box[1] and box[4] > box[2]""",
 )
 def landmark_align(t):

@@ -61,8 +61,7 @@ def compare(spark, con, name: str, build, sql: str, sf_dir: str) -> tuple[bool,
         note += f", types { {k: (mine[k], types[k]) for k in mine if mine[k] != types[k]} }"
     if got[1] == want[1]:
         return True, note
-    only = [r for r in got[1] if r not in set(want[1])][:2]
-    other = [r for r in want[1] if r not in set(got[1])][:2]
+    only, other = list(set(got[1]) - set(want[1]))[:2], list(set(want[1]) - set(got[1]))[:2]
     cut = lambda rows: [tuple(x[:150] for x in r) for r in rows]
     return False, f"{note} vs {len(want[1])}\n   spark {cut(only)}\n   sql   {cut(other)}"
 
