@@ -18,6 +18,15 @@ def _c(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def bind(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` computed once per row.
+
+    A column expression used inside a lambda is otherwise computed again for
+    every element, which makes row statistics quadratic in the array length.
+    """
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def doubles(v) -> Column:
     return _c(v).cast("array<double>")
 
@@ -73,8 +82,15 @@ def int_from_unit(v, top: int = 255) -> Column:
 def min_max(v, eps: float = 1e-12, signed: bool = False) -> Column:
     v = _c(v)
     low, high = F.array_min(v), F.array_max(v)
-    unit = F.transform(v, lambda x: (x - low) / (high - low + F.lit(eps)))
-    return F.transform(unit, lambda x: x * 2.0 - 1.0) if signed else unit
+
+    def scale(r: Column) -> Column:
+        width = r["high"] - r["low"] + F.lit(eps)
+        return F.transform(
+            r["v"],
+            lambda x: (x - r["low"]) / width * 2.0 - 1.0 if signed else (x - r["low"]) / width,
+        )
+
+    return bind(F.struct(v.alias("v"), low.alias("low"), high.alias("high")), scale)
 
 
 def channel_scale(v, means: Sequence[float], stds: Sequence[float]) -> Column:
@@ -85,18 +101,25 @@ def channel_scale(v, means: Sequence[float], stds: Sequence[float]) -> Column:
 
 def quantile_clip(v, q: float, floor: float = 1.0) -> Column:
     """Clip to the q-quantile of absolute values (at least ``floor``) and divide."""
-    s = F.greatest(abs_quantile(v, q), F.lit(float(floor)))
-    return F.transform(_c(v), lambda x: F.greatest(F.least(x, s), -s) / s)
+    limit = F.greatest(abs_quantile(v, q), F.lit(float(floor)))
+    return bind(
+        F.struct(_c(v).alias("v"), limit.alias("s")),
+        lambda r: F.transform(
+            r["v"], lambda x: F.greatest(F.least(x, r["s"]), -r["s"]) / r["s"]
+        ),
+    )
 
 
 def abs_quantile(v, q: float) -> Column:
     """Linearly interpolated quantile of the absolute values."""
-    ordered = F.sort_array(F.transform(_c(v), F.abs))
-    at = (F.size(ordered) - 1) * F.lit(float(q))
-    low = F.floor(at).cast("int")
-    high = F.ceil(at).cast("int")
-    a, b = F.get(ordered, low), F.get(ordered, high)
-    return a + (b - a) * (at - low)
+    def pick(ordered: Column) -> Column:
+        at = (F.size(ordered) - 1) * F.lit(float(q))
+        low = F.floor(at)
+        a = F.get(ordered, low.cast("int"))
+        b = F.get(ordered, F.ceil(at).cast("int"))
+        return a + (b - a) * (at - low)
+
+    return bind(F.sort_array(F.transform(_c(v), F.abs)), pick)
 
 
 # --- binary interchange ------------------------------------------------------
@@ -193,8 +216,7 @@ def inverse_permutation(order: Sequence[int]) -> list[int]:
 
 
 def reorder(v, order: Sequence[int]) -> Column:
-    v = _c(v)
-    return F.transform(F.lit(list(order)), lambda i: F.get(v, i))
+    return bind(_c(v), lambda a: F.transform(F.lit(list(order)), lambda i: F.get(a, i)))
 
 
 def morton_number(i: int, j: int) -> int:
@@ -272,12 +294,11 @@ def level_values(v, levels: int) -> Column:
 
 def block_mean(v, height: int, width: int, factor: int) -> Column:
     """Area pooling of a raster by an integer factor."""
-    v = _c(v)
     out_w = width // factor
     cells = F.sequence(F.lit(0), F.lit((height // factor) * out_w - 1))
     inner = F.sequence(F.lit(0), F.lit(factor * factor - 1))
 
-    def one(k: Column) -> Column:
+    def one(v: Column, k: Column) -> Column:
         top, left = F.floor(k / out_w) * factor, (k % out_w) * factor
         picked = F.transform(
             inner,
@@ -287,7 +308,7 @@ def block_mean(v, height: int, width: int, factor: int) -> Column:
         )
         return mean(picked)
 
-    return F.transform(cells, one)
+    return bind(_c(v), lambda a: F.transform(cells, lambda k: one(a, k)))
 
 
 def strided_tokens(v, height: int, width: int, channels: int, stride: int) -> Column:
@@ -296,12 +317,11 @@ def strided_tokens(v, height: int, width: int, channels: int, stride: int) -> Co
     A token gathers pixels a whole sub-grid apart (the split puts the stride on
     the outer index), features ordered by (row step, column step, channel).
     """
-    v = _c(v)
     h, w = height // stride, width // stride
     tokens = F.sequence(F.lit(0), F.lit(h * w - 1))
     feats = F.sequence(F.lit(0), F.lit(stride * stride * channels - 1))
 
-    def one(t: Column) -> Column:
+    def one(v: Column, t: Column) -> Column:
         i, j = F.floor(t / w), t % w
         return F.transform(
             feats,
@@ -319,7 +339,7 @@ def strided_tokens(v, height: int, width: int, channels: int, stride: int) -> Co
             ),
         )
 
-    return F.transform(tokens, one)
+    return bind(_c(v), lambda a: F.transform(tokens, lambda t: one(a, t)))
 
 
 # --- logits and token noise --------------------------------------------------
@@ -330,16 +350,26 @@ def top_k_logits(v, k: int, temperature: float = 1.0) -> Column:
     v = _c(v)
     scaled = F.transform(v, lambda x: x / F.lit(float(temperature)))
     cut = F.get(F.sort_array(scaled, False), F.lit(k - 1))
-    return F.transform(scaled, lambda x: F.when(x >= cut, x))
+    return bind(
+        F.struct(scaled.alias("v"), cut.alias("cut")),
+        lambda r: F.transform(r["v"], lambda x: F.when(x >= r["cut"], x)),
+    )
 
 
 def softmax(v) -> Column:
     """Softmax in which null entries get probability zero."""
     v = _c(v)
-    top = F.array_max(v)
-    exps = F.transform(v, lambda x: F.coalesce(F.exp(x - top), F.lit(0.0)))
-    norm = total(exps)
-    return F.transform(exps, lambda e: e / norm)
+    exps = bind(
+        F.struct(v.alias("v"), F.array_max(v).alias("top")),
+        lambda r: F.transform(r["v"], lambda x: F.coalesce(F.exp(x - r["top"]), F.lit(0.0))),
+    )
+    return bind(
+        exps,
+        lambda e: bind(
+            F.struct(e.alias("e"), total(e).alias("sum")),
+            lambda r: F.transform(r["e"], lambda x: x / r["sum"]),
+        ),
+    )
 
 
 def keep_tokens(v, key, keep: float, vocabulary: int, seed: int) -> Column:
@@ -374,7 +404,10 @@ def dot(a, b) -> Column:
 def l2_normalised(v, eps: float = 0.0) -> Column:
     v = _c(v)
     norm = F.sqrt(dot(v, v)) + F.lit(float(eps))
-    return F.transform(v, lambda x: x / norm)
+    return bind(
+        F.struct(v.alias("v"), norm.alias("norm")),
+        lambda r: F.transform(r["v"], lambda x: x / r["norm"]),
+    )
 
 
 def sinusoid(position, dim: int, max_period: float = 10000.0) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loomframe.functions import seeded
+from loomframe.functions.arrays import bind
 
 
 def _c(value) -> Column:
@@ -236,8 +237,11 @@ def sequence_objects(sequence, spec: SequenceSpec) -> Column:
     """Inverse of :func:`object_sequence`: the objects without padding."""
     sequence = _c(sequence)
     starts = F.sequence(F.lit(0), F.lit(spec.max_objects - 1))
-    groups = F.transform(
-        starts, lambda i: F.slice(sequence, i * spec.per_object + 1, spec.per_object)
+    groups = bind(
+        sequence,
+        lambda a: F.transform(
+            starts, lambda i: F.slice(a, i * spec.per_object + 1, spec.per_object)
+        ),
     )
     kept = F.filter(groups, lambda g: g[0] != spec.none)
 

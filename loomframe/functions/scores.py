@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomframe.functions.arrays import mean, total
+from loomframe.functions.arrays import bind, mean, total
 
 
 def _c(value) -> Column:
@@ -42,8 +42,10 @@ def hit_at(v, label, k: int) -> Column:
 
 def cross_entropy(logits, label) -> Column:
     logits = _c(logits)
-    top = F.array_max(logits)
-    log_sum = top + F.log(total(F.transform(logits, lambda x: F.exp(x - top))))
+    log_sum = bind(
+        F.struct(logits.alias("v"), F.array_max(logits).alias("top")),
+        lambda r: r["top"] + F.log(total(F.transform(r["v"], lambda x: F.exp(x - r["top"])))),
+    )
     return log_sum - F.get(logits, _c(label).cast("int"))
 
 
@@ -113,10 +115,12 @@ def psnr(mse, top: float = 255.0) -> Column:
 
 def interior(v, height: int, width: int, border: int) -> Column:
     """A raster without its border."""
-    v = _c(v)
     rows = F.sequence(F.lit(border), F.lit(height - border - 1))
-    return F.flatten(
-        F.transform(rows, lambda r: F.slice(v, r * width + border + 1, width - 2 * border))
+    return bind(
+        _c(v),
+        lambda a: F.flatten(
+            F.transform(rows, lambda r: F.slice(a, r * width + border + 1, width - 2 * border))
+        ),
     )
 
 
