@@ -192,20 +192,30 @@ def trailing(
 def moving_average(
     df: DataFrame, key: str, order: str, value: str, decay: float,
     into: str = "average", block: int = 4096, rows_per_task: int = ROWS_PER_TASK,
+    state: DataFrame | None = None,
 ) -> DataFrame:
     """Exponential moving average per key after its last row, with warm-up.
 
     The first value starts the average; update n uses ``min(decay,
     (1+n)/(10+n))``.  Each update is the map ``s -> a*s + b``; maps compose, so
     blocks reduce in parallel and their results reduce again until one is left.
+    ``state`` (key, ``n``, ``average``) continues earlier rows.
     """
     placed = numbered(df, [order], "__n", within=[key], rows_per_task=rows_per_task)
-    n = F.col("__n").cast("double")
+    n, first = F.col("__n").cast("double"), F.lit(0.0)
+    if state is not None:
+        seen = state.select(key, F.col("n").alias("__seen"), F.col("average").alias("__start"))
+        placed = placed.join(seen, key, "left")
+        n = n + F.coalesce(F.col("__seen"), F.lit(0))
+        first = F.when(F.col("__n") == 0, F.coalesce(F.col("__start"), F.lit(0.0))).otherwise(first)
     rate = F.when(n == 0, F.lit(0.0)).otherwise(
         F.least(F.lit(float(decay)), (n + 1.0) / (n + 10.0))
     )
+    # Only the first row carries the earlier average; its map then is a constant.
     level = placed.select(
-        key, "__n", rate.alias("a"), ((F.lit(1.0) - rate) * F.col(value)).alias("b")
+        key, "__n",
+        F.when(F.col("__n") == 0, F.lit(0.0)).otherwise(rate).alias("a"),
+        (rate * first + (F.lit(1.0) - rate) * F.col(value)).alias("b"),
     )
     steps, rows = 0, df.count()
     while steps == 0 or rows > 1:

@@ -1 +1,227 @@
-"""placeholder"""
+"""Image-table queries over small gray images."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loomframe.functions import arrays
+from loomframe.operators import images
+from loomframe.plans import views
+from loomframe.plans.registry import joined, query, rounded
+from loomframe.plans.views import IMAGES8
+
+
+def _images(t):
+    return images.as_images(views.images8(t), "image_id", F.col("px"), 8, 8)
+
+
+def _pixel_rows(df, column="data"):
+    flat = df.select("image_id", F.posexplode(column).alias("pos", "x"))
+    return flat.select("image_id", F.col("pos").cast("long").alias("pos"), rounded("x").alias("v"))
+
+
+@query(
+    "level_map",
+    f"""with {IMAGES8}, e as (select image_id, px, unnest(range(0, 16)) pos from images8),
+    c as (select *, pos // 4 * 16 + pos % 4 * 2 as o from e),
+    m as (select image_id, pos, (px[o+1] / 255.0::double + px[o+2] / 255.0::double + px[o+9] / 255.0::double
+      + px[o+10] / 255.0::double) / 4 as mean from c)
+    select image_id, pos, cast(round_even(mean * 12, 0) as int) as level,
+      round(cast(round_even(mean * 12, 0) as int) / 12.0::double, 6) as decoded from m""",
+)
+def level_map(t):
+    """Area-pooled images quantised to levels and back."""
+    unit = arrays.unit_from_int("px")
+    levels = views.images8(t).select(
+        "image_id", arrays.quantise_levels(arrays.block_mean(unit, 8, 8, 2), 12).alias("lv")
+    )
+    both = levels.select("image_id", F.posexplode(F.arrays_zip(
+        F.col("lv").alias("a"), arrays.level_values("lv", 12).alias("b"))).alias("pos", "d"))
+    return both.select(
+        "image_id", F.col("pos").cast("long").alias("pos"), F.col("d.a").alias("level"),
+        rounded("d.b").alias("decoded"),
+    )
+
+
+@query(
+    "patchify",
+    f"""with {IMAGES8}, e as (select image_id, px, unnest(range(0, 16)) as token from images8)
+    select image_id, token, array_to_string(list_transform(range(0, 4), lambda f:
+      px[((f // 2) * 4 + token // 4) * 8 + (f % 2) * 4 + token % 4 + 1]), ' ') as features from e""",
+)
+def patchify(t):
+    tokens = views.images8(t).select(
+        "image_id", F.posexplode(arrays.strided_tokens("px", 8, 8, 1, 2)).alias("token", "f")
+    )
+    return tokens.select(
+        "image_id", F.col("token").cast("long").alias("token"), joined("f").alias("features")
+    )
+
+
+@query(
+    "colour_convert",
+    f"""with {IMAGES8}, e as (select image_id, px, unnest(range(0, 21)) pos from images8),
+    c as (select image_id, pos, px[3*pos+1] r, px[3*pos+2] g, px[3*pos+3] b from e),
+    y as (select *, (r * 65.481::double + g * 128.553::double + b * 24.966::double) / 255 + 16 yy,
+      (r * -37.797::double + g * -74.203::double + b * 112.0::double) / 255 + 128 cb,
+      (r * 112.0::double + g * -93.786::double + b * -18.214::double) / 255 + 128 cr from c)
+    select image_id, pos, cast(round_even(yy, 0) as int) as y, cast(round_even(cb, 0) as int) as cb,
+      cast(round_even(cr, 0) as int) as cr,
+      round((yy * 0.00456621::double + cr * 0.00625893::double) * 255 - 222.921::double, 4) + 0.0 as red,
+      round(r * 0.299::double + g * 0.587::double + b * 0.114::double, 6) as gray from y""",
+)
+def colour_convert(t):
+    """Consecutive values as RGB pixels, to YCbCr and back, and to gray."""
+    pixels = views.images8(t).select(
+        "image_id", "px", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("pos")
+    ).select(
+        "image_id", F.col("pos").cast("long").alias("pos"),
+        *[F.get("px", F.col("pos") * 3 + n).alias(c) for n, c in enumerate("rgb")],
+    )
+    y, cb, cr = arrays.rgb_to_ycc("r", "g", "b")
+    raw = pixels.withColumns({"yy": y, "cbb": cb, "crr": cr})
+    red, _, _ = arrays.ycc_to_rgb("yy", "cbb", "crr")
+    return raw.select(
+        "image_id", "pos", arrays.as_byte("yy").alias("y"), arrays.as_byte("cbb").alias("cb"),
+        arrays.as_byte("crr").alias("cr"), rounded(red, 4).alias("red"),
+        rounded(arrays.gray_value("r", "g", "b")).alias("gray"),
+    )
+
+
+@query(
+    "coord_map",
+    f"""with {IMAGES8}, e as (select image_id, px, unnest(range(0, 16)) pos from images8)
+    select image_id, pos, px[(pos // 4 + 2) * 8 + pos % 4 + 2 + 1]::double as v,
+      round(((pos // 4 + 2) * 8 + pos % 4 + 2) / 64.0::double, 6) as coord from e""",
+)
+def coord_map(t):
+    """Centre crop of an image together with its coordinate map."""
+    both = images.as_images(
+        views.images8(t), "image_id",
+        F.flatten(F.zip_with("px", arrays.coordinate_map(8, 8), lambda p, c: F.array(p.cast("double"), c))),
+        8, 8, 2,
+    )
+    cut = images.center_crop(both, "image_id", 4)
+    flat = cut.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("pos"), "data")
+    return flat.select(
+        "image_id", F.col("pos").cast("long").alias("pos"), F.get("data", F.col("pos") * 2).alias("v"),
+        rounded(F.get("data", F.col("pos") * 2 + 1)).alias("coord"),
+    )
+
+
+@query(
+    "augment_modes",
+    f"""with {IMAGES8}, e as (select image_id, image_id % 8 as mode, px, unnest(range(0, 64)) pos from images8),
+    c as (select *, pos // 8 i, pos % 8 j from e)
+    select image_id, mode, pos, px[1 + case mode when 0 then i * 8 + j when 1 then j * 8 + i
+      when 2 then (7 - i) * 8 + j when 3 then (7 - j) * 8 + i when 4 then i * 8 + 7 - j
+      when 5 then j * 8 + 7 - i when 6 then (7 - i) * 8 + 7 - j else (7 - j) * 8 + 7 - i end] as v from c""",
+)
+def augment_modes(t):
+    """One of eight flips and rotations per image, as index permutations."""
+    mode = F.col("image_id") % 8
+    moved = F.col("px")
+    for n in range(1, 8):
+        moved = F.when(mode == n, arrays.reorder("px", images.augment_order(n, 8, 8))).otherwise(moved)
+    flat = views.images8(t).select("image_id", mode.alias("mode"), F.posexplode(moved).alias("pos", "v"))
+    return flat.withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(
+    "stitch_patches",
+    f"""with {IMAGES8}, p as (select image_id, px, unnest(range(0, 9)) as patch from images8),
+    i as (select *, unnest(range(0, 16)) k from p),
+    w as (select image_id, patch // 3 * 2 + k // 4 as y, patch % 3 * 2 + k % 4 as x, px, patch, k,
+      greatest(least(least(k // 4 / 3.0::double, k % 4 / 3.0::double, 1 - k // 4 / 3.0::double,
+        1 - k % 4 / 3.0::double), 0.5), 0.01)
+      * greatest(least(least(patch // 3 / 2.0::double, patch % 3 / 2.0::double, 1 - patch // 3 / 2.0::double,
+        1 - patch % 3 / 2.0::double), 0.5), 0.01) as g from i)
+    select image_id, y, x, round(sum(g * px[y * 8 + x + 1] * (patch + 1)) / sum(g), 9) + 0.0 as v
+    from w group by image_id, y, x""",
+)
+def stitch_patches(t):
+    """Patches, each scaled by its number, blended into whole images again."""
+    parts = images.patches(_images(t), "image_id", 4, 2)
+    scaled = parts.select(
+        "image_id", "patch",
+        F.transform("data", lambda v: v * (F.col("patch") + 1)).alias("data"),
+    )
+    return images.stitched(scaled, "image_id", 8, 8, 4, 2).select(
+        "image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"),
+        rounded("v", 9).alias("v"),
+    )
+
+
+@query(
+    "tiles",
+    f"""with {IMAGES8}, o as (select image_id, px, unnest([0, 2]) as top from images8),
+    p as (select *, unnest([0, 2]) as left_px from o), e as (select *, unnest(range(0, 36)) pos from p)
+    select image_id, top, left_px, pos, px[(top + pos // 6) * 8 + left_px + pos % 6 + 1]::double as v from e""",
+)
+def tiles(t):
+    """Overlapping tiles; the last one of a row is pinned to the edge."""
+    cut = images.tiles(_images(t), "image_id", 6, 2, 7)
+    flat = cut.select("image_id", "top", F.col("left").alias("left_px"), F.posexplode("data").alias("pos", "v"))
+    return flat.withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(
+    "crop_resize",
+    f"""with {IMAGES8}, e as (select image_id, px, unnest(range(0, 9)) pos from images8),
+    c as (select *, (1 + pos // 3 * 2) * 8 + 1 + pos % 3 * 2 + 1 as o from e)
+    select image_id, pos, round((px[o] + px[o+1] + px[o+8] + px[o+9]) / 4.0::double, 6) as v from c""",
+)
+def crop_resize(t):
+    """Centre crop to 6x6, then an area resize to 3x3."""
+    cut = images.center_crop(_images(t), "image_id", 6)
+    return _pixel_rows(images.resize(cut, "image_id", 3, 3, "box"))
+
+
+@query("cubic_resize")
+def cubic_resize(t):
+    """Short-side bicubic resize to 12, then a seeded random crop to 8."""
+    large = images.resize_short_side(_images(t), "image_id", 12)
+    return _pixel_rows(images.random_crop(large, "image_id", 8, 13))
+
+
+@query("lowpass_swap")
+def lowpass_swap(t):
+    """Low frequencies of every image replaced by those of another one."""
+    source = _images(t)
+    refs = views.images8(t).filter(F.col("image_id") < 16).select(
+        F.col("image_id").alias("slot"), F.col("px").cast("array<double>").alias("data")
+    )
+    reference = (
+        source.select("image_id", (F.col("image_id") % 16).alias("slot"))
+        .join(refs, "slot").select("image_id", "data")
+    )
+    return _pixel_rows(images.lowpass_swap(source, reference, "image_id", 2))
+
+
+@query("ssim")
+def ssim(t):
+    """Structural similarity of each enlarged image and its blurred copy."""
+    large = images.resize(_images(t), "image_id", 16, 16)
+    blurred = images.resize(images.halved(large, "image_id", 1), "image_id", 16, 16)
+    pairs = large.join(blurred.select("image_id", F.col("data").alias("ref")), "image_id")
+    return images.ssim(pairs, "image_id").withColumn("ssim", rounded("ssim"))
+
+
+@query("sr_pairs")
+def sr_pairs(t):
+    """Low- and high-resolution training pairs."""
+    pairs = images.low_high_pairs(_images(t), "image_id", 4, 8, blur_sigma=0.8)
+    flat = pairs.select("image_id", F.posexplode(F.arrays_zip(
+        F.col("low.data").alias("a"), F.col("high.data").alias("b"))).alias("pos", "d"))
+    return flat.select("image_id", "pos", rounded("d.a").alias("low"), rounded("d.b").alias("high"))
+
+
+@query("degrade")
+def degrade(t):
+    """Degraded and clean crops of the unit-scaled images."""
+    unit = images.as_images(views.images8(t), "image_id", arrays.unit_from_int("px"), 8, 8)
+    pairs = images.degraded_pairs(unit, "image_id", "plus", 2, 3, seed=15)
+    flat = pairs.select(
+        "image_id", F.size("high.data").alias("n_high"), F.posexplode("low.data").alias("pos", "v")
+    )
+    return flat.withColumn("v", rounded("v"))

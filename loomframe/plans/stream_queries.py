@@ -1 +1,57 @@
-"""placeholder"""
+"""Streaming queries, run over all available files and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loomframe.functions.arrays import doubles
+from loomframe.plans import views
+from loomframe.plans.registry import ORACLE, query, rounded
+from loomframe.streaming import jobs
+
+
+@query(
+    "stream_filter_append",
+    "select event_id, event_type, value from events where value > 20 and event_type <> 'error'",
+)
+def stream_filter_append(t):
+    out, checkpoint = jobs.folders(t.spark, "filtered")
+    keep = (F.col("value") > 20) & (F.col("event_type") != "error")
+    jobs.filter_append(t.spark, t.path("events"), keep, out, checkpoint)
+    return t.spark.read.parquet(out).select("event_id", "event_type", "value")
+
+
+@query("stream_ema", ORACLE["ema"])
+def stream_ema(t):
+    """The moving average of :func:`ema`, from micro-batches."""
+    out, checkpoint = jobs.folders(t.spark, "averages")
+    events = jobs.incoming(t.spark, t.path("events"), t.events.schema)
+    params = events.select(F.col("event_type").alias("name"), F.col("event_id").alias("step"), "value")
+    done = jobs.moving_averages(params, "name", "step", "value", 0.999, out, checkpoint)
+    return done.select("name", rounded("average").alias("average"))
+
+
+@query(
+    "epoch_metric_mean",
+    "select event_type, round(avg(value), 6) as mean, count(*) as n from events group by event_type",
+)
+def epoch_metric_mean(t):
+    out, checkpoint = jobs.folders(t.spark, "means")
+    events = jobs.incoming(t.spark, t.path("events"), t.events.schema)
+    means = jobs.running_means(events.select("event_type", "value"), "event_type", "value", out, checkpoint)
+    return means.select("event_type", rounded("mean").alias("mean"), "n")
+
+
+@query("stream_codebook", ORACLE["codebook_ema"])
+def stream_codebook(t):
+    """The codebook update of :func:`codebook_ema`, from micro-batches."""
+    out, checkpoint = jobs.folders(t.spark, "codes")
+    stream = jobs.incoming(t.spark, t.path("embeddings"), t.embeddings.schema).select(
+        F.col("vec_id").alias("id"), doubles("embedding").alias("z")
+    )
+    state = jobs.online_codebook(stream, views.codebook(t), 16, 0.99, 1e-5, out, checkpoint)
+    flat = state.select("code", "cluster_size", F.posexplode("e").alias("pos", "x"))
+    return flat.select(
+        "code", F.col("pos").cast("long").alias("pos"),
+        rounded("cluster_size").alias("cluster_size"), rounded("x", 5).alias("v"),
+    )
