@@ -216,7 +216,8 @@ def inverse_permutation(order: Sequence[int]) -> list[int]:
 
 
 def reorder(v, order: Sequence[int]) -> Column:
-    return bind(_c(v), lambda a: F.transform(F.lit(list(order)), lambda i: F.get(a, i)))
+    places = F.split(F.lit(",".join(str(k) for k in order)), ",").cast("array<int>")
+    return bind(_c(v), lambda a: F.transform(places, lambda i: F.get(a, i)))
 
 
 def morton_number(i: int, j: int) -> int:

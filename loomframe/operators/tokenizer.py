@@ -1,7 +1,7 @@
-"""Byte-level pair encoding of text tables.
+"""Byte-level pair encoding of text columns.
 
-Distinct words are encoded once and joined back, so the cost follows the
-vocabulary instead of the corpus.
+Words are found by the JVM and encoded in Arrow batches.  Texts are independent,
+so the job needs no shuffle and no table of all words.
 """
 
 from __future__ import annotations
@@ -64,47 +64,37 @@ def word_pieces(word: str, ranks: dict[tuple[str, str], int], symbols: dict[int,
     return parts
 
 
-def encode_words(words: DataFrame, column: str, merges: Merges) -> DataFrame:
-    """Distinct words with their token ids."""
-    shipped = words.sparkSession.sparkContext.broadcast(list(merges))
+def encode_words(words, merges: Merges, remembered: int = 500_000) -> Column:
+    """Token ids of an array of words.
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = shipped.value
+    Each Python worker remembers the words it has met, so a word is merged once
+    per task and no occurrence of it is shuffled.
+    """
+    table = list(merges)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ranks = {tuple(p): n for n, p in enumerate(table)}
-        ids, symbols = vocabulary(table), byte_symbols()
-        for part in parts:
-            coded = part[column].map(lambda w: [ids[s] for s in word_pieces(w, ranks, symbols)])
-            yield pd.DataFrame({column: part[column], "word_ids": coded})
+        ids, symbols, known = vocabulary(table), byte_symbols(), {}
 
-    return words.select(column).distinct().mapInPandas(
-        run, f"{column} string, word_ids array<int>"
-    )
+        def code(word: str) -> list[int]:
+            found = known.get(word)
+            if found is None:
+                if len(known) >= remembered:
+                    known.clear()
+                found = [ids[s] for s in word_pieces(word, ranks, symbols)]
+                known[word] = found
+            return found
 
+        for part in parts:
+            yield part.map(lambda row: None if row is None else [i for w in row for i in code(w)])
 
-def encode_table(
-    df: DataFrame, key: str, text: str, merges: Merges
-) -> DataFrame:
-    """Token ids of every text.
+    return run(F.col(words) if isinstance(words, str) else words)
 
-    Words meet their codes in an equi-join.  Frequent words are salted, so that no
-    task receives all occurrences of one word.
-    """
-    salts = 16
-    spoken = df.select(key, F.posexplode(tx.words(F.lower(tx.strip(text)))).alias("pos", "word"))
-    salted = spoken.withColumn("salt", F.pmod(F.xxhash64(key, "pos"), F.lit(salts)))
-    codes = encode_words(spoken, "word", merges).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    )
-    item = F.struct("pos", "word_ids")
-    coded = (
-        salted.join(codes, ["word", "salt"])
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list(item)).alias("items"))
-    )
-    ids = F.flatten(F.transform("items", lambda i: i["word_ids"]))
-    return df.select(key).join(coded, key, "left").select(
-        key, F.coalesce(ids, F.array().cast("array<int>")).alias("ids")
-    )
+
+def encode(text, merges: Merges) -> Column:
+    """Token ids of whole texts."""
+    return encode_words(tx.words(F.lower(tx.strip(text))), merges)
 
 
 def decode_ids(ids, merges: Merges) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomframe.functions import paths, text
 from loomframe.operators import filters, labels, metrics
 from loomframe.operators.ordering import running_total
-from loomframe.operators.tokenizer import decode_ids, encode_table, learned_merges
+from loomframe.operators.tokenizer import decode_ids, encode, learned_merges
 from loomframe.plans import views
 from loomframe.plans.registry import joined, query, rounded
 from loomframe.plans.views import TAGGED, A, B, strip_sql
@@ -239,7 +239,7 @@ def bpe_encode(t):
     """Byte-pair codes of whole documents, and the text they decode to."""
     docs = t.spread("documents", "doc_id").select("doc_id", "text")
     merges = learned_merges(docs, "text", 200)
-    encoded = encode_table(docs, "doc_id", "text", merges)
+    encoded = docs.select("doc_id", encode("text", merges).alias("ids"))
     return encoded.select(
         "doc_id",
         F.size("ids").alias("n_ids"),
