@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,15 +83,13 @@ def object_sequences(
     )
 
 
-def top_categories(annotations: DataFrame, name: str, n: int) -> DataFrame:
-    """The ``n`` most frequent names with their counts."""
+def top_categories(annotations: DataFrame, categories: DataFrame, n: int) -> DataFrame:
+    """The ``n`` most frequent category names; counts are taken before the name join."""
+    counts = annotations.groupBy("category_id").agg(F.count(F.lit(1)).alias("n"))
+    names = categories.select(F.col("id").alias("category_id"), "name")
     return (
-        annotations.groupBy(name)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), F.asc(name))
+        counts.join(names, "category_id")
+        .groupBy("name").agg(F.sum("n").alias("n"))
+        .orderBy(F.desc("n"), "name")
         .limit(n)
     )
-
-
-def select_ids(ids: Sequence[str]):
-    return F.col("id").isin(list(ids))

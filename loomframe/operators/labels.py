@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.operators.ordering import ROWS_PER_TASK, numbered, running_total
+from loomframe.session import settled
 
 
 def _c(value) -> Column:
@@ -34,7 +35,7 @@ def numeric_suffix(column: str) -> Column:
 
 
 def with_class_index(df: DataFrame, column: str, into: str = "class_no", **kw) -> DataFrame:
-    return df.join(class_index(df, column, into, **kw), column)
+    return df.join(settled(class_index(df, column, into, **kw), "classes"), column)
 
 
 def lookup_or_fail(df: DataFrame, table: DataFrame, on: str, value: str, what: str) -> DataFrame:
@@ -78,7 +79,7 @@ def concat_positions(
         source, (F.col("__end") - F.col("__size")).alias("__start")
     )
     return (
-        placed.join(starts, source)
+        placed.join(settled(starts, "starts"), source)
         .withColumn("local_index", F.col("global_index") - F.col("__start"))
         .drop("__start")
     )

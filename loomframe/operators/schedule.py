@@ -107,8 +107,11 @@ def subsampled(table: DataFrame, chosen: list[int], eta: float) -> DataFrame:
 
 
 def at_step(df: DataFrame, table: DataFrame, step: str = "t") -> DataFrame:
-    """Rows with the schedule terms of their step."""
-    return df.join(table, step)
+    """Rows with the schedule terms of their step.
+
+    The table has one row per step, a parameter of a few thousand at most.
+    """
+    return df.join(F.broadcast(table), step)
 
 
 def random_step(key: str, steps: int, seed: int) -> Column:

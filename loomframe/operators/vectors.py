@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from loomframe.functions import seeded
 from loomframe.functions.arrays import doubles
-from loomframe.session import fits, materialise
+from loomframe.session import fits, materialise, settled
 
 # A codebook up to this many rows is collected and shipped to the workers.
 CODEBOOK_ROWS = 65_536
@@ -129,8 +129,13 @@ def _nearest_by_blocks(vectors, codebook, key, vector, block_rows, keep_vector)
 
 
 def with_code_vector(df: DataFrame, codebook: DataFrame, code: str = "code") -> DataFrame:
-    """Attach the vector of each code."""
-    return df.join(codebook.select(F.col("code").alias(code), "e"), code)
+    """Attach the vector of each code.
+
+    Codes are few and often skewed: a codebook of checked size is broadcast, a
+    larger one is joined by shuffle, where AQE splits hot codes.
+    """
+    table = codebook.select(F.col("code").alias(code), "e")
+    return df.join(F.broadcast(table) if fits(codebook, CODEBOOK_ROWS) else table, code)
 
 
 def code_usage(df: DataFrame, code: str = "code") -> DataFrame:
@@ -159,6 +164,7 @@ def remap_codes(
 
     Unknown codes become a random position, one extra position, or a given one.
     """
+    used = settled(used, "used")
     size = used.count()
     table = used.select(F.col("code").alias(code), F.col("position").alias("__p"))
     if unknown == "random":
@@ -171,6 +177,7 @@ def remap_codes(
 
 def unmap_codes(df: DataFrame, used: DataFrame, compact: str = "compact", into: str = "code"):
     """Inverse of :func:`remap_codes`; the extra position becomes the first code."""
+    used = settled(used, "used")
     size = used.count()
     table = used.select(F.col("position").alias("__q"), F.col("code").alias(into))
     slot = F.when(F.col(compact) >= size, F.lit(0)).otherwise(F.col(compact))
@@ -314,9 +321,41 @@ def top_matches(
 ) -> DataFrame:
     """The ``k`` most similar right vectors of each left vector, any table size.
 
-    Right blocks meet salted left slices; a task emits at most ``k`` rows per left
-    vector, and a final top-k merges the blocks.
+    A right table of checked size is shipped to the workers.  Blocks of a larger
+    one meet salted left slices; a task emits at most ``k`` rows per left vector,
+    and a final top-k merges the blocks.
     """
+    kind = left.schema[key].dataType
+
+    def best(ids, z: np.ndarray, codes: np.ndarray, unit: np.ndarray) -> pd.DataFrame:
+        s = (z / np.sqrt((z * z).sum(1, keepdims=True))) @ unit.T
+        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame(
+            {
+                "k": np.repeat(np.asarray(ids), top.shape[1]),
+                "code": codes[top].ravel(),
+                "score": np.take_along_axis(s, top, 1).ravel(),
+                "rank": np.tile(np.arange(1, top.shape[1] + 1), len(z)),
+            }
+        )
+
+    fields = [
+        T.StructField("k", kind), T.StructField("code", T.LongType()),
+        T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType()),
+    ]
+    if fits(right, block_rows):
+        codes, matrix = _collect_codebook(right)
+        unit = matrix / np.sqrt((matrix * matrix).sum(1, keepdims=True))
+        shipped = left.sparkSession.sparkContext.broadcast((codes, unit))
+
+        def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                if len(part):
+                    yield best(part[key], np.stack(part[vector]).astype("f8"), *shipped.value)
+
+        found = left.select(key, vector).mapInPandas(scan, T.StructType(fields))
+        return found.withColumnRenamed("k", key)
+
     blocks = max(1, -(-right.count() // block_rows))
     slices = max(1, left.count() // 200_000 + 1)
     l = left.select(
@@ -334,29 +373,13 @@ def top_matches(
         if z.empty or e.empty:
             return pd.DataFrame({"k": z["k"][:0], "code": [], "score": []})
         e = e.sort_values("code")
-        a, b = np.stack(z["z"]).astype("f8"), np.stack(e["e"]).astype("f8")
-        a /= np.sqrt((a * a).sum(1, keepdims=True))
-        b /= np.sqrt((b * b).sum(1, keepdims=True))
-        s = a @ b.T
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        n = top.shape[1]
-        return pd.DataFrame(
-            {
-                "k": np.repeat(z["k"].to_numpy(), n),
-                "code": e["code"].to_numpy()[top].ravel(),
-                "score": np.take_along_axis(s, top, 1).ravel(),
-            }
-        )
+        b = np.stack(e["e"]).astype("f8")
+        unit = b / np.sqrt((b * b).sum(1, keepdims=True))
+        part = best(z["k"], np.stack(z["z"]).astype("f8"), e["code"].to_numpy(), unit)
+        return part[["k", "code", "score"]]
 
-    schema = T.StructType(
-        [
-            T.StructField("k", left.schema[key].dataType),
-            T.StructField("code", T.LongType()),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
     found = l.groupBy("slice", "block").cogroup(r.groupBy("slice", "block")).applyInPandas(
-        meet, schema
+        meet, T.StructType(fields[:3])
     )
     by = Window.partitionBy("k").orderBy(F.desc("score"), "code")
     return (

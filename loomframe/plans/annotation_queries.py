@@ -133,8 +133,7 @@ def annotations_by_image(t):
     group by name order by n desc, name limit 10""",
 )
 def top_categories(t):
-    cats = views.categories(t).select(F.col("id").alias("category_id"), "name")
-    return ann.top_categories(views.annotations(t).join(cats, "category_id"), "name", 10)
+    return ann.top_categories(views.annotations(t), views.categories(t), 10)
 
 
 @query(

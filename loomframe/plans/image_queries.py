@@ -188,12 +188,13 @@ def cubic_resize(t):
 def lowpass_swap(t):
     """Low frequencies of every image replaced by those of another one."""
     source = _images(t)
+    # At most 16 reference images, by their unique id.
     refs = views.images8(t).filter(F.col("image_id") < 16).select(
         F.col("image_id").alias("slot"), F.col("px").cast("array<double>").alias("data")
     )
     reference = (
         source.select("image_id", (F.col("image_id") % 16).alias("slot"))
-        .join(refs, "slot").select("image_id", "data")
+        .join(F.broadcast(refs), "slot").select("image_id", "data")
     )
     return _pixel_rows(images.lowpass_swap(source, reference, "image_id", 2))
 

@@ -486,7 +486,7 @@ def subsampled_schedule(t):
 
     steps = sch.subsampled(_schedule(t), sch.uniform_steps(STEPS, 20), 0.5)
     drawn = views.vectors(t).select("id", (F.lit(1) + 50 * seeded.uniform_int(92, 20, "id")).alias("t"))
-    return drawn.join(steps, "t").select(
+    return sch.at_step(drawn, steps).select(
         "id", "t", rounded("alpha_bar", 9).alias("alpha_bar"),
         rounded("alpha_bar_prev", 9).alias("alpha_bar_prev"), rounded("sigma", 9).alias("sigma"),
     )

@@ -42,8 +42,9 @@ CATEGORIES = """categories as (
 
 
 def category_map(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(
-        [("c3", "c1"), ("c7", "c2"), ("c11", "c4")], "src string, dst string"
+    # A literal relation, so the planner knows that it is tiny.
+    return t.spark.sql(
+        "select * from values ('c3', 'c1'), ('c7', 'c2'), ('c11', 'c4') as m(src, dst)"
     )
 
 
@@ -111,10 +112,14 @@ VECTORS = """vectors as (
 
 
 def codebook(t: Tables, codes: int = 16) -> DataFrame:
-    """The codes: the first vectors of the table serve as a codebook."""
-    return t.embeddings.filter(F.col("vec_id") < codes).select(
+    """The codes: the first vectors of the table serve as a codebook.
+
+    ``vec_id`` is unique, so there are at most ``codes`` rows to broadcast.
+    """
+    first = t.embeddings.filter(F.col("vec_id") < codes).select(
         F.col("vec_id").alias("code"), arrays.doubles("embedding").alias("e")
     )
+    return F.broadcast(first)
 
 
 CODEBOOK = """codebook as (

@@ -57,6 +57,15 @@ def materialise(df: DataFrame, stem: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, stem: str) -> DataFrame:
+    """A derived lookup table, written once so that the planner knows its size.
+
+    Joins with it are broadcast only when the written table is below Spark's
+    broadcast threshold; otherwise they shuffle, with skewed keys split by AQE.
+    """
+    return materialise(df, stem)
+
+
 def fits(df: DataFrame, max_rows: int) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows, reading no more than needed."""
     return df.limit(max_rows + 1).count() <= max_rows

@@ -124,16 +124,15 @@ def captions(spark: SparkSession, file: str) -> tuple[DataFrame, DataFrame]:
 def index_to_class(spark: SparkSession, file: str) -> DataFrame:
     """``idx: name`` lines."""
     parts = F.split("value", ":", 2)
-    return spark.read.text(file).filter(F.length(strip("value")) > 0).select(
-        strip(parts[0]).cast("int").alias("idx"), strip(parts[1]).alias("name")
+    return spark.read.text(file).filter(F.col("value").rlike(r"^\W*\d+\s*:")).select(
+        F.regexp_extract(parts[0], r"(\d+)", 1).cast("int").alias("idx"),
+        strip(parts[1]).alias("name"),
     )
 
 
 def index_to_label(spark: SparkSession, file: str) -> DataFrame:
     """``idx: 'label, label'`` lines, braces and quotes removed."""
-    table = index_to_class(
-        spark, file
-    )
+    table = index_to_class(spark, file)
     label = F.regexp_replace("name", r"^[{'\"]+|['\"},]+$", "")
     return table.select("idx", label.alias("label"))
 

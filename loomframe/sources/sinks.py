@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.operators.ordering import ROWS_PER_TASK, numbered
+from loomframe.session import settled
 
 
 def append(df: DataFrame, path: str, rows_per_file: int = 65_536) -> None:
@@ -16,11 +17,10 @@ def append(df: DataFrame, path: str, rows_per_file: int = 65_536) -> None:
 def shards_with_yield(df: DataFrame, shard: str, min_rows: int) -> DataFrame:
     """Rows of shards that still hold at least ``min_rows`` rows.
 
-    Shard names of the dropped, small shards are few and short; the join on them
-    is left to the size-checked planner.
+    The list of good shards is written first, so its join is planned by true size.
     """
     good = df.groupBy(shard).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_rows)
-    return df.join(good.select(shard), shard, "left_semi")
+    return df.join(settled(good.select(shard), "shards"), shard, "left_semi")
 
 
 def unprocessed(manifest: DataFrame, processed: DataFrame, on: str = "path") -> DataFrame:
