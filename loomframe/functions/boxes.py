@@ -221,16 +221,23 @@ def object_sequence(objects: Column, crop: Column, flip: Column, spec: SequenceS
             where = F.array(point_token(b["x"] + b["w"] / 2, b["y"] + b["h"] / 2, spec.tokens))
         return F.concat(F.array(o["label"].cast("int")), where)
 
-    body = F.flatten(F.transform(seen, tokens_of))
-    room = F.lit(spec.max_objects * spec.per_object) - F.size(body)
-    out = F.concat(body, F.array_repeat(F.lit(spec.none), room))
-    if spec.encode_crop:
+    def padded(body: Column) -> Column:
+        room = F.lit(spec.max_objects * spec.per_object) - F.size(body)
+        out = F.concat(body, F.array_repeat(F.lit(spec.none), room))
+        if not spec.encode_crop:
+            return out
         shown = F.when(flip, flipped(crop)).otherwise(crop)
-        out = F.concat(out, box_tokens(shown, spec.tokens))
-    valid = (F.size(out) == spec.length) & F.forall(out, lambda t: (t >= 0) & (t < spec.tokens))
-    return F.when(valid, out).otherwise(
-        F.raise_error(F.lit("object sequence has a wrong length or token")).cast("array<int>")
-    )
+        return F.concat(out, box_tokens(shown, spec.tokens))
+
+    def checked(out: Column) -> Column:
+        valid = (F.size(out) == spec.length) & F.forall(
+            out, lambda t: (t >= 0) & (t < spec.tokens)
+        )
+        wrong = F.raise_error(F.lit("object sequence has a wrong length or token"))
+        return F.when(valid, out).otherwise(wrong.cast("array<int>"))
+
+    body = F.flatten(F.transform(seen, tokens_of))
+    return bind(bind(body, padded), checked)
 
 
 def sequence_objects(sequence, spec: SequenceSpec) -> Column:

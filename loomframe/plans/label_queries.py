@@ -10,6 +10,7 @@ from loomframe.operators.ordering import batches, gathered, numbered
 from loomframe.plans import views
 from loomframe.plans.registry import joined, query
 from loomframe.plans.views import CATEGORIES, DESCRIPTIONS, digest_sql
+from loomframe.session import settled
 
 
 @query(
@@ -152,7 +153,10 @@ def style_content_pairs(t):
         F.col("l_suppkey").alias("style"), (F.col("l_partkey") % 200).alias("content"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("file"),
     )
-    entries = labels.last_written(written.withColumn("pos", F.col("file")), ["style", "content"], ["pos"]).drop("pos")
+    last = labels.last_written(
+        written.withColumn("pos", F.col("file")), ["style", "content"], ["pos"]
+    )
+    entries = settled(last.drop("pos"), "entries")
     placed = batches(entries, ["file"], 64)
     pairs = sampling.paired_in_batch(placed, "batch", "file", 4, ["style"])
     target = entries.select(

@@ -395,7 +395,7 @@ def guidance_mix(t):
 
 
 # Channel means and deviations of the image encoder.
-CLIP_MEAN, CLIP_STD = (0.48145466, 0.4578275, 0.40821073), (0.26862954, 0.26130258, 0.27577711)
+ENCODER_MEAN, ENCODER_STD = (0.48145466, 0.4578275, 0.40821073), (0.26862954, 0.26130258, 0.27577711)
 
 
 @query(
@@ -407,7 +407,7 @@ CLIP_MEAN, CLIP_STD = (0.48145466, 0.4578275, 0.40821073), (0.26862954, 0.261302
 )
 def channel_scale(t):
     pixels = F.slice("z", 1, 63)  # 21 pixels of three channels fit in 64 values
-    scaled = arrays.channel_scale(pixels, CLIP_MEAN, CLIP_STD)
+    scaled = arrays.channel_scale(pixels, ENCODER_MEAN, ENCODER_STD)
     return _spelled(views.vectors(t).select("id", scaled.alias("a")), "a", ["id"])
 
 

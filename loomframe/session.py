@@ -40,9 +40,7 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    fallback = os.path.join(tempfile.gettempdir(), f"loomframe-{spark.sparkContext.applicationId}")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    return os.path.join(tempfile.gettempdir(), f"loomframe-{spark.sparkContext.applicationId}")
 
 
 def fresh_path(spark: SparkSession, stem: str) -> str:
