@@ -103,20 +103,16 @@ def decode_ids(ids, merges: Merges) -> Column:
 
     @F.pandas_udf(T.StringType())
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        names = {n: name for name, n in vocabulary(table).items()}
         raw = {s: b for b, s in byte_symbols().items()}
-
-        def one(row) -> str:
-            whole = "".join(names[int(i)] for i in row)
-            out = []
-            for n, piece in enumerate(whole.split(END)):
-                if n:
-                    out.append(" ")
-                out.append(bytes(raw[c] for c in piece).decode("utf-8", "replace"))
-            return "".join(out)
+        content = {}
+        for name, n in vocabulary(table).items():
+            stem = name.removesuffix(END)
+            content[n] = bytes(raw[c] for c in stem) + (b" " if stem != name else b"")
 
         for part in parts:
-            yield part.map(one)
+            yield part.map(
+                lambda row: b"".join([content[i] for i in row.tolist()]).decode("utf-8", "replace")
+            )
 
     return run(F.col(ids) if isinstance(ids, str) else ids)
 

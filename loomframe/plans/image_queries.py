@@ -12,7 +12,7 @@ from loomframe.plans.views import IMAGES8
 
 
 def _images(t):
-    return images.as_images(views.images8(t), "image_id", F.col("px"), 8, 8)
+    return images.as_images(views.images8(t, spread=True), "image_id", F.col("px"), 8, 8)
 
 
 def _pixel_rows(df, column="data"):
@@ -220,7 +220,9 @@ def sr_pairs(t):
 @query("degrade")
 def degrade(t):
     """Degraded and clean crops of the unit-scaled images."""
-    unit = images.as_images(views.images8(t), "image_id", arrays.unit_from_int("px"), 8, 8)
+    unit = images.as_images(
+        views.images8(t, spread=True), "image_id", arrays.unit_from_int("px"), 8, 8
+    )
     pairs = images.degraded_pairs(unit, "image_id", "plus", 2, 3, seed=15)
     flat = pairs.select(
         "image_id", F.size("high.data").alias("n_high"), F.posexplode("low.data").alias("pos", "v")

@@ -148,11 +148,12 @@ PREDICTIONS = """predictions as (
          vec_id % 5 as step from embeddings)"""
 
 
-def images8(t: Tables) -> DataFrame:
+def images8(t: Tables, spread: bool = False) -> DataFrame:
     byte = lambda v: F.least(
         F.lit(255.0), F.greatest(F.lit(0.0), F.rint((v.cast("double") + 0.5) * 255.0))
     ).cast("int")
-    return t.embeddings.select(
+    rows = t.spread("embeddings", "vec_id") if spread else t.embeddings
+    return rows.select(
         F.col("vec_id").alias("image_id"), F.lit(8).alias("h"), F.lit(8).alias("w"),
         F.transform("embedding", byte).alias("px"),
     )

@@ -209,3 +209,58 @@ def test_image_jobs(spark):
     assert low["low"]["h"] == low["high"]["h"] == 20
     with pytest.raises(ValueError):
         images.low_high_pairs(df, "id", 20, 20)
+
+
+def test_yield_counters(spark, tmp_path):
+    from loomframe.operators import metrics
+
+    rows = spark.createDataFrame([("a", n) for n in range(6)] + [("b", 9)], "s string, n int")
+    counted, counter = metrics.observed(rows, "yield", F.col("n") > 3)
+    counted.filter("n > 3").write.parquet(str(tmp_path / "o"))
+    assert counter.get == {"before": 7, "after": 3}
+    audit = metrics.audit(rows, rows.filter("n > 3 and s = 'a'"), "s")
+    assert {r["s"]: (r["before"], r["after"]) for r in audit.collect()} == {"a": (6, 2), "b": (1, 0)}
+
+
+def test_shared_folder_setting():
+    from loomframe.session import shared_folder
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app-1"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
+    Session.sparkContext.master = "local[2]"
+    assert shared_folder(Session()).endswith("loomframe-app-1")
+    Session.conf.get = staticmethod(lambda key, default: "hdfs:/shared")
+    assert shared_folder(Session()) == "hdfs:/shared"
+
+
+def test_random_crops_and_recipes_repeat(spark):
+    df = images.as_images(spark.range(6), "id", F.transform(F.sequence(F.lit(1), F.lit(256)), lambda k: k / 256.0), 16, 16)
+    for variant, steps in images.VARIANTS.items():
+        drawn = df.select(images.recipe("id", variant, 4).alias("r")).collect()
+        for row in drawn:
+            assert sorted(row["r"]) == sorted(steps)
+            assert row["r"].index("shrink") < row["r"].index("fit")
+        first = images.degraded_pairs(df, "id", variant, 2, 4, 9).orderBy("id").collect()
+        again = images.degraded_pairs(df.repartition(3), "id", variant, 2, 4, 9).orderBy("id").collect()
+        assert first == again
+        assert {(r["low"]["h"], r["high"]["h"]) for r in first} == {(4, 8)}
+    crops = images.random_crop(df, "id", 5, 3)
+    assert {(r["h"], r["w"]) for r in crops.collect()} == {(5, 5)}
+    assert images.resize_short_side(df, "id", 8).first()["h"] == 8
+    assert images.cropped_to_multiple(df, "id", 5).first()["h"] == 15
+    assert images.halved(df, "id", 2).first()["w"] == 4
+
+
+def test_lowpass_swap_keeps_image_when_reference_is_itself(spark):
+    df = images.as_images(spark.range(2), "id", F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: k * 1.0), 8, 8)
+    same = images.lowpass_swap(df, df, "id", 2).first()["data"]
+    assert same == pytest.approx([float(k) for k in range(1, 65)])
