@@ -121,12 +121,13 @@ def learned_merges(df: DataFrame, text: str, n: int) -> list[tuple[str, str]]:
     """The ``n`` most frequent adjacent ASCII letter pairs of a corpus as a merges table."""
     words = df.select(F.explode(tx.words(F.lower(tx.strip(text)))).alias("word"))
     plain = words.filter(F.col("word").rlike("^[a-z]{3,}$"))
+    counted = plain.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     starts = F.sequence(F.lit(1), F.length("word") - 2)
-    pairs = plain.select(
-        F.explode(F.transform(starts, lambda i: F.substring("word", i, F.lit(2)))).alias("pair")
+    pairs = counted.select(
+        "n", F.explode(F.transform(starts, lambda i: F.substring("word", i, F.lit(2)))).alias("pair")
     )
     top = (
-        pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+        pairs.groupBy("pair").agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "pair").limit(n).collect()
     )
     return [(r["pair"][0], r["pair"][1]) for r in top]

@@ -248,13 +248,16 @@ def codebook_update(
     sums = (
         assigned.select("code", F.posexplode(vector).alias("pos", "v"))
         .groupBy("code", "pos")
-        .agg(F.sum("v").alias("mean"))
+        .agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
+    )
+    # Every position of a code has one entry per row, so its count is the code's.
+    items = F.sort_array(F.collect_list(F.struct("pos", "s")))
+    batch = sums.groupBy("code").agg(
+        F.max("n").alias("__n"), F.transform(items, lambda i: i["s"]).alias("__sum")
     )
-    vectors = _as_codebook(sums).withColumnRenamed("e", "__sum")
-    counts = assigned.groupBy("code").agg(F.count(F.lit(1)).alias("__n"))
     keep, add = F.lit(float(decay)), F.lit(1.0 - decay)
     zero = F.transform("e_sum", lambda _: F.lit(0.0))
-    joined = state.join(counts, "code", "left").join(vectors, "code", "left").select(
+    joined = state.join(batch, "code", "left").select(
         "code",
         (keep * F.col("cluster_size") + add * F.coalesce("__n", F.lit(0))).alias("cluster_size"),
         F.zip_with(

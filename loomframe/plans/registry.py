@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -120,6 +122,23 @@ def chain(*steps: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], Dat
     return run
 
 
+def with_bundle(df: DataFrame, fn: Callable, inputs: Sequence[str], fields: str) -> DataFrame:
+    """Add the columns a plug-in computes from a batch.
+
+    ``fn(pandas frame of inputs) -> dict of columns`` provides every column named
+    in ``fields``, a DDL list such as ``"ids array<int>, valid int"``.
+    """
+    names = T.StructType.fromDDL(fields).names
+
+    @F.pandas_udf(T.StructType.fromDDL(fields))
+    def run(*columns: pd.Series) -> pd.DataFrame:
+        out = fn(pd.DataFrame(dict(zip(inputs, columns))))
+        return pd.DataFrame({n: list(out[n]) for n in names})
+
+    bundled = df.withColumn("__bundle", run(*inputs))
+    return bundled.select(*df.columns, "__bundle.*")
+
+
 def map_batches(df: DataFrame, fn: Callable, schema, rows: int = 4096) -> DataFrame:
     """Apply ``fn(pandas frame) -> pandas frame`` to batches of at most ``rows`` rows."""
 

@@ -117,10 +117,13 @@ def epochs(t):
 def random_flags(t):
     """Flip flag, random step, and noise on some rows, all repeatable."""
     noisy = vectors.sometimes_noised("z", "id", 0.25, 0.5, 33)
-    return views.vectors(t).select(
+    # Columns next to an explode are computed per exploded row, so draw first.
+    drawn = views.vectors(t).select(
         "id", seeded.coin(31, 0.5, "id").alias("flip"),
-        seeded.uniform_int(32, 1000, "id").alias("step"), F.posexplode(noisy).alias("pos", "v"),
-    ).select("id", "flip", "step", F.col("pos").cast("long").alias("pos"), rounded("v").alias("v"))
+        seeded.uniform_int(32, 1000, "id").alias("step"), noisy.alias("noisy"),
+    )
+    flat = drawn.select("id", "flip", "step", F.posexplode("noisy").alias("pos", "v"))
+    return flat.select("id", "flip", "step", F.col("pos").cast("long").alias("pos"), rounded("v").alias("v"))
 
 
 @query(

@@ -348,10 +348,12 @@ def permute_roundtrip(t):
         order = arrays.permutation(kind, 8, 8)
         there = arrays.reorder("z", order)
         same = same & (arrays.reorder(there, arrays.inverse_permutation(order)) == F.col("z"))
-    moved = views.vectors(t).select(
+    # Columns next to an explode are computed per exploded row, so check first.
+    checked = views.vectors(t).select(
         "id", same.alias("same"),
-        F.posexplode(arrays.reorder("z", arrays.permutation("z_curve", 8, 8))).alias("pos", "x"),
+        arrays.reorder("z", arrays.permutation("z_curve", 8, 8)).alias("moved"),
     )
+    moved = checked.select("id", "same", F.posexplode("moved").alias("pos", "x"))
     return moved.select(
         "id", F.col("pos").cast("long").alias("pos"), rounded("x").alias("z_curve"), "same"
     )

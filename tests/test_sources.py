@@ -264,3 +264,28 @@ def test_lowpass_swap_keeps_image_when_reference_is_itself(spark):
     df = images.as_images(spark.range(2), "id", F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: k * 1.0), 8, 8)
     same = images.lowpass_swap(df, df, "id", 2).first()["data"]
     assert same == pytest.approx([float(k) for k in range(1, 65)])
+
+
+def test_sizes_from_headers(spark):
+    jpeg = (
+        b"\xff\xd8" + b"\xff\xe0\x00\x04ab" + b"\xff\xc4\x00\x03z"
+        + b"\xff\xc0\x00\x0b\x08\x00\x10\x00\x20\x01\x00\x00\x00"
+    )
+    png = images.png_bytes(np.zeros((3, 5, 3)))
+    rows = spark.createDataFrame([(0, png), (1, jpeg), (2, b"GIF"), (3, None)], "id int, raw binary")
+    got = rows.select("id", images.file_size_of("raw").alias("s")).select("id", "s.*").collect()
+    assert [(r["w"], r["h"]) for r in sorted(got)] == [(5, 3), (32, 16), (None, None), (None, None)]
+    large = rows.select("id", images.file_size_of("raw").alias("s")).filter(
+        filters.large_enough(F.col("s.w"), F.col("s.h"), 16, "all_ge")
+    )
+    assert [r["id"] for r in large.collect()] == [1]
+
+
+def test_plug_in_columns(spark):
+    rows = spark.createDataFrame([(1, "ab"), (2, "")], "id int, text string")
+
+    def plug_in(batch):
+        return {"ids": [[ord(c) for c in t] for t in batch["text"]], "valid": (batch["text"] != "").astype(int)}
+
+    got = registry.with_bundle(rows, plug_in, ["text"], "ids array<int>, valid int").orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, "ab", [97, 98], 1), (2, "", [], 0)]
