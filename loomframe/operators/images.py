@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomframe.functions import seeded
+from loomframe.functions.arrays import bind
 
 IMAGE = "h int, w int, c int, data array<double>"
 
@@ -172,14 +173,30 @@ def _int(value) -> Column:
 # --- crops and tiles ---------------------------------------------------------
 
 
+def cut(data: Column, width, channels, top, left, out_h, out_w) -> Column:
+    """A rectangle of a raster, as slices of its rows."""
+    rows = F.sequence(top, top + out_h - 1)
+    return F.flatten(
+        F.transform(
+            rows, lambda r: F.slice(data, (r * width + left) * channels + 1, out_w * channels)
+        )
+    )
+
+
 def crop(df: DataFrame, key: str, top, left, height, width, keep: Sequence[str] = ()) -> DataFrame:
-    """Crop at offsets and sizes given as numbers or columns."""
+    """Crop at offsets and sizes given as numbers or columns; needs no Python worker."""
+    out_h, out_w = _int(height), _int(width)
     placed = df.withColumns(
-        {"__t": _int(top), "__l": _int(left), "__h": _int(height), "__w": _int(width)}
+        {"__top": _int(top), "__left": _int(left), "__h": out_h, "__w": out_w}
+    )
+    data = cut(
+        F.col("data"), F.col("w"), F.col("c"), F.col("__top"), F.col("__left"),
+        F.col("__h"), F.col("__w"),
     )
-    cut = lambda x, r: x[r["__t"] : r["__t"] + r["__h"], r["__l"] : r["__l"] + r["__w"]]
-    return map_images(placed, key, cut, ["__t", "__l", "__h", "__w", *keep]).drop(
-        "__t", "__l", "__h", "__w"
+    # Sizes keep their own names until the cut is made: a new "w" must not be
+    # taken for the width of the source.
+    return placed.select(key, *keep, "__h", "__w", "c", data.alias("data")).withColumnsRenamed(
+        {"__h": "h", "__w": "w"}
     )
 
 
@@ -223,29 +240,52 @@ def tile_origins(side: Column, size: int, overlap: int) -> Column:
 
 
 def tiles(df: DataFrame, key: str, size: int, overlap: int, above: int) -> DataFrame:
-    """Overlapping tiles of images larger than ``above`` on both sides; others whole."""
+    """Overlapping tiles of images larger than ``above`` on both sides; others whole.
+
+    All tiles of an image are cut before they become rows, so the whole image is
+    never copied once per tile.
+    """
     large = (F.col("h") > above) & (F.col("w") > above)
     zero = F.array(F.lit(0))
     rows = F.when(large, tile_origins(F.col("h"), size, overlap)).otherwise(zero)
     cols = F.when(large, tile_origins(F.col("w"), size, overlap)).otherwise(zero)
-    placed = (
-        df.withColumn("__large", large)
-        .withColumn("top", F.explode(rows))
-        .withColumn("left", F.explode(cols))
+    sized = df.withColumns(
+        {
+            "__h": F.when(large, F.lit(size)).otherwise(F.col("h")),
+            "__w": F.when(large, F.lit(size)).otherwise(F.col("w")),
+            "__rows": rows, "__cols": cols,
+        }
+    )
+
+    def part(top: Column, left: Column) -> Column:
+        data = cut(F.col("data"), F.col("w"), F.col("c"), top, left, F.col("__h"), F.col("__w"))
+        return F.struct(top.alias("top"), left.alias("left"), data.alias("data"))
+
+    parts = F.flatten(
+        F.transform("__rows", lambda top: F.transform("__cols", lambda left: part(top, left)))
+    )
+    return sized.select(key, F.explode(parts).alias("p"), "__h", "__w", "c").select(
+        key, "p.top", "p.left", F.col("__h").alias("h"), F.col("__w").alias("w"), "c", "p.data"
     )
-    side = lambda n: F.when(F.col("__large"), F.lit(size)).otherwise(F.col(n))
-    return crop(placed, key, F.col("top"), F.col("left"), side("h"), side("w"), ["top", "left"])
 
 
 def patches(df: DataFrame, key: str, kernel: int, stride: int) -> DataFrame:
     """Every ``kernel``-sized patch of equal stride, numbered row by row."""
-    per_row = F.floor((F.col("w") - kernel) / stride) + 1
-    count = (F.floor((F.col("h") - kernel) / stride) + 1) * per_row
-    placed = df.withColumn("__per_row", per_row.cast("int")).withColumn(
-        "patch", F.explode(F.sequence(F.lit(0), (count - 1).cast("int")))
+    across = (F.floor((F.col("w") - kernel) / stride) + 1).cast("int")
+    down = (F.floor((F.col("h") - kernel) / stride) + 1).cast("int")
+    sized = df.withColumn("__across", across).withColumn("__count", across * down)
+    side = F.lit(kernel)
+
+    def part(n: Column) -> Column:
+        top = F.floor(n / F.col("__across")).cast("int") * stride
+        left = n % F.col("__across") * stride
+        data = cut(F.col("data"), F.col("w"), F.col("c"), top, left, side, side)
+        return F.struct(n.alias("patch"), data.alias("data"))
+
+    parts = F.transform(F.sequence(F.lit(0), F.col("__count") - 1), part)
+    return sized.select(key, F.explode(parts).alias("p"), "c").select(
+        key, "p.patch", side.alias("h"), side.alias("w"), "c", "p.data"
     )
-    top = F.floor(F.col("patch") / F.col("__per_row")) * stride
-    return crop(placed, key, top, F.col("patch") % F.col("__per_row") * stride, kernel, kernel, ["patch"])
 
 
 def border_weight(y: Column, x: Column, height: int, width: int, low: float, high: float) -> Column:

@@ -289,3 +289,16 @@ def test_plug_in_columns(spark):
 
     got = registry.with_bundle(rows, plug_in, ["text"], "ids array<int>, valid int").orderBy("id").collect()
     assert [tuple(r) for r in got] == [(1, "ab", [97, 98], 1), (2, "", [], 0)]
+
+
+def test_crop_takes_the_right_pixels(spark):
+    n = 5 * 7 * 2
+    df = images.as_images(spark.range(2), "id", F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: k * 1.0), 5, 7, 2)
+    want = np.arange(1, n + 1.0).reshape(5, 7, 2)[1:4, 2:6]
+    got = images.crop(df, "id", 1, 2, 3, 4).first()
+    assert (got["h"], got["w"], got["c"]) == (3, 4, 2)
+    assert got["data"] == want.ravel().tolist()
+    parts = images.patches(df, "id", 3, 2).filter("id = 0").orderBy("patch").collect()
+    grid = np.arange(1, n + 1.0).reshape(5, 7, 2)
+    assert len(parts) == 6
+    assert parts[4]["data"] == grid[2:5, 2:5].ravel().tolist()
