@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,21 +28,17 @@ def local_session(cores: str = "8", name: str = "loomframe", **conf) -> SparkSes
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, named by ``spark.checkpoint.dir``.
-
-    A machine-local folder is used only where the setting is absent, which is
-    the case in local tests.
-    """
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else a folder below the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return os.path.join(tempfile.gettempdir(), f"loomframe-{spark.sparkContext.applicationId}")
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
 
 
 def fresh_path(spark: SparkSession, stem: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def materialise(df: DataFrame, stem: str) -> DataFrame:
