@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomframe.llm import bpe, decontam, exact_dedup, minhash, toxicity
-from loomframe.llm.common import settle
+from loomframe.llm.common import settle, sized
 from loomframe.llm.queries import CATEGORIES, WORD_BPE, table
 
 
 def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """``docs`` without the documents that ``judged`` (doc_id, kept) drops; null keys stay."""
-    dropped = settle(judged.filter("not kept").select("doc_id").distinct(), "dropped")
-    return docs.join(dropped, "doc_id", "left_anti")
+    dropped = settle(judged.filter("not kept and doc_id is not null").select("doc_id").distinct(), "dropped")
+    return docs.join(sized(dropped), "doc_id", "left_anti")
 
 
 def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: of equal texts one row stays, also of rows that repeat a key."""
     judged = settle(exact_dedup.exact_duplicates(docs), "judged")
-    left = _without(docs, judged.filter("doc_id <> keep_id"))
+    left = _without(docs, judged.filter("doc_id <> keep_id"))  # not those that only repeat their winner
     # rows that repeat key and text: few, and known from the narrow result
     repeated = judged.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null")
     twice = settle(repeated.select("doc_id").distinct(), "repeated")

@@ -24,6 +24,20 @@ def settle(df: DataFrame, stem: str) -> DataFrame:
     return materialise(df, stem)
 
 
+#: A settled table is broadcast up to so many bytes, counted as BROADCAST_CELL bytes a value.
+BROADCAST_BYTES, BROADCAST_CELL = 64 << 20, 40
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """A settled narrow table with a hint: broadcast if its counted size allows, else merged by key.
+
+    The choice rests on this count alone, so that the other side, which may hold texts, isn't
+    shuffled at one size of the input and broadcast to at another without need.
+    """
+    fits = df.count() * len(df.columns) * BROADCAST_CELL <= BROADCAST_BYTES
+    return F.broadcast(df) if fits else df.hint("merge")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, nothing else."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

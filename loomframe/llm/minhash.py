@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import Words, flat, mixed, settle, shingle_hashes, slices
+from loomframe.llm.common import Words, flat, mixed, settle, shingle_hashes, sized, slices
 from loomframe.llm.components import components
 
 #: Documents of a bucket that are compared in one task at a time; larger buckets meet block by block.
@@ -196,9 +196,10 @@ def near_duplicates(
         .select("bucket", "rep", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
     )
     placed = settle(placed, "placed")
-    wanted = placed.select(F.col("rep").alias("id")).distinct()
+    # texts that are candidates of nothing stay where they are while the candidates' keys are few enough
+    wanted = sized(settle(placed.select(F.col("rep").alias("id")).distinct(), "wanted"))
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
-    grouped = placed.join(texts, F.col("rep") == F.col("id")).select("bucket", "p", "q", "id", "text")
+    grouped = placed.join(texts.hint("merge"), F.col("rep") == F.col("id")).select("bucket", "p", "q", "id", "text")
     kind = docs.schema[key].dataType.simpleString()
     edges = (
         grouped.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
