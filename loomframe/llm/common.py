@@ -38,6 +38,14 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits else df.hint("merge")
 
 
+def below(key: Column, wanted: int, of: int) -> Column:
+    """Rows for a sample of ``wanted`` among ``of``: a hash of the key under a cut that passes about
+    twice as many, so that sorting and limiting them moves a bounded number of rows."""
+    share = 2.0 * (wanted + 50) / max(1, of)
+    cut = min(2.0**63 - 2**11, -(2.0**63) + share * 2.0**64)
+    return F.xxhash64(key) <= F.lit(int(cut))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, nothing else."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -139,7 +147,3 @@ def shingle_hashes(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]
             one = np.where(at + k < stop, one, np.uint64(0x5BD1E995))  # beyond a short text
         h = h * np.uint64(0xC2B2AE3D27D4EB4F) + one
     return mixed(h), bounds
-
-
-def id_type(df: DataFrame, column: str) -> str:
-    return df.schema[column].dataType.simpleString()

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import flat, slices
+from loomframe.llm.common import below, flat, slices
 
 #: Units of each direction, and bytes that are read in one go; every byte of a text is in one piece.
 UNITS, PIECE = 4, 128
@@ -177,13 +177,13 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id"))).filter("text rlike '\\\\p{L}'")
     rows = rows.select("id", F.substring(plain, start, F.lit(SAMPLE_BYTES)).alias("raw"), "lang", F.xxhash64("id").alias("turn"))
-    labels = [r.lang for r in rows.groupBy("lang").count().collect()]
-    if not labels:
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
         return None
-    got = []
-    for label in sorted(labels):
-        some = rows.filter(F.col("lang") == label).orderBy("turn", "id", "raw").limit(-(-sample // len(labels)))
-        got += [(bytes(r.raw), r.lang) for r in some.select("raw", "lang").collect()]
+    share, got = -(-sample // len(counts)), []
+    for label in sorted(counts):
+        some = rows.filter((F.col("lang") == label) & below(F.col("id"), share, counts[label]))
+        got += [(bytes(r.raw), label) for r in some.orderBy("turn", "id", "raw").limit(share).select("raw").collect()]
     return train_network([t for t, _ in got], [y for _, y in got], passes)
 
 

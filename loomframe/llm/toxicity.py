@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import Words, flat, slices
+from loomframe.llm.common import Words, below, flat, slices
 
 #: Labelled documents that a fit reads at most; they are chosen by a hash of their key.
 SAMPLE = 6_000
@@ -152,7 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict, key: str = "doc_
     known = known.groupBy("id").agg(*[F.max(F.when(F.col("k") == i, F.col("y"))).alias(f"y{i}") for i in range(len(names))])
     chosen = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
     # the sample's size is known before texts move: ids first, then their texts
-    some = chosen.select("id").join(known, "id").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(sample)
+    some = chosen.select("id").join(known, "id").filter(below(F.col("id"), sample, known.count()))
+    some = some.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(sample)
 
     def features(batches):
         for part in slices(batches):
