@@ -19,9 +19,9 @@ LISTED_HOSTS = r"://([^/?#]*\.)?(ads-track|adult-x|casino-win|cheap-pills|free-b
 
 #: Categories of the chain in order, over the table ``labels``.
 CATEGORIES = {
-    "low_quality": F.col("quality") == 0,
-    "toxic": F.col("toxic") == 1,
-    "toxic_low_quality": (F.col("toxic") == 1) & (F.col("quality") == 0),
+    "low_quality": "quality = 0",
+    "toxic": "toxic = 1",
+    "toxic_low_quality": "toxic = 1 and quality = 0",
 }
 
 

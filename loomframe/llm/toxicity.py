@@ -142,11 +142,11 @@ def fit_chain(rows: list[np.ndarray], labels: np.ndarray, names: list[str], fold
 def train(docs: DataFrame, labels: DataFrame, categories: dict, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Chain:
     """A chain fitted on at most ``sample`` labelled documents, chosen by a hash of their key.
 
-    ``categories`` maps names, in the chain's order, to boolean columns over ``labels``; null counts
+    ``categories`` maps names, in the chain's order, to SQL conditions over ``labels``; null counts
     as false.  Only hashed features come to the driver, some 10 kB for each sampled document.
     """
     names = list(categories)
-    marks = F.array(*[F.coalesce(c.cast("int"), F.lit(0)) for c in categories.values()])
+    marks = F.array(*[F.coalesce(F.expr(c).cast("int"), F.lit(0)) for c in categories.values()])
     # a key that labels repeat counts once: a category holds if any of its rows says so
     known = labels.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.posexplode(marks).alias("k", "y"))
     known = known.groupBy("id").agg(*[F.max(F.when(F.col("k") == i, F.col("y"))).alias(f"y{i}") for i in range(len(names))])
