@@ -61,6 +61,9 @@ def fit_linear(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-
     """Logistic regression by Newton steps: the bias, then a weight for each column of ``x``."""
     design = np.column_stack([np.ones(len(y)), x])
     weights, n = np.zeros(design.shape[1]), max(1, len(y))
+    if not y.sum():  # nothing is known of such documents
+        weights[0] = -20
+        return weights
     penalty = np.full(len(weights), ridge)
     penalty[0] = 1e-6
     for _ in range(steps):
