@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from loomframe.llm.common import slices
 
-#: Words that a worker remembers; when full, it forgets all and goes on.
-KNOWN_WORDS = 400_000
+#: Words that a task remembers; when full, it forgets all and goes on.
+KNOWN_WORDS = 200_000
 
 # White space (Unicode White_Space), the pattern of a word, printable signs of bytes.
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -193,6 +193,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
             known.learn({w for words in split for w in words})
             rows = pa.array([[int(i) for w in words for i in known.known[w][0].split(" ")] for words in split], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], rows], [*part.schema.names[:-1], ids])
+        known.known.clear()  # the worker lives on
 
     kept = docs.drop(ids)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
@@ -236,6 +237,7 @@ def token_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
                 [part.column("id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                 ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        known.known.clear()  # the worker lives on
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))

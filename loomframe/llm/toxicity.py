@@ -170,7 +170,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict, key: str = "doc_
         F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"),
     )
     got = ready.mapInArrow(features, "places array<long>, labels array<int>, fold int").toArrow()
-    rows = [np.asarray(x, np.int64) for x in got.column("places").to_pylist()]
+    places = got.column("places").combine_chunks()
+    values, cuts = places.values.to_numpy(), places.offsets.to_numpy()
+    rows = [values[a:b] for a, b in zip(cuts, cuts[1:])]
     order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), rows[i].tobytes()))  # the same for any partitioning
     y = np.array(got.column("labels").to_pylist(), float).reshape(-1, len(names))[order]
     return fit_chain([rows[i] for i in order], y, names, np.array(got.column("fold").to_pylist(), int)[order])
