@@ -16,7 +16,7 @@ SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 UPPER_TO_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 #: Texts are worked on in slices of about so many bytes, which bounds the arrays made from them.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def settle(df: DataFrame, stem: str) -> DataFrame:
@@ -63,6 +63,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             end = max(begin + 1, int(np.searchsorted(ends, base + SLICE_BYTES, side="right")))
             yield batch.slice(begin, end - begin)
             begin = end
+    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,23 +126,25 @@ def _verified(percent: int, size: int):
         moved = [i for i in range(len(ids)) if root[i] != i]
         return [ids[i] for i in moved], [ids[root[i]] for i in moved]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, ids, texts, us, vs = None, [], [], [], []
-        for frame in frames:
-            for place, key, text in zip(zip(frame["bucket"], frame["p"], frame["q"]), frame["id"], frame["text"]):
-                if place != now:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, texts = None, [], []
+        for part in slices(batches):
+            us, vs = [], []
+            rows = zip(*(part.column(c).to_pylist() for c in ("bucket", "p", "q", "id", "text")))
+            for bucket, p, q, key, text in rows:
+                if (bucket, p, q) != now:
                     if len(ids) > 1:
                         u, v = settle_group(ids, texts)
                         us += u
                         vs += v
-                    now, ids, texts = place, [], []
+                    now, ids, texts = (bucket, p, q), [], []
                 ids.append(key)
                 texts.append(text)
-            yield pd.DataFrame({"u": us, "v": vs})
-            us, vs = [], []
+            kind = part.schema.field("id").type
+            yield pa.RecordBatch.from_arrays([pa.array(us, kind), pa.array(vs, kind)], ["u", "v"])
         if len(ids) > 1:
             us, vs = settle_group(ids, texts)
-            yield pd.DataFrame({"u": us, "v": vs})
+            yield pa.RecordBatch.from_arrays([pa.array(us, kind), pa.array(vs, kind)], ["u", "v"])
 
     return run
 
@@ -203,7 +204,7 @@ def near_duplicates(
     kind = docs.schema[key].dataType.simpleString()
     edges = (
         grouped.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-        .mapInPandas(_verified(percent, size), f"u {kind}, v {kind}")
+        .mapInArrow(_verified(percent, size), f"u {kind}, v {kind}")
     )
     # a row that repeats a key with another text belongs to several classes: tie them by the key
     own = drawn.filter("id is not null and digest is not null").select("id", "digest").join(
