@@ -19,7 +19,7 @@ HEADLINE = (
     "annotations_by_image crop_overlap box_tokens flag_pack center_sequence box_sequence "
     "style_content_pairs shuffle_order exact_split epochs trailing_history ema nearest_code "
     "code_usage kmeans_iter codebook_ema cosine_pairs top_matches forward_noise "
-    "topk_accuracy masked_loss channel_stats permute_roundtrip stitch_patches tiles ssim degrade "
+    "topk_accuracy masked_loss channel_stats permute_roundtrip stitch_patches tiles ssim "
     "stream_filter_append stream_ema"
 ).split()
 

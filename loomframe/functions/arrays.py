@@ -191,6 +191,11 @@ def blend(mask, inside, outside) -> Column:
 def permutation(kind: str, height: int, width: int) -> list[int]:
     """Source index for every output position of a raster of ``height*width``."""
     cells = [(i, j) for i in range(height) for j in range(width)]
+    square = height == width
+    if kind.startswith("spiral") and not (square and height % 2 == 0):
+        raise ValueError("a spiral needs an even square raster")
+    if kind == "subsample" and not (square and height & (height - 1) == 0):
+        raise ValueError("subsampling needs a square raster with a power of two as side")
     if kind == "identity":
         ordered = cells
     elif kind == "z_curve":
@@ -205,10 +210,14 @@ def permutation(kind: str, height: int, width: int) -> list[int]:
         if kind == "spiral_in":
             ordered = ordered[::-1]
     elif kind == "random":
+        # Fixed value: seed 1.
         return [int(k) for k in np.random.RandomState(1).permutation(height * width)]
     else:
         raise ValueError(f"unknown permutation {kind!r}")
-    return [i * width + j for i, j in ordered]
+    order = [i * width + j for i, j in ordered]
+    if sorted(order) != list(range(height * width)):
+        raise ValueError(f"{kind} is no permutation of {height} x {width}")
+    return order
 
 
 def inverse_permutation(order: Sequence[int]) -> list[int]:

@@ -302,6 +302,7 @@ def landmark_box(points, min_x, min_y, max_x, max_y) -> Column:
     )
 
 
+# The target box on a grid of 128 pixels.
 def target_box(size: int, base=(28, 48, 100, 115), grid: int = 128) -> list[int]:
     """Target face box for an output size, scaled from its 128-pixel grid."""
     return [v * size // grid for v in base]

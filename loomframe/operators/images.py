@@ -184,15 +184,20 @@ def cut(data: Column, width, channels, top, left, out_h, out_w) -> Column:
 
 
 def crop(df: DataFrame, key: str, top, left, height, width, keep: Sequence[str] = ()) -> DataFrame:
-    """Crop at offsets and sizes given as numbers or columns; needs no Python worker."""
+    """Crop at offsets and sizes given as numbers or columns; needs no Python worker.
+
+    A crop that isn't wholly inside its image raises an error that names the row.
+    """
     out_h, out_w = _int(height), _int(width)
     placed = df.withColumns(
         {"__top": _int(top), "__left": _int(left), "__h": out_h, "__w": out_w}
     )
-    data = cut(
+    inside = F.expr("__top >= 0 and __left >= 0 and __top + __h <= h and __left + __w <= w")
+    outside = F.raise_error(F.concat(F.lit("crop outside the image of row "), F.col(key).cast("string")))
+    data = F.when(~inside, outside.cast(df.schema["data"].dataType)).otherwise(cut(
         F.col("data"), F.col("w"), F.col("c"), F.col("__top"), F.col("__left"),
         F.col("__h"), F.col("__w"),
-    )
+    ))
     # Sizes keep their own names until the cut is made: a new "w" must not be
     # taken for the width of the source.
     return placed.select(key, *keep, "__h", "__w", "c", data.alias("data")).withColumnsRenamed(
@@ -442,7 +447,7 @@ def _header(raw: bytes) -> tuple[int | None, int | None]:
     return None, None
 
 
-# --- pairs, degradation, metrics --------------------------------------------
+# --- pairs and metrics --------------------------------------------
 
 
 def low_high_pairs(df: DataFrame, key: str, low: int, high: int, blur_sigma: float | None = None):
@@ -461,22 +466,13 @@ def low_high_pairs(df: DataFrame, key: str, low: int, high: int, blur_sigma: flo
     return map_pairs(df, key, run)
 
 
-def gaussian_kernel(size: int, sigma: float, ratio: float = 1.0, angle: float = 0.0) -> np.ndarray:
-    """Normalised Gaussian; ``ratio`` stretches one axis, ``angle`` turns it."""
-    r = np.arange(size) - (size - 1) / 2
-    u = np.cos(angle) * r[None, :] + np.sin(angle) * r[:, None]
-    v = -np.sin(angle) * r[None, :] + np.cos(angle) * r[:, None]
-    k = np.exp(-0.5 * ((u / sigma) ** 2 + (v / (sigma * ratio)) ** 2))
+def gaussian_kernel(size: int, sigma: float) -> np.ndarray:
+    """Normalised Gaussian."""
+    line = np.exp(-0.5 * ((np.arange(size) - (size - 1) / 2) / sigma) ** 2)
+    k = line[:, None] * line[None, :]
     return k / k.sum()
 
 
-def laplacian_kernel(alpha: float) -> np.ndarray:
-    corner, side = alpha / (alpha + 1), (1 - alpha) / (alpha + 1)
-    return np.array(
-        [[corner, side, corner], [side, -4 / (alpha + 1), side], [corner, side, corner]]
-    )
-
-
 def _filtered(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     """Same-size correlation with mirrored borders."""
     ry, rx = kernel.shape[0] // 2, kernel.shape[1] // 2
@@ -485,95 +481,6 @@ def _filtered(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     return np.einsum("hwcij,ij->hwc", windows, kernel)
 
 
-# Steps of each variant; "shrink" always precedes "fit", which sets the final size.
-VARIANTS = {
-    "full": ("blur", "blur", "shrink", "fit", "noise"),
-    "light": ("blur", "shrink", "fit", "noise"),
-    "plus": ("sharpen", "blur", "shrink", "noise", "speckle", "poisson", "blur", "fit"),
-}
-
-
-def recipe(key: str, variant: str, seed: int) -> Column:
-    """Steps of a row in a seeded order."""
-    steps = VARIANTS[variant]
-    drawn = F.array_sort(
-        F.array(*[
-            F.struct(seeded.digest(seed, F.lit(n), key).alias("d"), F.lit(s).alias("s"))
-            for n, s in enumerate(steps)
-        ])
-    )
-    names = F.transform(drawn, lambda s: s["s"])
-    late = F.array_position(names, "shrink") > F.array_position(names, "fit")
-    swapped = F.transform(
-        names,
-        lambda s: F.when(s == "shrink", "fit").when(s == "fit", "shrink").otherwise(s),
-    )
-    return F.when(late, swapped).otherwise(names)
-
-
-def degraded_pairs(
-    df: DataFrame, key: str, variant: str, factor: int, patch: int, seed: int
-) -> DataFrame:
-    """Degraded and clean crops of [0, 1] images by a per-row random recipe.
-
-    The recipe and the row's random seed are columns, so a recomputed task draws
-    the same degradation.
-    """
-    ready = cropped_to_multiple(df, key, factor)
-    drawn = ready.withColumn("recipe", recipe(key, variant, seed)).withColumn(
-        "draw", seeded.uniform_int(seed + 1, 2**31 - 1, key)
-    )
-
-    def run(x, row):
-        rng = np.random.default_rng(int(row["draw"]))
-        clean, low_h, low_w = x, x.shape[0] // factor, x.shape[1] // factor
-        for step in row["recipe"]:
-            x = np.clip(_degrade(x, step, factor, low_h, low_w, rng), 0.0, 1.0)
-        side = min(patch, low_h, low_w)
-        top, left = rng.integers(0, low_h - side + 1), rng.integers(0, low_w - side + 1)
-        big = (slice(top * factor, (top + side) * factor), slice(left * factor, (left + side) * factor))
-        return x[top : top + side, left : left + side], clean[big]
-
-    return map_pairs(drawn, key, run, ["recipe", "draw"])
-
-
-def _degrade(x, step, factor, low_h, low_w, rng):
-    if step == "blur":
-        sigma = 0.1 + (2.0 + 0.2 * factor) * rng.random()
-        if rng.random() < 0.5:
-            kernel = gaussian_kernel(7, sigma)
-        else:
-            kernel = gaussian_kernel(7, sigma, 0.3 + rng.random(), np.pi * rng.random())
-        return _filtered(x, kernel)
-    if step == "shrink":
-        if rng.random() < 0.75:
-            scale = rng.uniform(1.0, 2.0 * factor)
-            h, w = (max(1, int(n / scale)) for n in x.shape[:2])
-            return resized(x, h, w, rng.choice(["linear", "cubic", "box"]))
-        smooth = _filtered(x, gaussian_kernel(9, rng.uniform(0.1, 0.6 * factor)))
-        # Strided picking moves the picture by half a step; shift it back first.
-        shift = (factor - 1) * 0.5
-        ys = np.clip(np.arange(0, x.shape[0], factor) + shift, 0, x.shape[0] - 1).astype(int)
-        xs = np.clip(np.arange(0, x.shape[1], factor) + shift, 0, x.shape[1] - 1).astype(int)
-        return smooth[np.ix_(ys, xs)]
-    if step == "fit":
-        return resized(x, low_h, low_w, rng.choice(["linear", "cubic", "box"]))
-    level = rng.integers(2, 26) / 255.0
-    if step == "noise":
-        shape = x.shape if rng.random() < 0.5 else (*x.shape[:2], 1)
-        return x + rng.normal(0.0, level, shape)
-    if step == "speckle":
-        return x + x * rng.normal(0.0, level, x.shape)
-    if step == "poisson":
-        peak = 10.0 ** (2.0 * rng.random() + 2.0)
-        return rng.poisson(np.clip(x, 0, 1) * peak) / peak
-    if step == "sharpen":
-        residual = x - _filtered(x, gaussian_kernel(7, 2.0))
-        mask = _filtered((np.abs(residual) * 255 > 10).astype(float), gaussian_kernel(7, 2.0))
-        return mask * np.clip(x + 0.5 * residual, 0, 1) + (1 - mask) * x
-    raise ValueError(f"unknown step {step!r}")
-
-
 def lowpass_swap(df: DataFrame, reference: DataFrame, key: str, factor: int) -> DataFrame:
     """Replace the low frequencies of an image by those of its reference."""
     kind = df.schema[key].dataType.simpleString()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomframe.functions import seeded
 
 
+# The default ends of the schedules.
 def betas(kind: str, steps: int, start: float = 1e-4, end: float = 2e-2, s: float = 8e-3) -> Column:
     """Beta of step ``t``.  ``linear`` is linear in the square root."""
     t = F.col("t").cast("double")

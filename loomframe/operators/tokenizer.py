@@ -20,7 +20,7 @@ Merges = Sequence[tuple[str, str]]
 
 
 def byte_symbols() -> dict[int, str]:
-    """Printable stand-in character of every byte.
+    """Printable stand-in character of every byte (fixed values).
 
     Visible Latin-1 characters stand for themselves, all others take the code
     points from 256 on in byte order.
@@ -93,8 +93,8 @@ def encode_words(words, merges: Merges, remembered: int = 500_000) -> Column:
 
 
 def encode(text, merges: Merges) -> Column:
-    """Token ids of whole texts."""
-    return encode_words(tx.words(F.lower(tx.strip(text))), merges)
+    """Token ids of whole texts, entities decoded and blanks collapsed first."""
+    return encode_words(tx.words(tx.clean(text)), merges)
 
 
 def decode_ids(ids, merges: Merges) -> Column:
@@ -119,7 +119,7 @@ def decode_ids(ids, merges: Merges) -> Column:
 
 def learned_merges(df: DataFrame, text: str, n: int) -> list[tuple[str, str]]:
     """The ``n`` most frequent adjacent ASCII letter pairs of a corpus as a merges table."""
-    words = df.select(F.explode(tx.words(F.lower(tx.strip(text)))).alias("word"))
+    words = df.select(F.explode(tx.words(tx.clean(text))).alias("word"))
     plain = words.filter(F.col("word").rlike("^[a-z]{3,}$"))
     counted = plain.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     starts = F.sequence(F.lit(1), F.length("word") - 2)

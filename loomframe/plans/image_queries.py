@@ -215,16 +215,3 @@ def sr_pairs(t):
     flat = pairs.select("image_id", F.posexplode(F.arrays_zip(
         F.col("low.data").alias("a"), F.col("high.data").alias("b"))).alias("pos", "d"))
     return flat.select("image_id", "pos", rounded("d.a").alias("low"), rounded("d.b").alias("high"))
-
-
-@query("degrade")
-def degrade(t):
-    """Degraded and clean crops of the unit-scaled images."""
-    unit = images.as_images(
-        views.images8(t, spread=True), "image_id", arrays.unit_from_int("px"), 8, 8
-    )
-    pairs = images.degraded_pairs(unit, "image_id", "plus", 2, 3, seed=15)
-    flat = pairs.select(
-        "image_id", F.size("high.data").alias("n_high"), F.posexplode("low.data").alias("pos", "v")
-    )
-    return flat.withColumn("v", rounded("v"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
@@ -91,10 +92,26 @@ def build(
     params = dict(lookup(config, "params", default={}))
     for item in overrides:
         key, _, value = item.partition("=")
-        params[key] = type(params[key])(value) if key in params else value
+        params[key] = _parsed(value, params[key]) if key in params else value
     return BUILDERS[target](spark, **params)
 
 
+def _parsed(value: str, like: Any) -> Any:
+    """``value`` as the type of the parameter that it replaces; ValueError if it isn't of that type."""
+    if isinstance(like, str) or like is None:
+        return value
+    if isinstance(like, bool):
+        if value.lower() not in ("true", "false"):
+            raise ValueError(f"{value!r} is not true or false")
+        return value.lower() == "true"
+    if isinstance(like, (int, float)):
+        return type(like)(value)
+    made = json.loads(value)
+    if not isinstance(made, (list, dict)) or isinstance(made, dict) != isinstance(like, Mapping):
+        raise ValueError(f"{value!r} is not like {like!r}")
+    return made
+
+
 _MISSING = object()
 
 

@@ -225,36 +225,24 @@ def test_yield_counters(spark, tmp_path):
 def test_shared_folder_setting():
     from loomframe.session import shared_folder
 
-    class Context:
-        master, applicationId = "spark://host:7077", "app-1"
-
     class Session:
-        sparkContext = Context()
+        settings = {"spark.sql.warehouse.dir": "hdfs:/warehouse/"}
 
         class conf:  # noqa: N801
-            get = staticmethod(lambda key, default: None)
+            get = staticmethod(lambda key, default=None: Session.settings.get(key, default))
 
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_folder(Session())
-    Session.sparkContext.master = "local[2]"
-    assert shared_folder(Session()).endswith("loomframe-app-1")
-    Session.conf.get = staticmethod(lambda key, default: "hdfs:/shared")
+    assert shared_folder(Session()) == "hdfs:/warehouse/_shared"
+    Session.settings["spark.checkpoint.dir"] = "hdfs:/shared"
     assert shared_folder(Session()) == "hdfs:/shared"
 
 
-def test_random_crops_and_recipes_repeat(spark):
+def test_random_crops(spark):
     df = images.as_images(spark.range(6), "id", F.transform(F.sequence(F.lit(1), F.lit(256)), lambda k: k / 256.0), 16, 16)
-    for variant, steps in images.VARIANTS.items():
-        drawn = df.select(images.recipe("id", variant, 4).alias("r")).collect()
-        for row in drawn:
-            assert sorted(row["r"]) == sorted(steps)
-            assert row["r"].index("shrink") < row["r"].index("fit")
-        first = images.degraded_pairs(df, "id", variant, 2, 4, 9).orderBy("id").collect()
-        again = images.degraded_pairs(df.repartition(3), "id", variant, 2, 4, 9).orderBy("id").collect()
-        assert first == again
-        assert {(r["low"]["h"], r["high"]["h"]) for r in first} == {(4, 8)}
     crops = images.random_crop(df, "id", 5, 3)
     assert {(r["h"], r["w"]) for r in crops.collect()} == {(5, 5)}
+    for top, left, side in ((0, 14, 4), (-1, 0, 4), (0, 0, 17)):
+        with pytest.raises(Exception, match="crop outside the image of row"):
+            images.crop(df, "id", top, left, side, side).collect()
     assert images.resize_short_side(df, "id", 8).first()["h"] == 8
     assert images.cropped_to_multiple(df, "id", 5).first()["h"] == 15
     assert images.halved(df, "id", 2).first()["w"] == 4
@@ -302,3 +290,25 @@ def test_crop_takes_the_right_pixels(spark):
     grid = np.arange(1, n + 1.0).reshape(5, 7, 2)
     assert len(parts) == 6
     assert parts[4]["data"] == grid[2:5, 2:5].ravel().tolist()
+
+
+def test_overrides_take_the_declared_type(spark):
+    from loomframe.plans import registry
+
+    seen = {}
+    registry.BUILDERS["probe"] = lambda spark, **params: seen.update(params)
+    config = {"target": "probe", "params": {"flag": True, "n": 3, "share": 0.5, "names": ["a"], "stem": "x"}}
+    registry.build(config, spark, ["flag=False", "n=4", "share=1e-3", 'names=["b", "c"]', "stem=y", "new=z"])
+    assert seen == {"flag": False, "n": 4, "share": 1e-3, "names": ["b", "c"], "stem": "y", "new": "z"}
+    for bad in ("flag=maybe", "n=1.5", "names=3"):
+        with pytest.raises(ValueError):
+            registry.build(config, spark, [bad])
+    del registry.BUILDERS["probe"]
+
+
+def test_entities_are_decoded_before_encoding(spark):
+    from loomframe.operators import tokenizer
+
+    rows = spark.createDataFrame([("Ben &amp;amp; Tom",), ("ben & tom",)], "t string")
+    first, second = rows.select(tokenizer.encode("t", [("b", "e")])).collect()
+    assert first == second
