@@ -52,15 +52,15 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, upper, upper.lower())
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut by rows so that a slice has about SLICE_BYTES of text, one row at least."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut by rows so that a slice has about ``most`` bytes of text, one row at least."""
     for batch in batches:
         size = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0)
         ends = np.cumsum(size.to_numpy(zero_copy_only=False))
         begin, n = 0, batch.num_rows
         while begin < n:
             base = ends[begin - 1] if begin else 0
-            end = max(begin + 1, int(np.searchsorted(ends, base + SLICE_BYTES, side="right")))
+            end = max(begin + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(begin, end - begin)
             begin = end
     pa.default_memory_pool().release_unused()  # the worker lives on

@@ -32,6 +32,8 @@ PER_WALK = 4
 DIFFERS = 0.45
 #: Bytes of item texts that one task holds at a time; more items are met block by block.
 ITEM_BYTES = 4 << 20
+#: Bytes of text searched in one go: walks take as many steps for many windows as for few.
+SEARCH_BYTES = 1 << 20
 _FILTER_BITS = 20
 
 
@@ -238,7 +240,7 @@ def contaminated(
 
         def run(batches, shipped=shipped):
             block = Items(*map(list, zip(*shipped.value)), share, recall)
-            for part in slices(batches):
+            for part in slices(batches, most=SEARCH_BYTES):
                 hits: dict[int, list] = {}
                 for row, item, distance in block.search([normalised(t or "") for t in part.column("text").to_pylist()]):
                     hits.setdefault(row, []).append({"item": block.ids[item], "distance": distance})
