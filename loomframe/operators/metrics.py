@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomframe.operators.vectors import summed
+
 
 def _c(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
@@ -29,19 +31,31 @@ def text_length_stats(text) -> list[Column]:
 
 
 def scale_factor(df: DataFrame, vector: str) -> DataFrame:
-    """Reciprocal of the sample deviation over all elements of all vectors."""
-    return df.select(F.explode(vector).alias("v")).agg(
-        F.stddev_samp("v").alias("std"), (1.0 / F.stddev_samp("v")).alias("scale_factor")
+    """Reciprocal of the sample deviation over all elements of all vectors.
+
+    Deviations of the positions are joined by their means: one row per position.
+    """
+    flat = summed(df, [], vector, "mean", "variance").select(
+        "count", F.explode(F.arrays_zip("mean", "variance")).alias("p")
     )
+    inner = F.sum(F.col("p.variance") * (F.col("count") - 1))
+    parts = flat.agg(
+        inner.alias("inner"), F.var_pop("p.mean").alias("between"),
+        F.first("count").alias("rows"), F.count(F.lit(1)).alias("width"),
+    )
+    total = F.col("rows") * F.col("width")
+    std = F.sqrt((F.col("inner") + total * F.col("between")) / F.nullif(total - 1, F.lit(0)))
+    return parts.select(std.alias("std"), (1.0 / std).alias("scale_factor"))
 
 
 def channel_stats(df: DataFrame, vector: str, eps: float = 1e-6) -> DataFrame:
     """Mean, deviation and normaliser of every vector position."""
-    return (
-        df.select(F.posexplode(vector).alias("pos", "v"))
-        .groupBy("pos")
-        .agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
-        .withColumn("scale", 1.0 / (F.col("std") + eps))
+    both = summed(df, [], vector, "mean", "std").select(
+        F.posexplode(F.arrays_zip("mean", "std")).alias("pos", "p")
+    )
+    return both.select(
+        "pos", F.col("p.mean").alias("mean"), F.col("p.std").alias("std"),
+        (1.0 / (F.col("p.std") + eps)).alias("scale"),
     )
 
 

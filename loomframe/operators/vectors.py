@@ -1,131 +1,24 @@
-"""Vector-table jobs: nearest code, k-means, codebook updates, similarity.
+"""Vector-table jobs: codebooks, k-means, codebook updates, drawn and checked vectors.
 
-Distances run as matrix products over Arrow batches, with the codebook shipped
-to the workers once its size has been checked.  A larger codebook is cut into
-blocks that meet salted slices of the vectors; only the best code per vector and
-block leaves a task.
+Sums of vectors are taken whole by Spark's summariser, which combines before the
+shuffle; elements are never exploded into rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomframe.functions import seeded
 from loomframe.functions.arrays import doubles
-from loomframe.session import fits, materialise, settled
-
-# A codebook up to this many rows is collected and shipped to the workers.
-CODEBOOK_ROWS = 65_536
-
-
-def _matrix(column) -> np.ndarray:
-    """A list column of equal lengths as a 2-D float64 array, without copies per row."""
-    chunk = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = chunk.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    rows = len(chunk)
-    if rows == 0:
-        return flat.reshape(0, 0)
-    if chunk.null_count or flat.size % rows or len(set(np.diff(chunk.offsets.to_numpy()))) > 1:
-        raise ValueError("vectors must be present and of one length")
-    return flat.reshape(rows, -1)
-
-
-def _list_array(matrix: np.ndarray) -> pa.Array:
-    rows, width = matrix.shape
-    offsets = np.arange(rows + 1, dtype=np.int32) * width
-    return pa.ListArray.from_arrays(offsets, np.ascontiguousarray(matrix).ravel())
-
-
-def _best(z: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row number of the nearest code (first on ties) and its squared distance."""
-    dist = (z * z).sum(1)[:, None] + (e * e).sum(1)[None, :] - 2.0 * (z @ e.T)
-    at = dist.argmin(1)
-    exact = ((z - e[at]) ** 2).sum(1)
-    return at, exact
-
-
-def _collect_codebook(codebook: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    rows = codebook.select("code", doubles("e").alias("e")).orderBy("code").collect()
-    return np.array([r["code"] for r in rows]), np.array([r["e"] for r in rows], dtype=np.float64)
-
-
-def nearest_code(
-    vectors: DataFrame, codebook: DataFrame, key: str = "id", vector: str = "z",
-    codebook_rows: int = CODEBOOK_ROWS, keep_vector: bool = False,
-) -> DataFrame:
-    """Nearest codebook entry of every vector: ``code`` and squared ``dist``."""
-    if not fits(codebook, codebook_rows):
-        return _nearest_by_blocks(vectors, codebook, key, vector, codebook_rows, keep_vector)
-    codes, matrix = _collect_codebook(codebook)
-    shipped = vectors.sparkSession.sparkContext.broadcast((codes, matrix))
-    columns = [key, vector] if keep_vector else [key]
-
-    def assign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, entries = shipped.value
-        for part in parts:
-            if part.num_rows == 0:
-                continue
-            at, dist = _best(_matrix(part.column(1)), entries)
-            out = [part.column(n) for n in range(len(columns))]
-            yield pa.RecordBatch.from_arrays(
-                [*out, pa.array(numbers[at].astype(np.int64)), pa.array(dist)],
-                names=[*columns, "code", "dist"],
-            )
-
-    schema = T.StructType(
-        [vectors.schema[c] for c in columns]
-        + [T.StructField("code", T.LongType()), T.StructField("dist", T.DoubleType())]
-    )
-    return vectors.select(key, vector).mapInArrow(assign, schema)
-
-
-def _nearest_by_blocks(vectors, codebook, key, vector, block_rows, keep_vector) -> DataFrame:
-    """Nearest code when the codebook is too large to ship whole."""
-    blocks = -(-codebook.count() // block_rows)
-    slices = max(1, vectors.count() // 200_000 + 1)
-    all_blocks = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    all_slices = F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
-    left = vectors.select(
-        key, F.col(vector).alias("z"),
-        F.pmod(F.xxhash64(key), F.lit(slices)).cast("int").alias("slice"),
-        all_blocks.alias("block"),
-    )
-    right = codebook.select(
-        "code", doubles("e").alias("e"),
-        F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int").alias("block"),
-        all_slices.alias("slice"),
-    )
-
-    def meet(z: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        if z.empty or e.empty:
-            return pd.DataFrame({"k": z[key][:0], "code": [], "dist": []})
-        e = e.sort_values("code")
-        at, dist = _best(np.stack(z["z"]).astype("f8"), np.stack(e["e"]).astype("f8"))
-        return pd.DataFrame({"k": z[key], "code": e["code"].to_numpy()[at], "dist": dist})
-
-    schema = T.StructType(
-        [
-            T.StructField("k", vectors.schema[key].dataType),
-            T.StructField("code", T.LongType()),
-            T.StructField("dist", T.DoubleType()),
-        ]
-    )
-    per_block = (
-        left.groupBy("slice", "block")
-        .cogroup(right.groupBy("slice", "block"))
-        .applyInPandas(meet, schema)
-    )
-    best = per_block.groupBy(F.col("k").alias(key)).agg(
-        F.min_by(F.struct("code", "dist"), F.struct("dist", "code")).alias("b")
-    ).select(key, "b.*")
-    return vectors.select(key, vector).join(best, key) if keep_vector else best
+from loomframe.operators.matching import nearest_code, shippable
+from loomframe.session import materialise, settled
 
 
 def with_code_vector(df: DataFrame, codebook: DataFrame, code: str = "code") -> DataFrame:
@@ -135,16 +28,14 @@ def with_code_vector(df: DataFrame, codebook: DataFrame, code: str = "code") ->
     larger one is joined by shuffle, where AQE splits hot codes.
     """
     table = codebook.select(F.col("code").alias(code), "e")
-    return df.join(F.broadcast(table) if fits(codebook, CODEBOOK_ROWS) else table, code)
+    return df.join(F.broadcast(table) if shippable(codebook) else table, code)
 
 
 def code_usage(df: DataFrame, code: str = "code") -> DataFrame:
+    """Rows and share of every used code.  The total is taken over the counts, one row per code."""
     counts = df.groupBy(code).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("__total"))
-    # One row on the right: a scalar, attached without a shuffle.
-    return counts.join(F.broadcast(total), F.col("n").isNotNull()).select(
-        code, "n", (F.col("n") / F.col("__total")).alias("share")
-    )
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    return counts.withColumn("share", F.col("n") / total)
 
 
 def perplexity(usage: DataFrame) -> DataFrame:
@@ -156,6 +47,16 @@ def perplexity(usage: DataFrame) -> DataFrame:
     )
 
 
+def with_perplexity(usage: DataFrame) -> DataFrame:
+    """:func:`perplexity` next to every code, without counting the codes again."""
+    whole = Window.partitionBy(F.lit(0))
+    p = F.col("share")
+    entropy = -F.sum(p * F.log(p + 1e-10)).over(whole)
+    return usage.withColumns(
+        {"perplexity": F.exp(entropy), "used": F.count(F.when(p > 0, 1)).over(whole)}
+    )
+
+
 def remap_codes(
     df: DataFrame, used: DataFrame, code: str = "code", unknown: str | int = "extra",
     key: str = "id", seed: int = 0, into: str = "compact",
@@ -184,19 +85,25 @@ def unmap_codes(df: DataFrame, used: DataFrame, compact: str = "compact", into:
     return df.withColumn("__q", slot.cast("long")).join(table, "__q").drop("__q")
 
 
-def element_means(df: DataFrame, group: str, vector: str) -> DataFrame:
-    """Mean vector per group as rows ``(group, pos, mean, n)``."""
-    return (
-        df.select(group, F.posexplode(vector).alias("pos", "v"))
-        .groupBy(group, "pos")
-        .agg(F.avg("v").alias("mean"), F.count(F.lit(1)).alias("n"))
+def summed(df: DataFrame, groups: Sequence[str], vector: str, *metrics: str) -> DataFrame:
+    """Element-wise ``metrics`` of the vectors per group, as arrays, and their ``count``.
+
+    Vectors of a group have one length; missing ones are left out.
+    """
+    present = df.filter(F.col(vector).isNotNull())
+    stats = Summarizer.metrics(*metrics, "count").summary(array_to_vector(doubles(vector)))
+    return present.groupBy(*groups).agg(stats.alias("__s")).select(
+        *groups, *[vector_to_array(F.col("__s")[m]).alias(m) for m in metrics],
+        F.col("__s")["count"].alias("count"),
     )
 
 
-def _as_codebook(means: DataFrame, code: str = "code") -> DataFrame:
-    """Rows ``(code, pos, mean)`` as one array per code; arrays have vector length."""
-    items = F.sort_array(F.collect_list(F.struct("pos", "mean")))
-    return means.groupBy(code).agg(F.transform(items, lambda s: s["mean"]).alias("e"))
+def element_means(df: DataFrame, group: str, vector: str) -> DataFrame:
+    """Mean vector per group as rows ``(group, pos, mean, n)``."""
+    means = summed(df, [group], vector, "mean")
+    return means.select(group, F.col("count").alias("n"), F.posexplode("mean").alias("pos", "mean")).select(
+        group, "pos", "mean", "n"
+    )
 
 
 def initial_codebook(vectors: DataFrame, k: int, seed: int, key: str = "id", vector: str = "z"):
@@ -221,8 +128,12 @@ def kmeans(
     data = vectors.select(key, doubles(vector).alias(vector))
     for step in range(iterations):
         assigned = nearest_code(data, codebook, key, vector, keep_vector=True)
-        moved = materialise(_as_codebook(element_means(assigned, "code", vector)), "codebook")
+        means = summed(assigned, ["code"], vector, "mean").select("code", F.col("mean").alias("e"))
+        moved = materialise(means, "codebook")
         dead = codebook.select("code").join(moved, "code", "left_anti")
+        if dead.isEmpty():
+            codebook = moved
+            continue
         spare = initial_codebook(data, k, seed + step + 1, key, vector).withColumnRenamed(
             "code", "__slot"
         )
@@ -245,15 +156,8 @@ def codebook_update(
     State rows: ``code, cluster_size, e_sum (array), e (array)``; ``assigned`` rows
     hold ``code`` and the vector.  Codes without rows only decay.
     """
-    sums = (
-        assigned.select("code", F.posexplode(vector).alias("pos", "v"))
-        .groupBy("code", "pos")
-        .agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
-    )
-    # Every position of a code has one entry per row, so its count is the code's.
-    items = F.sort_array(F.collect_list(F.struct("pos", "s")))
-    batch = sums.groupBy("code").agg(
-        F.max("n").alias("__n"), F.transform(items, lambda i: i["s"]).alias("__sum")
+    batch = summed(assigned, ["code"], vector, "sum").select(
+        "code", F.col("count").alias("__n"), F.col("sum").alias("__sum")
     )
     keep, add = F.lit(float(decay)), F.lit(1.0 - decay)
     zero = F.transform("e_sum", lambda _: F.lit(0.0))
@@ -286,112 +190,6 @@ def fresh_state(codebook: DataFrame) -> DataFrame:
     )
 
 
-def similarity(
-    left: DataFrame, right: DataFrame, scale: float = 0.0, key: str = "id", vector: str = "z",
-    right_rows: int = CODEBOOK_ROWS,
-) -> DataFrame:
-    """Scaled cosine similarity of every left vector to all right vectors.
-
-    One row per left vector; ``logits`` follows the order of right ``code``.  The
-    right table must be small, which is checked; use :func:`nearest_code` or
-    :func:`top_matches` beyond it.
-    """
-    if not fits(right, right_rows):
-        raise ValueError(f"more than {right_rows} right vectors; use top_matches")
-    _, matrix = _collect_codebook(right)
-    unit = matrix / np.sqrt((matrix * matrix).sum(1, keepdims=True))
-    shipped = left.sparkSession.sparkContext.broadcast(unit * np.exp(scale))
-
-    def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            if part.num_rows == 0:
-                continue
-            z = _matrix(part.column(1))
-            z = z / np.sqrt((z * z).sum(1, keepdims=True))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), _list_array(z @ shipped.value.T)], names=[key, "logits"]
-            )
-
-    schema = T.StructType(
-        [left.schema[key], T.StructField("logits", T.ArrayType(T.DoubleType()))]
-    )
-    return left.select(key, vector).mapInArrow(score, schema)
-
-
-def top_matches(
-    left: DataFrame, right: DataFrame, k: int, key: str = "id", vector: str = "z",
-    block_rows: int = CODEBOOK_ROWS,
-) -> DataFrame:
-    """The ``k`` most similar right vectors of each left vector, any table size.
-
-    A right table of checked size is shipped to the workers.  Blocks of a larger
-    one meet salted left slices; a task emits at most ``k`` rows per left vector,
-    and a final top-k merges the blocks.
-    """
-    kind = left.schema[key].dataType
-
-    def best(ids, z: np.ndarray, codes: np.ndarray, unit: np.ndarray) -> pd.DataFrame:
-        s = (z / np.sqrt((z * z).sum(1, keepdims=True))) @ unit.T
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame(
-            {
-                "k": np.repeat(np.asarray(ids), top.shape[1]),
-                "code": codes[top].ravel(),
-                "score": np.take_along_axis(s, top, 1).ravel(),
-                "rank": np.tile(np.arange(1, top.shape[1] + 1), len(z)),
-            }
-        )
-
-    fields = [
-        T.StructField("k", kind), T.StructField("code", T.LongType()),
-        T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType()),
-    ]
-    if fits(right, block_rows):
-        codes, matrix = _collect_codebook(right)
-        unit = matrix / np.sqrt((matrix * matrix).sum(1, keepdims=True))
-        shipped = left.sparkSession.sparkContext.broadcast((codes, unit))
-
-        def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                if len(part):
-                    yield best(part[key], np.stack(part[vector]).astype("f8"), *shipped.value)
-
-        found = left.select(key, vector).mapInPandas(scan, T.StructType(fields))
-        return found.withColumnRenamed("k", key)
-
-    blocks = max(1, -(-right.count() // block_rows))
-    slices = max(1, left.count() // 200_000 + 1)
-    l = left.select(
-        F.col(key).alias("k"), F.col(vector).alias("z"),
-        F.pmod(F.xxhash64(key), F.lit(slices)).cast("int").alias("slice"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-    )
-    r = right.select(
-        F.col("code").cast("long").alias("code"), doubles("e").alias("e"),
-        F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"),
-    )
-
-    def meet(z: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        if z.empty or e.empty:
-            return pd.DataFrame({"k": z["k"][:0], "code": [], "score": []})
-        e = e.sort_values("code")
-        b = np.stack(e["e"]).astype("f8")
-        unit = b / np.sqrt((b * b).sum(1, keepdims=True))
-        part = best(z["k"], np.stack(z["z"]).astype("f8"), e["code"].to_numpy(), unit)
-        return part[["k", "code", "score"]]
-
-    found = l.groupBy("slice", "block").cogroup(r.groupBy("slice", "block")).applyInPandas(
-        meet, T.StructType(fields[:3])
-    )
-    by = Window.partitionBy("k").orderBy(F.desc("score"), "code")
-    return (
-        found.withColumn("rank", F.row_number().over(by))
-        .filter(F.col("rank") <= k)
-        .withColumnRenamed("k", key)
-    )
-
-
 def embed(
     df: DataFrame, ids: str, mask: str, make_encoder, width: int, batch_size: int = 64,
     into: str = "embedding",
@@ -404,7 +202,8 @@ def embed(
     """
     from pyspark.ml.functions import predict_batch_udf
 
-    length = len(df.select(ids).first()[0])
+    one = df.select(F.size(ids)).first()
+    length = one[0] if one else 1  # an empty table stays empty
 
     def make_predict():
         encode = make_encoder()
@@ -427,8 +226,12 @@ def largest_difference(stored: Column, fresh: Column) -> Column:
     return F.max(F.array_max(F.zip_with(stored, fresh, lambda a, b: F.abs(a - b))))
 
 
-def gaussian_sample(mean: Column, log_var: Column, key, seed: int) -> Column:
-    """Draw from a diagonal Gaussian with repeatable noise."""
+def gaussian_sample(
+    mean: Column, log_var: Column, key, seed: int, deterministic: bool = False
+) -> Column:
+    """Draw from a diagonal Gaussian with repeatable noise; a deterministic one has no spread."""
+    if deterministic:
+        return mean
     key = F.col(key) if isinstance(key, str) else key
     pair = F.arrays_zip(mean.alias("m"), log_var.alias("l"))
     return F.transform(

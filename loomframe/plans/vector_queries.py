@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomframe.functions import arrays, scores
 from loomframe.operators import schedule as sch
+from loomframe.operators import matching
 from loomframe.operators import vectors as vec
 from loomframe.plans import views
 from loomframe.plans.registry import joined, query, rounded
@@ -23,7 +24,7 @@ STEPS = 1000
 
 
 def _nearest(t, keep=False):
-    return vec.nearest_code(views.vectors(t), views.codebook(t), keep_vector=keep)
+    return matching.nearest_code(views.vectors(t), views.codebook(t), keep_vector=keep)
 
 
 def _spelled(df, column: str, keys: list[str], name: str = "v"):
@@ -60,10 +61,8 @@ def nearest_code(t):
       (select count(*) from p where share > 0) as used from p""",
 )
 def code_usage(t):
-    usage = vec.code_usage(_nearest(t))
-    whole = vec.perplexity(usage)
-    # One summary row, attached to every code.
-    return usage.join(F.broadcast(whole), F.col("n").isNotNull()).select(
+    usage = vec.with_perplexity(vec.code_usage(_nearest(t)))
+    return usage.select(
         "code", "n", rounded("share").alias("share"), rounded("perplexity").alias("perplexity"), "used"
     )
 
@@ -189,19 +188,41 @@ sims as (select id, code, list_sum(list_transform(list_zip(z, e), lambda p: p[1]
 )
 def cosine_pairs(t):
     """Scaled similarity of every vector to every code."""
-    logits = vec.similarity(views.vectors(t), views.codebook(t), scale=1.5)
-    flat = logits.select("id", F.posexplode("logits").alias("code", "x"))
-    return flat.select("id", F.col("code").cast("long").alias("code"), rounded("x").alias("logit"))
+    return _logits(matching.similarity(views.vectors(t), views.codebook(t), scale=1.5), "id", "code")
 
 
 @query(
-    "top_matches",
+    "cosine_pairs_by_code",
     f"""with {VECTORS}, {CODEBOOK}, {UNIT}
+    select code, id, round(s * exp(1.5::double), 6) + 0.0 as logit from sims""",
+)
+def cosine_pairs_by_code(t):
+    """The same with one list per code: the two tables change places."""
+    found = matching.similarity(
+        views.codebook(t), _as_right(views.vectors(t)), scale=1.5, key="code", vector="e"
+    )
+    return _logits(found, "code", "id")
+
+
+def _logits(found, key: str, other: str):
+    flat = found.select(key, F.explode(F.arrays_zip("codes", "logits")).alias("p"))
+    return flat.select(key, F.col("p.codes").alias(other), rounded("p.logits").alias("logit"))
+
+
+def _as_right(table):
+    return table.select(F.col("id").alias("code"), F.col("z").alias("e"))
+
+
+@query(
+    "top_matches",
+    f"""with {VECTORS}, n as (select id, z, sqrt(list_sum(list_transform(z, lambda x: x * x))) nz from vectors),
+    sims as (select a.id, b.id as code, list_sum(list_transform(list_zip(a.z, b.z), lambda p: p[1] * p[2]))
+      / a.nz / b.nz s from n a, n b)
     select id, code, round(s, 6) + 0.0 as score, rank from (select *, row_number() over
       (partition by id order by s desc, code) as rank from sims) where rank <= 3""",
 )
 def top_matches(t):
-    found = vec.top_matches(views.vectors(t), views.codebook(t), 3)
+    found = matching.top_matches(views.vectors(t), _as_right(views.vectors(t)), 3)
     return found.select(
         "id", "code", rounded("score").alias("score"), F.col("rank").cast("long").alias("rank")
     )
@@ -253,10 +274,6 @@ def gaussian_draw(t):
 # --- array functions on vectors ----------------------------------------------
 
 
-def _t(expression: str) -> str:
-    return f"list_transform(z, lambda x: {expression})"
-
-
 @query(
     "normalise_pixels",
     f"""with {IMAGES8}, s as (select image_id, px, list_transform(px, lambda x: x / 127.5::double - 1) s
@@ -402,14 +419,14 @@ ENCODER_MEAN, ENCODER_STD = (0.48145466, 0.4578275, 0.40821073), (0.26862954, 0.
 
 @query(
     "channel_scale",
-    f"""with {VECTORS}, e as (select id, z, unnest(range(0, 63)) pos from vectors)
+    f"""with {VECTORS}, e as (select id, z, unnest(range(0, 64)) pos from vectors)
     select id, pos, round((z[pos+1] - (case pos % 3 when 0 then 0.48145466 when 1 then 0.4578275
       else 0.40821073 end)::double) / (case pos % 3 when 0 then 0.26862954 when 1 then 0.26130258
       else 0.27577711 end)::double, 6) + 0.0 as v from e""",
 )
 def channel_scale(t):
-    pixels = F.slice("z", 1, 63)  # 21 pixels of three channels fit in 64 values
-    scaled = arrays.channel_scale(pixels, ENCODER_MEAN, ENCODER_STD)
+    # 64 values are 21 pixels of three channels and one of a further pixel
+    scaled = arrays.channel_scale("z", ENCODER_MEAN, ENCODER_STD)
     return _spelled(views.vectors(t).select("id", scaled.alias("a")), "a", ["id"])
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.operators import vectors
+from loomframe.operators import matching, vectors
 from loomframe.operators.ordering import moving_average
 from loomframe.session import fresh_path
 
@@ -60,9 +60,10 @@ def fold_batches(
     start.write.mode("ignore").parquet(f"{state_dir}/version=-1")
 
     def absorb(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
+        session, batch = batch.sparkSession, batch.persist()
         state = session.read.schema(start.schema).parquet(f"{state_dir}/version={number - 1}")
         step(state, batch).write.mode("overwrite").parquet(f"{state_dir}/version={number}")
+        batch.unpersist()
 
     query = (
         stream.writeStream.foreachBatch(absorb)
@@ -71,9 +72,16 @@ def fold_batches(
         .start()
     )
     query.awaitTermination()
-    versions = spark.read.parquet(state_dir)
-    newest = versions.agg(F.max("version")).first()[0]
-    return versions.filter(F.col("version") == newest).drop("version")
+    return spark.read.schema(start.schema).parquet(_newest_version(spark, state_dir))
+
+
+def _newest_version(spark: SparkSession, state_dir: str) -> str:
+    """Folder of the newest state, by name; the data of older ones isn't read."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(state_dir)
+    listed = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+    names = [entry.getPath().getName() for entry in listed]
+    newest = max(int(name.partition("=")[2]) for name in names if name.startswith("version="))
+    return f"{state_dir}/version={newest}"
 
 
 def moving_averages(
@@ -109,7 +117,7 @@ def online_codebook(
     """Codebook state updated by every micro-batch of vectors."""
 
     def step(state: DataFrame, batch: DataFrame) -> DataFrame:
-        assigned = vectors.nearest_code(batch, state.select("code", "e"), key, vector, keep_vector=True)
+        assigned = matching.nearest_code(batch, state.select("code", "e"), key, vector, keep_vector=True)
         return vectors.codebook_update(state, assigned, decay, eps, codes, vector)
 
     return fold_batches(stream, state_dir, checkpoint, vectors.fresh_state(codebook), step)

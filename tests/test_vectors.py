@@ -1,11 +1,11 @@
-"""Vector jobs against brute force; the block path against the shipped path."""
+"""Vector jobs against brute force, at every size of tiles and blocks."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomframe.functions import arrays
-from loomframe.operators import schedule, vectors
+from loomframe.operators import matching, metrics, schedule, vectors
 
 
 @pytest.fixture(scope="module")
@@ -17,28 +17,74 @@ def data(spark):
     return z, e, vec, code
 
 
-@pytest.mark.parametrize("rows", [100, 7])
-def test_nearest(data, rows):
+# bytes of shipped tables and of tiles: whole, blocks of a few rows, tiles of three rows
+SIZES = [(1 << 26, 1 << 25), (7 * 48, 1 << 25), (1 << 26, 3 * 48), (9 * 48, 3 * 48)]
+
+
+@pytest.mark.parametrize("ship,tile", SIZES)
+def test_nearest(data, ship, tile):
     z, e, vec, code = data
     dist = ((z[:, None] - e[None]) ** 2).sum(2)
-    got = {r["id"]: r for r in vectors.nearest_code(vec, code, codebook_rows=rows).collect()}
+    found = matching.nearest_code(vec, code, ship_bytes=ship, tile_bytes=tile, keep_vector=True)
+    got = {r["id"]: r for r in found.collect()}
     assert [got[i]["code"] for i in range(len(z))] == dist.argmin(1).tolist()
     assert [got[i]["dist"] for i in range(len(z))] == pytest.approx(dist.min(1).tolist())
+    assert got[3]["z"] == z[3].tolist()
 
 
-@pytest.mark.parametrize("rows", [100, 7])
-def test_top_matches(data, rows):
+@pytest.mark.parametrize("ship,tile", SIZES)
+def test_top_matches(data, ship, tile):
     z, e, vec, code = data
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     want = np.argsort(-(unit(z) @ unit(e).T), axis=1)[:, :3]
-    got = vectors.top_matches(vec, code, 3, block_rows=rows).orderBy("id", "rank").collect()
+    got = matching.top_matches(vec, code, 3, ship_bytes=ship, tile_bytes=tile).orderBy("id", "rank").collect()
     assert [r["code"] for r in got] == want.ravel().tolist()
 
 
-def test_similarity_checks_size(data):
+@pytest.mark.parametrize("ship,tile", SIZES)
+def test_ties_go_to_the_lower_code(spark, ship, tile):
+    vec = spark.createDataFrame([(i, [float(i % 4)] * 6) for i in range(40)], "id bigint, z array<double>")
+    code = spark.createDataFrame([(30 - i, [float(i % 2)] * 6) for i in range(30)], "code bigint, e array<double>")
+    top = matching.closest(vec, code, 3, ship_bytes=ship, tile_bytes=tile).orderBy("id", "rank").collect()
+    even, odd = [2, 4, 6], [1, 3, 5]
+    assert [r["code"] for r in top] == [c for i in range(40) for c in (even if i % 4 == 0 else odd)]
+
+
+def test_the_exact_distance_decides(spark):
+    vec = spark.createDataFrame([(0, [1e8, 1.0])], "id bigint, z array<double>")
+    code = spark.createDataFrame([(0, [1e8, 1.5]), (1, [1e8, 0.9])], "code bigint, e array<double>")
+    row = matching.nearest_code(vec, code).first()
+    assert (row["code"], row["dist"]) == (1, pytest.approx(0.01))
+
+
+@pytest.mark.parametrize("ship", [1 << 26, 5 * 48])
+def test_similarity_whole(data, ship):
+    z, e, vec, code = data
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = np.exp(0.5) * unit(z) @ unit(e).T
+    rows = matching.similarity(vec, code, 0.5, ship_bytes=ship, part_rows=8).collect()
+    got = {(r["id"], c): x for r in rows for c, x in zip(r["codes"], r["logits"])}
+    assert len(got) == want.size and max(len(r["codes"]) for r in rows) <= 20
+    assert all(got[i, c] == pytest.approx(want[i, c]) for i in range(len(z)) for c in range(len(e)))
+
+
+@pytest.mark.parametrize("ship", [1 << 26, 8])
+def test_empty_tables_and_zero_vectors(spark, data, ship):
     _, _, vec, code = data
-    with pytest.raises(ValueError, match="top_matches"):
-        vectors.similarity(vec, code, right_rows=5)
+    none, blank = code.limit(0), spark.createDataFrame([(0, [0.0] * 6)], "id bigint, z array<double>")
+    assert matching.nearest_code(vec, none, ship_bytes=ship).count() == 0
+    assert matching.top_matches(vec.limit(0), code, 2, ship_bytes=ship).count() == 0
+    assert matching.similarity(vec, none, ship_bytes=ship).count() == 0
+    assert [r["score"] for r in matching.top_matches(blank, code, 2, ship_bytes=ship).collect()] == [0.0, 0.0]
+
+
+def test_summed_statistics(data):
+    z, _, vec, _ = data
+    stats = {r["pos"]: r for r in metrics.channel_stats(vec, "z").collect()}
+    assert [stats[n]["std"] for n in range(6)] == pytest.approx(z.std(0, ddof=1).tolist())
+    assert metrics.scale_factor(vec, "z").first()["std"] == pytest.approx(z.std(ddof=1))
+    means = vectors.element_means(vec.selectExpr("id % 3 as g", "z"), "g", "z").collect()
+    assert all(r["mean"] == pytest.approx(z[r["g"] :: 3, r["pos"]].mean()) and r["n"] == 40 for r in means)
 
 
 def test_kmeans_reseeds_empty_codes(spark):
