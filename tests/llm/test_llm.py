@@ -62,6 +62,14 @@ def test_components(spark):
     assert got == {i: find(i) for a, b in edges for i in (a, b) if a != b}
 
 
+@pytest.mark.parametrize("share", [1, 5, 1000])
+def test_components_with_hot_nodes(spark, monkeypatch, share):
+    monkeypatch.setattr("loomframe.llm.components.HOT_SHARE", share)
+    edges = [(0, n) for n in range(1, 40)] + [(n, n + 100) for n in range(5, 30)] + [(300, n) for n in range(301, 320)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert got == {n: 0 if n < 300 else 300 for edge in edges for n in edge}
+
+
 def test_linked_pairs_equal_brute_force():
     rng = np.random.default_rng(1)
     base = rng.choice(10**6, 60, replace=False)
