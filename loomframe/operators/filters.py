@@ -55,6 +55,11 @@ def on_topic(
     return wanted & ~F.coalesce(vetoed, F.lit(False))
 
 
+def with_landmarks(points) -> Column:
+    """Rows whose landmarks were found: a missing or empty list is none."""
+    return F.size(F.coalesce(_c(points), F.array().cast("array<struct<x:double,y:double>>"))) > 0
+
+
 def has_text(text) -> Column:
     return F.length(F.coalesce(_c(text), F.lit(""))) > 0
 

@@ -101,11 +101,24 @@ def last_written(df: DataFrame, keys: Sequence[str], position: Sequence[str]) ->
 
 
 def latest_by_name(df: DataFrame, name: str) -> DataFrame:
-    """The single row whose name is last in natural order (digits as numbers)."""
-    digits = F.transform(F.regexp_extract_all(name, F.lit(r"(\d+)"), F.lit(1)),
-                         lambda d: d.cast("long"))
-    letters = F.regexp_replace(name, r"\d+", "#")
-    return df.groupBy().agg(F.max_by(name, F.struct(letters, digits, F.col(name))).alias(name))
+    """The single row whose name is last in natural order (digits as numbers).
+
+    Names are compared part by part, text and numbers in turn.  Numbers may have any
+    length: they compare by their count of digits without leading zeros, then by these.
+    """
+    parts = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
+
+    def ranked(part: Column) -> Column:
+        number = F.regexp_replace(part, "^0+(?=.)", "")
+        digits = part.rlike("^[0-9]")
+        return F.struct(
+            F.when(digits, F.lit(0)).otherwise(1).alias("kind"),
+            F.when(digits, F.length(number)).otherwise(0).alias("size"),
+            F.when(digits, number).otherwise(part).alias("part"),
+        )
+
+    order = F.struct(F.transform(parts, ranked), F.col(name))
+    return df.groupBy().agg(F.max_by(name, order).alias(name))
 
 
 def sibling_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, how="inner"):

@@ -1,10 +1,11 @@
 """Exact numbering and running totals that never sort a table in one task.
 
 ``row_number()`` over a whole table, or over one huge group, runs in one task.
-Here the ordered key space is cut into pieces of bounded size.  Cut points come
-from a small sample of the keys and are then fixed as literals, so they decide
-only how even the pieces are, never the result.  Numbers are row numbers inside
-a piece plus the rows of earlier pieces of the same group.
+Here a larger table is cut into key ranges of bounded size and stored once in the
+shared folder with the number of each range, so that counting and numbering see
+the same ranges.  The ranges decide only how even the work is, never the result.
+Numbers are row numbers inside a range plus the rows of earlier ranges of the
+same group.
 """
 
 from __future__ import annotations
@@ -13,11 +14,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from loomframe.session import materialise
 
 ROWS_PER_TASK = 2_000_000
-MAX_PIECES = 1024
-SAMPLE_PER_PIECE = 24
 _PIECE = "__piece"
 _SHIFT = "__shift"
 
@@ -50,15 +50,16 @@ def running_total(
 ) -> DataFrame:
     """Add the inclusive running total of an integer ``value`` by ``order``."""
     within, keys = list(within), [*within, *order]
-    cuts = cut_points(df, keys, rows_per_task)
-    if not cuts:
+    pieces = -(-df.count() // rows_per_task)
+    if pieces <= 1:
         group = [F.col(c) for c in within] or [F.lit(0)]
         window = Window.partitionBy(*group).orderBy(*order)
         return df.withColumn(into, _within_piece(value, window) + F.lit(offset).cast("long"))
 
-    pieced = df.withColumn(_PIECE, piece_number(df, keys, cuts))
+    ranges = df.repartitionByRange(pieces, *keys).withColumn(_PIECE, F.spark_partition_id())
+    pieced = materialise(ranges, "ranges")
     window = Window.partitionBy(*within, _PIECE).orderBy(*order)
-    shifts = _shifts(pieced, within, cuts, value)
+    shifts = _shifts(pieced, within, value)
     totals = pieced.withColumn(into, _within_piece(value, window))
     same = totals[_PIECE] == shifts["__at"]
     for n, column in enumerate(within):
@@ -71,41 +72,6 @@ def running_total(
     )
 
 
-def cut_points(df: DataFrame, keys: Sequence[str], rows_per_task: int) -> list[tuple]:
-    """Sorted, distinct key tuples that cut ``df`` into pieces of about
-    ``rows_per_task`` rows; empty when one task is enough."""
-    rows = df.count()
-    pieces = min(MAX_PIECES, -(-rows // rows_per_task))
-    if pieces <= 1:
-        return []
-    fraction = min(1.0, pieces * SAMPLE_PER_PIECE / rows)
-    sample = (
-        df.select(*keys).sample(fraction=fraction, seed=17).orderBy(*keys).collect()
-    )
-    step = max(1, len(sample) // pieces)
-    chosen = [tuple(row) for row in sample[step::step]]
-    return [k for n, k in enumerate(chosen) if n == 0 or k != chosen[n - 1]]
-
-
-def piece_number(df: DataFrame, keys: Sequence[str], cuts: list[tuple]) -> Column:
-    """Number of cuts at or below the key, found by binary decisions."""
-    key = F.struct(*[F.col(k).alias(f"k{n}") for n, k in enumerate(keys)])
-    types = [df.schema[k].dataType for k in keys]
-
-    def literal(values: tuple) -> Column:
-        return F.struct(
-            *[F.lit(v).cast(t).alias(f"k{n}") for n, (v, t) in enumerate(zip(values, types))]
-        )
-
-    def decide(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(key < literal(cuts[mid]), decide(low, mid)).otherwise(decide(mid + 1, high))
-
-    return decide(0, len(cuts))
-
-
 def _within_piece(value: Column, window) -> Column:
     running = F.sum(value.cast("long")).over(
         window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -113,25 +79,22 @@ def _within_piece(value: Column, window) -> Column:
     return running
 
 
-def _shifts(pieced: DataFrame, within: list[str], cuts: list[tuple], value: Column) -> DataFrame:
-    """Totals of earlier pieces of the same group; at most a few rows per piece.
+def _shifts(pieced: DataFrame, within: list[str], value: Column) -> DataFrame:
+    """Totals of earlier pieces of the same group; at most two rows per piece.
 
-    A piece can continue a group only if that group holds the cut before it, so
-    only groups named by a cut need totals.
+    A piece can continue a group only if that group is its first, so only groups
+    that come first in some piece need totals.
     """
-    groups = [F.col(c).alias(f"__g{n}") for n, c in enumerate(within)]
     names = [f"__g{n}" for n in range(len(within))]
+    groups = [F.col(c).alias(g) for c, g in zip(within, names)]
     part = pieced.select(*groups, F.col(_PIECE).alias("__at"), value.cast("long").alias("__n"))
     if within:
-        schema = T.StructType(
-            [T.StructField(f"__c{n}", pieced.schema[c].dataType) for n, c in enumerate(within)]
-        )
-        heads = list(dict.fromkeys(cut[: len(within)] for cut in cuts))
-        cut_groups = pieced.sparkSession.createDataFrame(heads, schema)
+        first = part.groupBy("__at").agg(F.min(F.struct(*names)).alias("__first"))
+        heads = first.select(*[F.col("__first")[g].alias(f"__c{n}") for n, g in enumerate(names)]).distinct()
         same = F.lit(True)
-        for n in range(len(within)):
-            same = same & part[f"__g{n}"].eqNullSafe(cut_groups[f"__c{n}"])
-        part = part.join(F.broadcast(cut_groups), same, "left_semi")
+        for n, g in enumerate(names):
+            same = same & part[g].eqNullSafe(heads[f"__c{n}"])
+        part = part.join(F.broadcast(heads), same, "left_semi")
     before = Window.partitionBy(*(names or [F.lit(0)])).orderBy("__at")
     earlier = F.sum("__n").over(before.rowsBetween(Window.unboundedPreceding, -1))
     totals = part.groupBy(*names, "__at").agg(F.sum("__n").alias("__n"))

@@ -43,14 +43,9 @@ def ratio_split(df: DataFrame, key: str, seed: int, ratio: float, **kw) -> DataF
 
 
 def sample_exact(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
-    """Exactly ``n`` random rows, the same ones on every run.
-
-    A small sample is a top-n; a large one is cut from the distributed ranking.
-    """
-    if n > 100_000:
-        ranked = shuffled(df, key, seed, "__rank")
-        return ranked.filter(F.col("__rank") < n).drop("__rank")
-    return df.orderBy(seeded.digest(seed, key), F.col(key)).limit(n)
+    """Exactly ``n`` random rows (all, if there are fewer), the same ones on every run."""
+    ranked = shuffled(df, key, seed, "__rank")
+    return ranked.filter(F.col("__rank") < n).drop("__rank")
 
 
 def sample_fraction(df: DataFrame, key: str, seed: int, fraction: float) -> DataFrame:

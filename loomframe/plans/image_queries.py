@@ -68,6 +68,9 @@ def patchify(t):
     select image_id, pos, cast(round_even(yy, 0) as int) as y, cast(round_even(cb, 0) as int) as cb,
       cast(round_even(cr, 0) as int) as cr,
       round((yy * 0.00456621::double + cr * 0.00625893::double) * 255 - 222.921::double, 4) + 0.0 as red,
+      round((yy * 0.00456621::double - cb * 0.00153632::double - cr * 0.00318811::double) * 255
+        + 135.576::double, 4) + 0.0 as green,
+      round((yy * 0.00456621::double + cb * 0.00791071::double) * 255 - 276.836::double, 4) + 0.0 as blue,
       round(r * 0.299::double + g * 0.587::double + b * 0.114::double, 6) as gray from y""",
 )
 def colour_convert(t):
@@ -80,10 +83,11 @@ def colour_convert(t):
     )
     y, cb, cr = arrays.rgb_to_ycc("r", "g", "b")
     raw = pixels.withColumns({"yy": y, "cbb": cb, "crr": cr})
-    red, _, _ = arrays.ycc_to_rgb("yy", "cbb", "crr")
+    red, green, blue = arrays.ycc_to_rgb("yy", "cbb", "crr")
     return raw.select(
         "image_id", "pos", arrays.as_byte("yy").alias("y"), arrays.as_byte("cbb").alias("cb"),
         arrays.as_byte("crr").alias("cr"), rounded(red, 4).alias("red"),
+        rounded(green, 4).alias("green"), rounded(blue, 4).alias("blue"),
         rounded(arrays.gray_value("r", "g", "b")).alias("gray"),
     )
 

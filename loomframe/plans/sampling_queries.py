@@ -128,16 +128,18 @@ def random_flags(t):
 
 @query(
     "cond_dropout",
-    f"""with {VECTORS} select id, {u_sql(41, 'id')} >= 0.8::double as dropped,
-      round(case when {u_sql(41, 'id')} < 0.8::double then z[1] else 0.5 end, 6) + 0.0 as first
-    from vectors""",
+    f"""with {VECTORS}, e as (select id, z, unnest(range(0, 64)) pos from vectors)
+    select id, pos, {u_sql(41, 'id')} >= 0.8::double as dropped,
+      round(case when {u_sql(41, 'id')} < 0.8::double then z[pos + 1] else 0.5 end, 6) + 0.0 as v
+    from e""",
 )
 def cond_dropout(t):
     blank = arrays.literal([0.5] * 64)
-    return views.vectors(t).select(
+    drawn = views.vectors(t).select(
         "id", (seeded.uniform(41, "id") >= 0.8).alias("dropped"),
-        rounded(F.get(arrays.drop_condition("z", "id", 0.2, blank, 41), F.lit(0))).alias("first"),
+        F.posexplode(arrays.drop_condition("z", "id", 0.2, blank, 41)).alias("pos", "x"),
     )
+    return drawn.select("id", F.col("pos").cast("long").alias("pos"), "dropped", rounded("x").alias("v"))
 
 
 @query(

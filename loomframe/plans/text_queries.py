@@ -26,8 +26,16 @@ HAS_A = f"regexp_matches(keywords, '[{A}]')"
 )
 def text_filter_yield(t):
     """Rows per language and source before and after the text filter."""
-    kept = filters.describable("keywords", "remark", A)
-    return metrics.yield_by_shard(views.tagged_docs(t), ["lang", "source"], kept)
+    parsed = _parsed(views.tagged_docs(t, spread=True), "lang", "source")
+    kept = filters.tagged_and_described("tags", "remark")
+    return metrics.yield_by_shard(parsed, ["lang", "source"], kept)
+
+
+def _parsed(docs, *columns: str):
+    """Tags of script A and the A part of the remark."""
+    tags, _ = text.split_tags("keywords", A, B)
+    remark, _ = text.split_remark("remark", A, B)
+    return docs.select(*columns, tags.alias("tags"), remark.alias("remark"))
 
 
 def _tag_sql(own: str, other: str, own_first_on: str) -> str:
@@ -84,6 +92,30 @@ def _remark(t, legacy: bool):
     return t.documents.select("doc_id", a.alias("a_part"), b.alias("b_part"))
 
 
+@query(
+    "filtered_docs",
+    f"""with {TAGGED}, tags as (select doc_id, {A_TAGS} a from tagged_docs), parts as ({_remark_sql(False)})
+    select doc_id, array_to_string(a, ' ') as keywords, a_part as remark
+    from tags join parts using (doc_id) where len(a) > 0 and length(a_part) > 0""",
+)
+def filtered_docs(t):
+    """The text filter as rows: parsed and joined tags, parsed remark."""
+    parsed = _parsed(views.tagged_docs(t, spread=True), "doc_id")
+    kept = parsed.filter(filters.tagged_and_described("tags", "remark"))
+    return kept.select("doc_id", text.join_tags("tags", " ").alias("keywords"), "remark")
+
+
+@query(
+    "filtered_docs_shortcut",
+    f"""with {TAGGED} select doc_id from tagged_docs
+    where regexp_matches(keywords, '[{A}]') and regexp_matches(remark, '[{A}]')""",
+)
+def filtered_docs_shortcut(t):
+    """Keys of the same rows by two searches, without parsing."""
+    docs = views.tagged_docs(t)
+    return docs.filter(filters.describable("keywords", "remark", A)).select("doc_id")
+
+
 @query("remark_split", _remark_sql(False))
 def remark_split(t):
     return _remark(t, False)

@@ -107,7 +107,24 @@ def code_remap(t):
     )
 
 
-@query("kmeans_run")
+def _round_sql(n: int) -> str:
+    """One k-means round as CTEs: codes nearest to codebook n-1, and their means as codebook n."""
+    return f"""near{n} as (select id, arg_min(code, {{'d': dist, 'c': code}}) code from (
+      select v.id, c.code, list_sum(list_transform(list_zip(v.z, c.e), lambda p: (p[1]-p[2])*(p[1]-p[2]))) dist
+      from vectors v, code{n - 1} c) group by id),
+    code{n} as materialized (select code, list(m order by pos) e from (
+      select code, pos, avg(z[pos + 1]) m from (
+        select n.code, v.z, unnest(range(0, 64)) pos from near{n} n join vectors v using (id))
+      group by code, pos) group by code)"""
+
+
+@query(
+    "kmeans_run",
+    f"""with {VECTORS}, code0 as (select row_number() over (order by {digest_sql(71, 'id')}, id) - 1 code,
+      z e from vectors qualify code < 8), {", ".join(_round_sql(n) for n in range(1, 6))},
+    f as (select code, e, unnest(range(0, 64)) pos from code5)
+    select code, pos, round(e[pos + 1], 6) + 0.0 as v from f""",
+)
 def kmeans_run(t):
     """Five k-means rounds on all vectors."""
     codebook = vec.kmeans(views.vectors(t), 8, 5, seed=71)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomframe.operators.ordering import ROWS_PER_TASK, numbered
@@ -27,6 +27,12 @@ def unprocessed(manifest: DataFrame, processed: DataFrame, on: str = "path") ->
     return manifest.join(processed.select(on), on, "left_anti")
 
 
+def outputs_present(spark: SparkSession, folder: str, suffix: str = ".png") -> int:
+    """How many outputs a folder holds already; their contents aren't read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder)
+    return files.select("path").count()
+
+
 def output_names(
     df: DataFrame, order: list[str], already: int, width: int = 6, suffix: str = ".png",
     into: str = "out_name", rows_per_task: int = ROWS_PER_TASK,

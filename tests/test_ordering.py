@@ -31,6 +31,14 @@ def test_global_numbers(table, rows, size):
     assert {r["id"]: r["row_no"] for r in got} == want
 
 
+def test_more_pieces_than_rows_of_some(table, rows):
+    got = ordering.numbered(table, ["id"], within=["grp"], rows_per_task=3).collect()
+    want = {}
+    for g in {r[0] for r in rows}:
+        want |= {i: n for n, i in enumerate(sorted(r[1] for r in rows if r[0] == g))}
+    assert {r["id"]: r["row_no"] for r in got} == want
+
+
 @pytest.mark.parametrize("size", [10_000, 100, 17])
 def test_group_numbers_and_totals(table, rows, size):
     got = ordering.running_total(

@@ -312,3 +312,25 @@ def test_entities_are_decoded_before_encoding(spark):
     rows = spark.createDataFrame([("Ben &amp;amp; Tom",), ("ben & tom",)], "t string")
     first, second = rows.select(tokenizer.encode("t", [("b", "e")])).collect()
     assert first == second
+
+
+def test_natural_order_of_names(spark):
+    def last(*names):
+        return labels.latest_by_name(spark.createDataFrame([(n,) for n in names], "name string"), "name").first()[0]
+
+    assert last("run_9", "run_10", "run_2") == "run_10"
+    assert last("2024-b-9", "2025-a-1") == "2025-a-1"
+    assert last("a2b", "a10a") == "a10a"
+    assert last("v1", "v" + "9" * 30, "v" + "1" * 31) == "v" + "1" * 31
+    assert last("v002", "v1") == "v002"
+
+
+def test_outputs_present_and_landmarks(spark, tmp_path):
+    for n in range(3):
+        (tmp_path / f"{n:06d}.png").write_bytes(b"x")
+    (tmp_path / "notes.txt").write_text("x")
+    assert sinks.outputs_present(spark, str(tmp_path)) == 3
+    rows = spark.createDataFrame(
+        [(1, [(0.5, 1.0)]), (2, []), (3, None)], "id int, pts array<struct<x:double,y:double>>"
+    )
+    assert [r["id"] for r in rows.filter(filters.with_landmarks("pts")).collect()] == [1]
