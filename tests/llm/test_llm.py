@@ -336,3 +336,15 @@ def test_pipeline_of_odd_rows(spark, odd):
         docs = spark.createDataFrame(docs.collect(), docs.schema)
     kept = sorted(r.doc_id or 0 for r in docs.collect())
     assert kept == [0, 1, 4, 5, 7, 8, 9, 10]
+
+
+def test_pipeline_drops_near_copies_of_080(spark):
+    rows = []
+    for i in range(40):
+        words = [f"{i}x{k}" for k in range(100)]
+        other = [f"own{k}" if k in (30, 60) else w for k, w in enumerate(words)]  # 86 of 106 shingles are shared
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    apart = [f"far{k}" for k in range(100)]
+    rows += [(90, " ".join(apart)), (91, " ".join("own" if k in (20, 50, 80) else w for k, w in enumerate(apart)))]  # 81 of 111
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_near(spark, docs, SF).collect()) == [*range(0, 80, 2), 90, 91]
