@@ -1,38 +1,26 @@
 """Benchmark decontamination by edit distance.
 
-A CGK random walk reads a window with steps of 0 or 1 decided by shared random bits of (step,
-byte), so that two strings of small edit distance give outputs of small Hamming distance.  Bit
-sampling tables then hash a few output positions.  Walks and tables are repeated until a pair at
-the largest allowed distance meets in some table with the target recall; what meets is settled by
-an exact edit distance.
-
-Windows are of the items' own sizes.  Of all places where one could begin, only those are walked
-where a match is possible at all: an item is cut into p pieces of eight characters or more, of
-which d edits leave p - d whole, shifted against each other by d at most (pigeonhole).  A window is
-set wherever a document holds a piece, and so many pieces of the item lie that close together.
+Of all places where an item could begin, only those are looked at where a match is possible at all:
+an item is cut into p pieces of eight characters or more, of which d edits leave p - d whole,
+shifted against each other by d at most (pigeonhole).  A spot is set wherever a document holds a
+piece, and so many pieces of the item lie that close together.  Spots close to each other become one
+region, wide enough for every match that they stand for, and an exact edit distance settles it.
+Nothing is sampled: an item within its distance is always found.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import mixed, slices
+from loomframe.llm.common import slices
 
 PIECE = 8
-SAMPLED = 4
-#: Tables that sample one walk.
-PER_WALK = 4
-#: Share of the walk's output that may differ at the largest distance allowed; the repeats follow.
-DIFFERS = 0.45
 #: Bytes of item texts that one task holds at a time; more items are met block by block.
 ITEM_BYTES = 4 << 20
-#: Bytes of text searched in one go: walks take as many steps for many windows as for few.
+#: Bytes of text searched in one go.
 SEARCH_BYTES = 1 << 20
 _FILTER_BITS = 20
 
@@ -48,11 +36,6 @@ def folded(text: str) -> np.ndarray:
     return np.where(points < 256, points, 1 + (points * np.uint32(0x9E3779B1) >> np.uint32(16)) % 255).astype(np.uint8)
 
 
-def repeats(recall: float) -> int:
-    """Tables needed so that a pair at the largest distance meets in one with probability ``recall``."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - DIFFERS) ** SAMPLED))
-
-
 def allowed(length: int, share: float) -> int:
     return int(length * share)
 
@@ -81,47 +64,10 @@ def edit_distance_within(item: str, region: str, most: int) -> int | None:
     return best if best <= most else None
 
 
-@dataclass
-class Walks:
-    """Random bits of each walk and the sampled outputs of each table, the same everywhere."""
-
-    tables: int
-    seed: int = 7
-
-    def keys(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """(windows, tables) hashes of the windows data[start : start + size], empty beyond ``stops``.
-
-        A walk has two steps for each byte of its window; most have read it all by then.
-        """
-        out = np.zeros((len(starts), self.tables), np.uint64)
-        if not len(starts):
-            return out
-        padded = np.concatenate([data, np.zeros(1, np.uint8)])
-        steps = 2 * int(sizes.max())
-        last, nowhere = np.minimum(starts + sizes, stops), len(data)
-        column = np.arange(len(starts))
-        for walk in range(-(-self.tables // PER_WALK)):
-            rng = np.random.default_rng([self.seed, walk])
-            picks = rng.random((PER_WALK, SAMPLED))
-            moves = np.random.default_rng([self.seed, walk, 1]).integers(0, 2, (steps, 256), np.int8).astype(np.int64)
-            moves[:, 0] = 1
-            read = np.empty((steps, len(starts)), np.uint8)
-            at = starts.copy()
-            for step in range(steps):
-                byte = padded[np.where(at < last, at, nowhere)]
-                read[step] = byte
-                at += moves[step][byte]
-            for k, table in enumerate(range(walk * PER_WALK, min(self.tables, (walk + 1) * PER_WALK))):
-                for pick in picks[k]:
-                    seen = read[(pick * 2 * sizes).astype(np.int64), column]
-                    out[:, table] = mixed(out[:, table] * np.uint64(257) + seen + np.uint64(1))
-        return out
-
-
 class Items:
-    """A block of items ready to be searched for: pieces, their filter, and LSH keys."""
+    """A block of items ready to be searched for: pieces and their filter."""
 
-    def __init__(self, ids: list, texts: list[str], share: float, recall: float):
+    def __init__(self, ids: list, texts: list[str], share: float):
         self.ids, self.texts = ids, texts
         self.most = [allowed(len(t), share) for t in texts]
         #: characters by which whole pieces may be shifted, and how many of them a match has
@@ -144,16 +90,13 @@ class Items:
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self._slot(self.words)] = True
         self.sizes = np.array([len(t) for t in texts], np.int64)
-        data, ends = np.concatenate(signs), np.cumsum(self.sizes)
-        self.walks = Walks(repeats(recall))
-        self.keys = self.walks.keys(data, ends - self.sizes, ends, self.sizes)
 
     @staticmethod
     def _slot(words: np.ndarray) -> np.ndarray:
         return (words * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _FILTER_BITS)
 
     def windows(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, items): where a piece puts a window of an item in ``data``."""
+        """(starts, items): where pieces put the begin of an item in ``data``."""
         hits = []
         for shift in range(PIECE):
             words = np.frombuffer(data, "<u8", max(0, (len(data) - shift) // PIECE), shift) if len(data) >= shift + PIECE else np.zeros(0, "<u8")
@@ -184,25 +127,24 @@ class Items:
         ends = np.cumsum([len(t) + 1 for t in texts]) - 1
         begins = np.concatenate([[0], ends[:-1] + 1])
         starts, items = self.windows(data)
-        # the text a window is in: that of its middle, clipped by the text's ends
+        # the text a match is in: that of its middle, which d edits don't move beyond the text's ends
         owner = np.minimum(np.searchsorted(ends, starts + self.sizes[items] // 2), len(texts) - 1)
-        by_size = np.argsort(self.sizes[items], kind="stable")  # windows walked together take as many steps
-        starts, items, owner = starts[by_size], items[by_size], owner[by_size]
-        good = []
-        for part in range(0, len(starts), 1 << 12):  # bounds what the walks record
-            now = slice(part, part + (1 << 12))
-            begin = np.maximum(starts[now], begins[owner[now]])
-            keys = self.walks.keys(data, begin, ends[owner[now]], self.sizes[items[now]])
-            good.append(np.flatnonzero((keys == self.keys[items[now]]).any(axis=1)) + part)
+        order = np.lexsort((starts, items, owner))
+        starts, items, owner = starts[order], items[order], owner[order]
+        # a match begins within d of its spots and has n + d characters at most; what overlaps is one region
+        low, high = starts - 2 * self.drift[items], starts + self.sizes[items] + 2 * self.drift[items]
+        first = np.ones(len(starts), bool)
+        first[1:] = (owner[1:] != owner[:-1]) | (items[1:] != items[:-1]) | (low[1:] > high[:-1])
+        opens = np.flatnonzero(first)
+        closes = np.append(opens[1:], len(starts)) - 1 if len(opens) else opens
         found: dict[tuple[int, int], int] = {}
-        for k in np.concatenate(good) if good else ():
-            pair = int(owner[k]), int(items[k])
+        for begin, end in zip(opens, closes):
+            pair = int(owner[begin]), int(items[begin])
             if found.get(pair) == 0:
                 continue
-            item, most = self.texts[pair[1]], self.most[pair[1]]
-            at = int(starts[k] - begins[pair[0]])
-            region = texts[pair[0]][max(0, at - 2 * most) : max(0, at) + len(item) + 2 * most]
-            distance = edit_distance_within(item, region, most)
+            base = int(begins[pair[0]])
+            region = texts[pair[0]][max(0, int(low[begin]) - base) : max(0, int(high[end]) - base)]
+            distance = edit_distance_within(self.texts[pair[1]], region, self.most[pair[1]])
             if distance is not None:
                 found[pair] = min(distance, found.get(pair, distance))
         return [(text, item, d) for (text, item), d in sorted(found.items())]
@@ -210,7 +152,7 @@ class Items:
 
 def contaminated(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
-    share: float = 0.1, recall: float = 0.99, least: int = 24,
+    share: float = 0.1, least: int = 24,
 ) -> DataFrame:
     """(key, n_items, item_ids, distances, kept) for every row of ``docs``.
 
@@ -239,7 +181,7 @@ def contaminated(
         shipped = spark.sparkContext.broadcast(rows)
 
         def run(batches, shipped=shipped):
-            block = Items(*map(list, zip(*shipped.value)), share, recall)
+            block = Items(*map(list, zip(*shipped.value)), share)
             for part in slices(batches, most=SEARCH_BYTES):
                 hits: dict[int, list] = {}
                 for row, item, distance in block.search([normalised(t or "") for t in part.column("text").to_pylist()]):

@@ -151,6 +151,27 @@ def test_decontamination_recall(spark):
             assert brute_edit(text, decontam.normalised(by[r.doc_id])) <= distance <= len(text) // 10
 
 
+@pytest.mark.parametrize("kind", ["substitute", "insert", "delete", "mixed"])
+def test_decontamination_at_the_full_distance(spark, kind):
+    rng = random.Random(kind)
+    items = [decontam.normalised(r.text) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").orderBy("item_id").collect()][:60]
+    around = [decontam.normalised(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() if len(r.text or "") > 400]
+    rows, want = [], {}
+    for i, item in enumerate(items):
+        most = decontam.allowed(len(item), 0.1)
+        edited = list(item)
+        inner = [k for k in range(1, len(item) - 1) if " " not in item[k - 1 : k + 2]]  # blanks stay as they are
+        for k in sorted(rng.sample(inner, most), reverse=True):
+            how = kind if kind != "mixed" else rng.choice(["substitute", "insert", "delete"])
+            edited[k : k + 1] = {"substitute": ["#"], "insert": [edited[k], "#"], "delete": []}[how]
+        rows.append(" ".join([rng.choice(around)[:300], "".join(edited), rng.choice(around)[:300]]))
+        want[i] = brute_edit(item, decontam.normalised(rows[-1]))
+        assert want[i] <= most
+    docs, table = (spark.createDataFrame(list(enumerate(x)), f"{name} long, text string") for x, name in ((rows, "doc_id"), (items, "item_id")))
+    found = {r.doc_id: dict(zip(r.item_ids, r.distances)) for r in decontam.contaminated(docs, table).collect()}
+    assert {i: found[i].get(i) for i in want} == want
+
+
 def test_decontamination_of_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "short"), (4, "word " * 20), (4, "word " * 20), (None, "x" * 99)], "item_id long, text string")
     rows = {r.doc_id: r for r in decontam.contaminated(odd, items).collect()}
