@@ -120,7 +120,7 @@ def _verified(percent: int, size: int):
     def settle_group(ids: list, texts: list) -> tuple[list, list]:
         raw, offsets = flat(pa.array(texts, pa.large_string()))
         sets = list(_sets(_lower(raw), offsets, size))
-        order = sorted(range(len(ids)), key=lambda i: ids[i])
+        order = sorted(range(len(ids)), key=lambda i: tuple(ids[i].values()) if isinstance(ids[i], dict) else ids[i])
         ids, sets = [ids[i] for i in order], [sets[i] for i in order]
         root = _roots(map(tuple, linked_pairs(sets, percent).tolist()), len(ids))
         moved = [i for i in range(len(ids)) if root[i] != i]

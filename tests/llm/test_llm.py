@@ -369,3 +369,20 @@ def test_pipeline_drops_near_copies_of_080(spark):
     rows += [(90, " ".join(apart)), (91, " ".join("own" if k in (20, 50, 80) else w for k, w in enumerate(apart)))]  # 81 of 111
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.one_of_near(spark, docs, SF).collect()) == [*range(0, 80, 2), 90, 91]
+
+
+def test_pipeline_judges_rows_not_keys(spark, monkeypatch):
+    words = [f"w{k}" for k in range(100)]
+    near, item = [" ".join("own" if k == at else w for k, w in enumerate(words)) for at in (30, 60)], "a passage of the benchmark that has leaked " * 3
+    columns = "doc_id long, text string"
+    left = lambda stage, rows: sorted((r.doc_id or 0, r.text) for r in stage(spark, spark.createDataFrame(rows, columns), SF).collect())
+    judged = lambda docs, *_, key="doc_id": docs.select(key, (~F.coalesce(F.col("text").contains("toxic"), F.lit(False))).alias("kept"))
+    monkeypatch.setattr(toxicity, "train", lambda *_: None)
+    monkeypatch.setattr(toxicity, "scored", judged)
+    rows = [(None, "toxic"), (None, "clean"), (None, None), (1, "toxic"), (1, "clean"), (2, "toxic")]
+    assert left(corpus_pipeline.clean_language, rows[:2] + rows[3:]) == [(0, "clean"), (1, "clean")]
+    assert spark.createDataFrame(rows[2:3], columns).exceptAll(corpus_pipeline.clean_language(spark, spark.createDataFrame(rows, columns), SF)).isEmpty()
+    assert left(corpus_pipeline.one_of_equal, [(1, "a copy"), (2, "acopy"), (2, "a text of its own"), (2, "a text of its own")]) == [(1, "a copy"), (2, "a text of its own")]
+    assert left(corpus_pipeline.one_of_near, [(5, near[0]), (7, near[1]), (7, "other words than those"), (9, "and more")]) == [(5, near[0]), (7, "other words than those"), (9, "and more")]
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert left(corpus_pipeline.without_benchmark, [(None, item), (None, "clean"), (3, "x " + item), (3, "clean")]) == [(0, "clean"), (3, "clean")]
