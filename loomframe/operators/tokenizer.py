@@ -118,16 +118,22 @@ def decode_ids(ids, merges: Merges) -> Column:
 
 
 def learned_merges(df: DataFrame, text: str, n: int) -> list[tuple[str, str]]:
-    """The ``n`` most frequent adjacent ASCII letter pairs of a corpus as a merges table."""
+    """The ``n`` most frequent adjacent pairs of byte symbols over all words of a corpus as a merges table.
+
+    Words of every script, length and kind count; a word's last byte carries the end-of-word mark.
+    There are two to the 17 different pairs at most.  Pairs of merged symbols aren't counted again.
+    """
     words = df.select(F.explode(tx.words(tx.clean(text))).alias("word"))
-    plain = words.filter(F.col("word").rlike("^[a-z]{3,}$"))
-    counted = plain.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    starts = F.sequence(F.lit(1), F.length("word") - 2)
-    pairs = counted.select(
-        "n", F.explode(F.transform(starts, lambda i: F.substring("word", i, F.lit(2)))).alias("pair")
-    )
+    words = words.filter(~F.col("word").isin("<|startoftext|>", "<|endoftext|>"))  # these stay whole
+    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.withColumn("hex", F.hex(F.encode("word", "UTF-8"))).filter(F.length("hex") >= 4)
+    starts = F.sequence(F.lit(1), F.length("hex") - 3, F.lit(2))
+    pair = lambda i: F.struct(F.substring("hex", i, F.lit(4)).alias("bytes"), (i == F.length("hex") - 3).alias("last"))
+    pairs = counted.select("n", F.explode(F.transform(starts, pair)).alias("pair"))
     top = (
         pairs.groupBy("pair").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "pair").limit(n).collect()
+        .orderBy(F.desc("n"), "pair").limit(n).select("pair.*").collect()
     )
-    return [(r["pair"][0], r["pair"][1]) for r in top]
+    symbols = byte_symbols()
+    both = [(*(symbols[b] for b in bytes.fromhex(r["bytes"])), r["last"]) for r in top]
+    return [(a, b + END if last else b) for a, b, last in both]

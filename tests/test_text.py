@@ -113,3 +113,15 @@ def test_special_words_are_whole(spark):
     words = one(spark, "it's <|endoftext|> ok42", text.words("v").alias("w"))["w"]
     assert words == ["it", "'s", "<|endoftext|>", "ok", "4", "2"]
     assert F is not None
+
+
+def test_merges_are_learned_from_words_of_every_script(spark):
+    from loomframe.operators.tokenizer import END, byte_symbols, learned_merges
+
+    texts, sign = ["of of of of of \u00e9t\u00e9 \u00e9t\u00e9 \u00e9t\u00e9", "\u4e2d \u4e2d abc"], byte_symbols()
+    got = learned_merges(spark.createDataFrame([(t,) for t in texts], "text string"), "text", 50)
+    assert got[0] == ("o", "f" + END) and ("a", "b") in got and ("b", "c" + END) in got
+    for word in ("\u00e9t\u00e9", "\u4e2d"):
+        parts = [sign[b] for b in word.encode()]
+        parts[-1] += END
+        assert set(zip(parts, parts[1:])) <= set(got)
