@@ -38,6 +38,19 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits else df.hint("merge")
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, spread: str, copies: int = 16) -> DataFrame:
+    """``rows`` left-joined with a settled table of unique keys, which any share of the rows may hold.
+
+    The table is broadcast if its counted size allows; else each of its rows has ``copies``, and a row
+    asks the one that a hash of its column ``spread`` names, so that a hot key is met by many tasks.
+    """
+    if table.count() * len(table.columns) * BROADCAST_CELL <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(table), key, "left")
+    each = table.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    asked = rows.withColumn("__copy", F.pmod(F.xxhash64(spread), F.lit(copies)).cast("int"))
+    return asked.join(each.hint("merge"), [key, "__copy"], "left").drop("__copy")
+
+
 def below(key: Column, wanted: int, of: int) -> Column:
     """Rows for a sample of ``wanted`` among ``of``: a hash of the key under a cut that passes about
     twice as many, so that sorting and limiting them moves a bounded number of rows."""
