@@ -1,27 +1,22 @@
 """Image-table jobs: rows of ``(key, h, w, c, data)`` with channel-last pixels.
 
-Which step applies to which image, every size and every crop is decided by
-columns.  Python workers get batches of rows and only do the pixel arithmetic.
+Every step is a Column expression over the pixel array, so that images stay in the engine: which
+step applies to which image, every size, crop and weight is decided by columns.
 """
 
 from __future__ import annotations
 
 import struct
-import zlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from loomframe.functions import seeded
+from loomframe.functions import arrays, rasters, seeded
 from loomframe.functions.arrays import bind
 
-IMAGE = "h int, w int, c int, data array<double>"
-
-
 def as_images(df: DataFrame, key: str, pixels: Column, height: int, width: int, channels: int = 1):
     return df.select(
         key, F.lit(height).alias("h"), F.lit(width).alias("w"), F.lit(channels).alias("c"),
@@ -29,117 +24,20 @@ def as_images(df: DataFrame, key: str, pixels: Column, height: int, width: int,
     )
 
 
-def map_images(
-    df: DataFrame, key: str, fn: Callable[[np.ndarray, dict], np.ndarray],
-    params: Sequence[str] = (),
-) -> DataFrame:
-    """Replace the pixels of every row by ``fn(pixels, params of the row)``."""
-    extra = ", ".join(f"{p} {df.schema[p].dataType.simpleString()}" for p in params)
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for row in part.to_dict("records"):
-                out = fn(_pixels(row), row)
-                out = out[:, :, None] if out.ndim == 2 else out
-                rows.append([row[key], *[row[p] for p in params], *out.shape, out.ravel()])
-            yield pd.DataFrame(rows, columns=[key, *params, "h", "w", "c", "data"])
-
-    schema = f"{key} {kind}, {extra + ', ' if extra else ''}{IMAGE}"
-    return df.select(key, "h", "w", "c", "data", *params).mapInPandas(run, schema)
-
-
-def map_pairs(
-    df: DataFrame, key: str, fn: Callable[[np.ndarray, dict], tuple[np.ndarray, np.ndarray]],
-    params: Sequence[str] = (), names: tuple[str, str] = ("low", "high"),
-) -> DataFrame:
-    """Two images per row from one, as struct columns."""
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = [
-                (row[key], *[_struct(x) for x in fn(_pixels(row), row)])
-                for row in part.to_dict("records")
-            ]
-            yield pd.DataFrame(rows, columns=[key, *names])
-
-    item = "struct<h:int,w:int,c:int,data:array<double>>"
-    schema = f"{key} {kind}, {names[0]} {item}, {names[1]} {item}"
-    return df.select(key, "h", "w", "c", "data", *params).mapInPandas(run, schema)
-
-
-def _pixels(row: dict) -> np.ndarray:
-    data = np.asarray(row["data"], dtype=np.float64)
-    return data.reshape(int(row["h"]), int(row["w"]), int(row["c"]))
-
-
-def _struct(x: np.ndarray) -> dict:
-    h, w, c = x.shape
-    return {"h": h, "w": w, "c": c, "data": x.ravel()}
+def _renamed(df: DataFrame, height: str = "__h", width: str = "__w") -> DataFrame:
+    """New sizes as h and w.  They keep other names while pixels are made from the old ones: inside
+    a lambda a new "w" of the same projection would be taken for the width of the source."""
+    return df.withColumnsRenamed({height: "h", width: "w"})
 
 
 # --- resampling --------------------------------------------------------------
 
 
-def _cubic(d: np.ndarray) -> np.ndarray:
-    d = np.abs(d)
-    near = (1.5 * d - 2.5) * d * d + 1.0
-    far = ((-0.5 * d + 2.5) * d - 4.0) * d + 2.0
-    return np.where(d <= 1, near, np.where(d < 2, far, 0.0))
-
-
-# Filter and its radius at scale one.
-FILTERS = {
-    "box": (lambda d: ((d > -0.5) & (d <= 0.5)).astype(float), 0.5),
-    "linear": (lambda d: np.maximum(0.0, 1.0 - np.abs(d)), 1.0),
-    "cubic": (_cubic, 2.0),
-}
-
-
-def resample_weights(n_in: int, n_out: int, kind: str, edge: str = "cut") -> np.ndarray:
-    """Dense weights ``(n_out, n_in)`` of an antialiased one-dimensional resize.
-
-    ``edge`` "cut" renormalises weights at the border, "mirror" reflects them.
-    """
-    if kind == "nearest":
-        at = np.minimum(((np.arange(n_out) + 0.5) * n_in / n_out).astype(int), n_in - 1)
-        return np.eye(n_in)[at]
-    shape, radius = FILTERS[kind]
-    stretch = max(1.0, n_in / n_out)
-    centre = (np.arange(n_out) + 0.5) * n_in / n_out - 0.5
-    reach = int(np.ceil(radius * stretch)) + 1
-    taps = np.floor(centre)[:, None] + np.arange(-reach, reach + 1)[None, :]
-    weight = shape((centre[:, None] - taps) / stretch)
-    taps = taps.astype(int)
-    if edge == "mirror":
-        fold = np.mod(taps, 2 * n_in)
-        taps = np.where(fold >= n_in, 2 * n_in - 1 - fold, fold)
-    else:
-        weight = np.where((taps >= 0) & (taps < n_in), weight, 0.0)
-        taps = np.clip(taps, 0, n_in - 1)
-    out = np.zeros((n_out, n_in))
-    np.add.at(out, (np.arange(n_out)[:, None], taps), weight)
-    return out / out.sum(1, keepdims=True)
-
-
-def resized(x: np.ndarray, height: int, width: int, kind: str = "cubic", edge: str = "cut"):
-    rows = resample_weights(x.shape[0], height, kind, edge)
-    cols = resample_weights(x.shape[1], width, kind, edge)
-    return np.einsum("ih,hwc,jw->ijc", rows, x, cols, optimize=True)
-
-
-def as_bytes(x: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(x), 0, 255)
-
-
-def resize(df: DataFrame, key: str, height, width, kind: str = "cubic", edge: str = "cut"):
-    """Resize to sizes given as numbers or columns."""
-    sized = df.withColumn("out_h", _int(height)).withColumn("out_w", _int(width))
-    return map_images(
-        sized, key, lambda x, r: resized(x, r["out_h"], r["out_w"], kind, edge), ["out_h", "out_w"]
-    ).drop("out_h", "out_w")
+def resize(df: DataFrame, key: str, height, width, kind: str = "cubic", edge: str = "cut", keep: Sequence[str] = ()) -> DataFrame:
+    """Resize to sizes given as numbers or columns; kinds are nearest, box, linear and cubic."""
+    sized = df.withColumns({"__h": _int(height), "__w": _int(width)})
+    data = rasters.resized(F.col("data"), F.col("h"), F.col("w"), F.col("c"), F.col("__h"), F.col("__w"), kind, edge)
+    return _renamed(sized.select(key, *keep, "__h", "__w", "c", data.alias("data")))
 
 
 def resize_short_side(df: DataFrame, key: str, size: int, kind: str = "cubic") -> DataFrame:
@@ -150,20 +48,12 @@ def resize_short_side(df: DataFrame, key: str, size: int, kind: str = "cubic") -
     )
 
 
-def random_multiple_size(low: int, high: int, step: int, seed: int, batch) -> Column:
-    """One random target size per batch, a multiple of ``step`` in [low, high)."""
-    return F.lit(low) + step * seeded.uniform_int(seed, max(1, (high - low) // step), batch)
-
-
-def halved(df: DataFrame, key: str, times: int, kind: str = "linear") -> DataFrame:
+def halved(df: DataFrame, key: str, times: int, kind: str = "linear", keep: Sequence[str] = ()) -> DataFrame:
     """Halve ``times`` times."""
-
-    def run(x, _):
-        for _ in range(times):
-            x = resized(x, x.shape[0] // 2, x.shape[1] // 2, kind)
-        return x
-
-    return map_images(df, key, run)
+    half = lambda n: F.floor(F.col(n) / 2)
+    for _ in range(times):
+        df = resize(df, key, half("h"), half("w"), kind, keep=keep)
+    return df
 
 
 def _int(value) -> Column:
@@ -198,11 +88,7 @@ def crop(df: DataFrame, key: str, top, left, height, width, keep: Sequence[str]
         F.col("data"), F.col("w"), F.col("c"), F.col("__top"), F.col("__left"),
         F.col("__h"), F.col("__w"),
     ))
-    # Sizes keep their own names until the cut is made: a new "w" must not be
-    # taken for the width of the source.
-    return placed.select(key, *keep, "__h", "__w", "c", data.alias("data")).withColumnsRenamed(
-        {"__h": "h", "__w": "w"}
-    )
+    return _renamed(placed.select(key, *keep, "__h", "__w", "c", data.alias("data")))
 
 
 def center_crop(df: DataFrame, key: str, size: int) -> DataFrame:
@@ -217,21 +103,25 @@ def random_crop(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:
 
 
 def square_crop_around(df: DataFrame, key: str, corners: str, ratio: float = 1.0) -> DataFrame:
-    """Square crop centred on a box (left, top, right, bottom), mirrored outside."""
+    """Square crop centred on a box (left, top, right, bottom), mirrored at the image's edges.
+
+    Places beyond an edge are folded back, so that no padded image is made.  The side is ``ratio`` times
+    the box's longer one, 2 at least.
+    """
+    limit = F.greatest("h", "w").cast("double")
+    box = F.transform(F.col(corners), lambda v: F.least(F.greatest(v.cast("double"), F.lit(0.0)), limit))
+    # a box is an array of its own until its numbers are columns
+    placed = df.withColumn("__box", box).withColumns({
+        "__side": F.greatest(F.lit(2), (F.greatest(F.expr("__box[2] - __box[0]"), F.expr("__box[3] - __box[1]")) * ratio).cast("int")),
+        "__cx": F.expr("(__box[0] + __box[2]) / 2"), "__cy": F.expr("(__box[1] + __box[3]) / 2"),
+    })
 
-    def run(x, row):
-        limit = max(x.shape[:2])
-        left, top, right, bottom = np.clip(np.asarray(row[corners], dtype=float), 0, limit)
-        side = max(2, int(ratio * max(right - left, bottom - top)))
-        cx, cy = (left + right) / 2, (top + bottom) / 2
-        pad = int(np.ceil(-min(cx - side, cy - side, x.shape[1] - cx - side, x.shape[0] - cy - side)))
-        if pad > 0:
-            x = np.pad(x, [(pad, pad), (pad, pad), (0, 0)], "reflect")
-            cx, cy = cx + pad, cy + pad
-        x0, y0 = int(cx - side / 2), int(cy - side / 2)
-        return x[y0 : y0 + side, x0 : x0 + side]
+    def places(centre: str, n: str) -> Column:
+        first = F.floor(F.col(centre) - F.col("__side") / 2).cast("int")
+        return F.transform(F.sequence(first, first + F.col("__side") - 1), lambda i: rasters.reflected(i, F.col(n)))
 
-    return map_images(df, key, run, [corners]).drop(corners)
+    data = rasters.gathered(F.col("data"), F.col("w"), F.col("c"), places("__cy", "h"), places("__cx", "w"))
+    return _renamed(placed.select(key, "__side", F.col("__side").alias("__w"), "c", data.alias("data")), "__side", "__w")
 
 
 def tile_origins(side: Column, size: int, overlap: int) -> Column:
@@ -302,26 +192,53 @@ def border_weight(y: Column, x: Column, height: int, width: int, low: float, hig
 
 def stitched(
     parts: DataFrame, key: str, height: int, width: int, kernel: int, stride: int,
-    clip=(0.01, 0.5), tie_clip: tuple[float, float] | None = (0.01, 0.5),
+    clip=(0.01, 0.5), tie_clip: tuple[float, float] | None = (0.01, 0.5), channels: int = 1, up: int = 1, down: int = 1,
 ) -> DataFrame:
-    """Overlap-normalised images from single-channel patches, one row per pixel.
+    """Overlap-normalised images (key, h, w, c, data) from the patches of a ``height`` x ``width`` raster.
 
-    Pixels of a patch are weighted by their distance to its border and, with
-    ``tie_clip``, by the place of the patch in the grid.
+    Patches were cut with ``kernel`` and ``stride`` and may since have been enlarged by ``up`` or shrunk by
+    ``down``; the image changes with them.  Pixels of a patch are weighted by their distance to its
+    border and, with ``tie_clip``, by the place of the patch in the grid.  An image's patches are
+    one group of as many rows as the grid has places; each output pixel gathers the few patches over
+    it, and no row is made for a pixel.  A place under no patch is null.
     """
+    if up > 1 and down > 1:
+        raise ValueError("patches are either enlarged or shrunk")
     rows, cols = (height - kernel) // stride + 1, (width - kernel) // stride + 1
-    pixels = parts.select(key, "patch", F.posexplode("data").alias("i", "v"))
-    py, px = F.floor(F.col("patch") / cols), F.col("patch") % cols
-    iy, ix = F.floor(F.col("i") / kernel), F.col("i") % kernel
-    weight = border_weight(iy, ix, kernel, kernel, *clip)
-    if tie_clip is not None:
-        weight = weight * border_weight(py, px, rows, cols, *tie_clip)
-    return (
-        pixels.select(
-            key, (py * stride + iy).alias("y"), (px * stride + ix).alias("x"), "v", weight.alias("g")
-        )
-        .groupBy(key, "y", "x")
-        .agg((F.sum(F.col("g") * F.col("v")) / F.sum("g")).alias("v"))
+    scaled = lambda n: n * up // down
+    size, step, out_h, out_w = scaled(kernel), scaled(stride), scaled(height), scaled(width)
+    line = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+
+    def over(at: Column, count: int) -> Column:
+        """Grid places whose patches lie over a row or column of the image."""
+        return F.filter(line(count), lambda p: (at >= p * step) & (at < p * step + size))
+
+    def pixel(patches: Column, y: Column, x: Column) -> Column:
+        def meet(py: Column, px: Column) -> Column:
+            iy, ix = y - py * step, x - px * step
+            weight = border_weight(iy, ix, size, size, *clip)
+            if tie_clip is not None:
+                weight = weight * border_weight(py, px, rows, cols, *tie_clip)
+            return F.struct((py * cols + px).alias("p"), ((iy * size + ix) * channels).alias("i"), weight.alias("g"))
+
+        here = F.flatten(F.transform(over(y, rows), lambda py: F.transform(over(x, cols), lambda px: meet(py, px))))
+
+        def blend(some: Column) -> Column:
+            total = F.aggregate(some, F.lit(0.0), lambda acc, m: acc + m["g"])
+            return bind(total, lambda t: F.transform(line(channels), lambda k: F.when(t > 0, F.aggregate(
+                some, F.lit(0.0), lambda acc, m: acc + m["g"] * F.get(F.get(patches, m["p"]), m["i"] + k)) / t)))
+
+        return bind(here, blend)
+
+    def whole(patches: Column) -> Column:
+        return F.flatten(F.transform(line(out_h), lambda y: F.flatten(F.transform(line(out_w), lambda x: pixel(patches, y, x)))))
+
+    # a grid of rows * cols patches is all that a group can hold
+    inside = parts.filter((F.col("patch") >= 0) & (F.col("patch") < rows * cols))
+    grid = inside.groupBy(key).agg(F.collect_list(F.struct("patch", "data")).alias("__some"))
+    patches = F.transform(line(rows * cols), lambda n: F.get(F.filter("__some", lambda s: s["patch"] == n), F.lit(0))["data"])
+    return grid.select(
+        key, F.lit(out_h).alias("h"), F.lit(out_w).alias("w"), F.lit(channels).alias("c"), bind(patches, whole).alias("data")
     )
 
 
@@ -342,67 +259,10 @@ def cropped_to_multiple(df: DataFrame, key: str, step: int) -> DataFrame:
     return crop(df, key, 0, 0, cut("h"), cut("w"))
 
 
-def edge_map(df: DataFrame, key: str, sigma: float = 2.0) -> DataFrame:
-    """Gradient magnitude of the smoothed gray image, scaled to [0, 1]."""
-
-    def run(x, _):
-        gray = x @ np.array([0.299, 0.587, 0.114]) if x.shape[2] == 3 else x.mean(2)
-        smooth = _filtered(gray[:, :, None], gaussian_kernel(9, sigma))[:, :, 0]
-        gy, gx = np.gradient(smooth)
-        edges = np.hypot(gx, gy)
-        return edges / max(edges.max(), 1e-12)
-
-    return map_images(df, key, run)
-
-
 def warp(df: DataFrame, key: str, matrix: str, height: int, width: int) -> DataFrame:
     """Bilinear warp by a forward 2x3 matrix column; zero outside the source."""
-
-    def run(x, row):
-        m = np.vstack([np.asarray(row[matrix], dtype=float).reshape(2, 3), [0, 0, 1]])
-        back = np.linalg.inv(m)
-        yy, xx = np.mgrid[0:height, 0:width]
-        sx, sy, _ = np.tensordot(back, np.stack([xx, yy, np.ones_like(xx)]).astype(float), 1)
-        padded = np.pad(x, [(1, 1), (1, 1), (0, 0)])
-        sx = np.clip(sx + 1, 0, padded.shape[1] - 1.001)
-        sy = np.clip(sy + 1, 0, padded.shape[0] - 1.001)
-        x0, y0 = sx.astype(int), sy.astype(int)
-        fx, fy = (sx - x0)[..., None], (sy - y0)[..., None]
-        top = padded[y0, x0] * (1 - fx) + padded[y0, x0 + 1] * fx
-        low = padded[y0 + 1, x0] * (1 - fx) + padded[y0 + 1, x0 + 1] * fx
-        return top * (1 - fy) + low * fy
-
-    return map_images(df, key, run, [matrix]).drop(matrix)
-
-
-def png_bytes(x: np.ndarray) -> bytes:
-    """8-bit PNG of an H x W x (1 or 3) array."""
-    h, w, c = x.shape
-    raw = np.zeros((h, w * c + 1), dtype=np.uint8)
-    raw[:, 1:] = as_bytes(x).astype(np.uint8).reshape(h, -1)
-
-    def chunk(tag: bytes, body: bytes) -> bytes:
-        return struct.pack(">I", len(body)) + tag + body + struct.pack(">I", zlib.crc32(tag + body))
-
-    head = struct.pack(">IIBBBBB", w, h, 8, 2 if c == 3 else 0, 0, 0, 0)
-    return (
-        b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head)
-        + chunk(b"IDAT", zlib.compress(raw.tobytes())) + chunk(b"IEND", b"")
-    )
-
-
-def encoded(
-    df: DataFrame, key: str, encode: Callable[[np.ndarray], bytes] = png_bytes, into: str = "imbytes"
-) -> DataFrame:
-    """Images as encoded bytes, by an encoder the caller may supply."""
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = [encode(_pixels(r)) for r in part.to_dict("records")]
-            yield pd.DataFrame({key: part[key], into: out})
-
-    return df.select(key, "h", "w", "c", "data").mapInPandas(run, f"{key} {kind}, {into} binary")
+    data = rasters.warped(F.col("data"), F.col("h"), F.col("w"), F.col("c"), F.col(matrix), height, width)
+    return _renamed(df.select(key, F.lit(height).alias("__h"), F.lit(width).alias("__w"), "c", data.alias("data")))
 
 
 def header_size(column) -> tuple[Column, Column]:
@@ -450,103 +310,57 @@ def _header(raw: bytes) -> tuple[int | None, int | None]:
 # --- pairs and metrics --------------------------------------------
 
 
-def low_high_pairs(df: DataFrame, key: str, low: int, high: int, blur_sigma: float | None = None):
-    """Training pairs: the image at ``high``, and the same after a detour over ``low``."""
+def low_high_pairs(df: DataFrame, key: str, low: int, high: int, blur_sigma: float | None = None) -> DataFrame:
+    """Training pairs (key, low, high): the image at ``high``, and the same after a detour over ``low``.
+
+    Both are structs of an image, scaled to [-1, 1]; each step rounds to bytes, as stored images do.
+    """
     if low >= high:
         raise ValueError("the low size must be below the target size")
-
-    def run(x, _):
-        target = as_bytes(resized(x, high, high))
-        small = as_bytes(resized(x, low, low))
-        if blur_sigma is not None:
-            small = as_bytes(_filtered(small, gaussian_kernel(7, blur_sigma)))
-        back = as_bytes(resized(small, high, high))
-        return back / 127.5 - 1.0, target / 127.5 - 1.0
-
-    return map_pairs(df, key, run)
-
-
-def gaussian_kernel(size: int, sigma: float) -> np.ndarray:
-    """Normalised Gaussian."""
-    line = np.exp(-0.5 * ((np.arange(size) - (size - 1) / 2) / sigma) ** 2)
-    k = line[:, None] * line[None, :]
-    return k / k.sum()
-
-
-def _filtered(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
-    """Same-size correlation with mirrored borders."""
-    ry, rx = kernel.shape[0] // 2, kernel.shape[1] // 2
-    p = np.pad(x, [(ry, ry), (rx, rx), (0, 0)], "symmetric")
-    windows = np.lib.stride_tricks.sliding_window_view(p, kernel.shape, axis=(0, 1))
-    return np.einsum("hwcij,ij->hwc", windows, kernel)
+    c = F.col("c")
+    # one step a projection: an expression of all steps would be too deep to resolve
+    steps = df.withColumn("__high", rasters.resized(F.col("data"), F.col("h"), F.col("w"), c, high, high))
+    steps = steps.withColumn("__low", rasters.as_bytes(rasters.resized(F.col("data"), F.col("h"), F.col("w"), c, low, low)))
+    if blur_sigma is not None:
+        steps = steps.withColumn("__low", rasters.as_bytes(rasters.blurred(F.col("__low"), low, low, c, rasters.gaussian(7, blur_sigma))))
+    steps = steps.withColumn("__back", rasters.resized(F.col("__low"), low, low, c, high, high))
+    scaled = lambda v: F.transform(rasters.as_bytes(F.col(v)), lambda x: x / 127.5 - 1.0)
+    image = lambda v: F.struct(F.lit(high).alias("h"), F.lit(high).alias("w"), "c", scaled(v).alias("data"))
+    return steps.select(key, image("__back").alias("low"), image("__high").alias("high"))
 
 
 def lowpass_swap(df: DataFrame, reference: DataFrame, key: str, factor: int) -> DataFrame:
-    """Replace the low frequencies of an image by those of its reference."""
-    kind = df.schema[key].dataType.simpleString()
-    pairs = df.join(reference.select(key, F.col("data").alias("ref")), key)
+    """Replace the low frequencies of an image by those of its reference (key, data) of the same size."""
+    pairs = df.join(reference.select(key, F.col("data").alias("__ref")), key)
+    h, w, c = F.col("h"), F.col("w"), F.col("c")
+    small = pairs.withColumns({"__small_h": F.floor(h / factor).cast("int"), "__small_w": F.floor(w / factor).cast("int")})
+    for name in ("data", "__ref"):  # one step a projection: an expression of all steps would be too deep to resolve
+        small = small.withColumn(f"__s{name}", rasters.resized(F.col(name), h, w, c, F.col("__small_h"), F.col("__small_w"), "cubic", "mirror"))
+        small = small.withColumn(f"__l{name}", rasters.resized(F.col(f"__s{name}"), F.col("__small_h"), F.col("__small_w"), c, h, w, "cubic", "mirror"))
+    parts = F.arrays_zip(F.col("data").alias("x"), F.col("__ldata").alias("a"), F.col("__l__ref").alias("b"))
+    return small.select(key, "h", "w", "c", F.transform(parts, lambda z: z["x"] - z["a"] + z["b"]).alias("data"))
 
-    def low(x: np.ndarray) -> np.ndarray:
-        h, w = x.shape[:2]
-        small = resized(x, h // factor, w // factor, "cubic", "mirror")
-        return resized(small, h, w, "cubic", "mirror")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for row in part.to_dict("records"):
-                x, ref = _pixels(row), _pixels({**row, "data": row["ref"]})
-                rows.append([row[key], *x.shape, (x - low(x) + low(ref)).ravel()])
-            yield pd.DataFrame(rows, columns=[key, "h", "w", "c", "data"])
+def ssim(pairs: DataFrame, key: str, border: int = 0) -> DataFrame:
+    """(key, ssim): structural similarity of ``data`` and ``ref`` on the 8-bit scale, channel mean.
 
-    return pairs.select(key, "h", "w", "c", "data", "ref").mapInPandas(run, f"{key} {kind}, {IMAGE}")
+    ``border`` pixels are left out at every edge; an image of fewer than 11 that remain has null.
+    """
+    h, w = F.col("h") - 2 * border, F.col("w") - 2 * border
+    inner = lambda v: cut(F.col(v), F.col("w"), F.col("c"), F.lit(border), F.lit(border), h, w) if border else F.col(v)
+    value = bind(F.struct(inner("data").alias("a"), inner("ref").alias("b")), lambda s: rasters.structural_similarity(s["a"], s["b"], h, w, F.col("c")))
+    return pairs.select(key, F.when((h >= rasters.SSIM_SIZE) & (w >= rasters.SSIM_SIZE), value).alias("ssim"))
 
 
-def ssim(pairs: DataFrame, key: str, border: int = 0) -> DataFrame:
-    """Structural similarity of ``data`` and ``ref`` on the 8-bit scale, channel mean."""
-    kind = pairs.schema[key].dataType.simpleString()
-    window = gaussian_kernel(11, 1.5)
-    c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
-
-    def local_mean(x: np.ndarray) -> np.ndarray:
-        views = np.lib.stride_tricks.sliding_window_view(x, window.shape, axis=(0, 1))
-        return np.einsum("hwcij,ij->hwc", views, window)
-
-    def score(a: np.ndarray, b: np.ndarray) -> float:
-        if border:
-            a, b = a[border:-border, border:-border], b[border:-border, border:-border]
-        ma, mb = local_mean(a), local_mean(b)
-        va, vb = local_mean(a * a) - ma * ma, local_mean(b * b) - mb * mb
-        cov = local_mean(a * b) - ma * mb
-        light = (2 * ma * mb + c1) / (ma * ma + mb * mb + c1)
-        return float((light * (2 * cov + c2) / (va + vb + c2)).mean())
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            values = [
-                score(_pixels(r), _pixels({**r, "data": r["ref"]})) for r in part.to_dict("records")
-            ]
-            yield pd.DataFrame({key: part[key], "ssim": values})
-
-    return pairs.select(key, "h", "w", "c", "data", "ref").mapInPandas(run, f"{key} {kind}, ssim double")
-
-
-def segmentation_pairs(
-    pairs: DataFrame, key: str, label: str, size: int, classes: int, shift: bool = False
-) -> DataFrame:
-    """Paired resize of image (cubic) and label map (nearest), then one-hot labels."""
-    kind = pairs.schema[key].dataType.simpleString()
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for row in part.to_dict("records"):
-                image = resized(_pixels(row), size, size)
-                seg = _pixels({**row, "c": 1, "data": row[label]})
-                seg = resized(seg, size, size, "nearest")[:, :, 0].astype(int)
-                seg = (seg + 1) % 256 if shift else seg
-                rows.append([row[key], image.ravel(), np.eye(classes, dtype=int)[seg].ravel()])
-            yield pd.DataFrame(rows, columns=[key, "data", "hot"])
-
-    schema = T.StructType.fromDDL(f"{key} {kind}, data array<double>, hot array<int>")
-    return pairs.select(key, "h", "w", "c", "data", label).mapInPandas(run, schema)
+def segmentation_pairs(pairs: DataFrame, key: str, label: str, size: int, shift: bool = False) -> DataFrame:
+    """(key, h, w, c, data, runs): the image resized (cubic) and its label map by the nearest label.
+
+    Labels are runs of (class, start, length); :func:`rasters.runs_one_hot` expands them where they
+    are needed.  ``shift`` adds one, so that 255 becomes 0.
+    """
+    near = rasters.resized(F.col(label).cast("array<double>"), F.col("h"), F.col("w"), 1, size, size, "nearest")
+    labels = near.cast("array<int>")
+    if shift:
+        labels = F.transform(labels, lambda v: arrays.shift_label(v))
+    both = pairs.withColumn("__runs", rasters.label_runs(labels))
+    return resize(both, key, size, size, keep=["__runs"]).withColumnRenamed("__runs", "runs")

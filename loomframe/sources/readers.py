@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -166,27 +165,6 @@ def write_file_list(tree: DataFrame, out: str) -> None:
     tree.select(F.col("relpath").alias("value")).orderBy("value").write.mode("overwrite").text(out)
 
 
-def array_files(spark: SparkSession, root: str) -> DataFrame:
-    """``.npy`` files as pixel rows; channel-first arrays become channel-last."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(root)
-
-    def load(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for path, content in zip(part["path"], part["content"]):
-                arr = np.load(io.BytesIO(content), allow_pickle=False).squeeze()
-                if arr.ndim == 2:
-                    arr = arr[None]
-                arr = np.moveaxis(arr, 0, -1)
-                h, w, c = arr.shape
-                rows.append((path, h, w, c, arr.astype("f4").ravel()))
-            yield pd.DataFrame(rows, columns=["path", "h", "w", "c", "data"])
-
-    return files.select("path", "content").mapInPandas(
-        load, "path string, h int, w int, c int, data array<float>"
-    )
-
-
 def decoded(
     df: DataFrame, key: str, column: str, decode: Callable[[bytes], np.ndarray]
 ) -> DataFrame:
@@ -203,12 +181,3 @@ def decoded(
 
     schema = T.StructType([df.schema[key], *PIXELS.fields])
     return df.select(key, column).mapInPandas(run, schema)
-
-
-def read_many(store: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
-    """Records of the requested keys."""
-    return keys.select(key).join(store, key)
-
-
-def list_keys(store: DataFrame, key: str = "key") -> DataFrame:
-    return store.select(key)
