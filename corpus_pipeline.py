@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomframe.llm import bpe, decontam, exact_dedup, minhash, toxicity
@@ -16,60 +17,59 @@ from loomframe.llm.common import settle, sized
 from loomframe.llm.queries import CATEGORIES, WORD_BPE, table
 
 
-def _without(docs: DataFrame, mark: Column, rejected: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose (doc_id, ``mark``) is among ``rejected`` (doc_id, mark).
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column, of a name that it doesn't have, which tells every row from all others.
 
-    The mark is taken from the row's text, so that other texts under the same key stay, and rows
-    without a key can be told apart.
+    It is (no key, key, file, place in the file), so that rows without a key come last and the least
+    number has the least key.  Rows are numbered by where they are stored, which no retry changes;
+    a table that isn't read from files is stored first.
     """
-    gone = rejected.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__gone")).distinct()
-    mine = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__gone"))
-    return docs.withColumn("__mark", mark).join(sized(settle(gone, "dropped")), mine, "left_anti").drop("__mark")
-
-
-def _judged_by_text(docs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``docs`` without the rows that ``judge`` rejects by nothing but their text, those without a key too."""
-    mark = F.unhex(F.sha2(F.col("text").cast("binary"), 256))
-    judged = judge(docs.withColumn("__row", F.struct("doc_id", mark.alias("mark"))))
-    return _without(docs, mark, judged.filter("not kept").select("__row.*"))
+    try:
+        place = docs.select("*", F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
+        place.schema  # noqa: B018  resolved here
+        stored = docs
+    except AnalysisException:
+        stored = settle(docs, "docs")
+    name = "__row"
+    while name in stored.columns:
+        name += "_"
+    number = F.struct(
+        F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"),
+        F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"),
+    )
+    return stored.select("*", number.alias(name)), name
+
+
+def _kept(docs: DataFrame, judge: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` (rows, name of their number) -> (number, kept) keeps."""
+    rows, number = _numbered(docs)
+    rejected = settle(judge(rows, number).filter("not kept").select(F.col(number).alias("gone")), "rejected")
+    return rows.join(sized(rejected), F.col(number) == F.col("gone"), "left_anti").drop(number)
 
 
 def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: toxic documents go."""
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"), CATEGORIES)
-    return _judged_by_text(docs, lambda rows: toxicity.scored(rows, chain, ["toxic"], key="__row"))
+    return _kept(docs, lambda rows, number: toxicity.scored(rows, chain, ["toxic"], key=number))
 
 
 def one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: of equal texts one row stays, also of rows that repeat a key; rows without a key stay."""
-    judged = settle(exact_dedup.exact_duplicates(docs).withColumnRenamed("text_sha256", "mark"), "judged")
-    digest = exact_dedup.text_digest(F.col("text"))
-    left = _without(docs, digest, judged.filter("doc_id <> keep_id"))  # not those that only repeat their winner
-    # rows that repeat key and text: few, and known from the narrow result
-    repeated = judged.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null")
-    twice = settle(repeated.select("doc_id").distinct(), "repeated")
-    if twice.isEmpty():
-        return left
-    some = left.join(twice, "doc_id", "left_semi").withColumn("__digest", digest)
-    some = some.withColumn("__length", F.char_length("text")).orderBy(F.desc("__length")).dropDuplicates(["doc_id", "__digest"])
-    return left.join(twice, "doc_id", "left_anti").unionByName(some.drop("__digest", "__length"))
+    """Operator 9: of equal texts the longest row stays, then the one with the least key, one without a key last."""
+    return _kept(docs, lambda rows, number: exact_dedup.exact_duplicates(rows, key=number))
 
 
 def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: of each component the row with the least key stays; rows without a key stay.
+    """Operator 1: of each component the row with the least key stays, one without a key last.
 
     A similarity of 0.8 links, 0.85 is the contract of the op1 query alone; 14 hashes miss a pair in 800 at 0.8.
     """
-    mark = F.xxhash64("text")  # tells apart only the texts of one key
-    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", mark.alias("mark")))  # in the order of keys
-    judged = minhash.near_duplicates(docs.withColumn("__row", row), key="__row", percent=80, hashes=14)
-    return _without(docs, mark, judged.filter("not kept").select("__row.*"))
+    return _kept(docs, lambda rows, number: minhash.near_duplicates(rows, key=number, percent=80, hashes=14))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: documents with a passage of the benchmark go."""
     items = table(spark, sf_dir, "benchmark")
-    return _judged_by_text(docs, lambda rows: decontam.contaminated(rows, items, key="__row"))
+    return _kept(docs, lambda rows, number: decontam.contaminated(rows, items, key=number))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
