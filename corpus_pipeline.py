@@ -43,8 +43,8 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 def _kept(docs: DataFrame, judge: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """The rows of ``docs`` that ``judge`` (rows, name of their number) -> (number, kept) keeps."""
     rows, number = _numbered(docs)
-    rejected = settle(judge(rows, number).filter("not kept").select(F.col(number).alias("gone")), "rejected")
-    return rows.join(sized(rejected), F.col(number) == F.col("gone"), "left_anti").drop(number)
+    rejected = settle(judge(rows, number).filter("not kept").select(number), "rejected")
+    return rows.join(sized(rejected), number, "left_anti").select(*docs.columns)
 
 
 def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
