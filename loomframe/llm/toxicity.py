@@ -11,17 +11,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import Words, below, flat, slices
+from loomframe.llm.common import Words, below, flat, settle, slices
 
 #: Labelled documents that a fit reads at most; they are chosen by a hash of their key.
 SAMPLE = 6_000
+#: Distinct words and word beginnings that the sampled documents have in all at most.
+MENTIONS = 8_000_000
 FOLDS = 3
 #: A word becomes a feature while what the model doesn't explain differs by so many standard errors
 #: among its documents; up to NEW words enter in each of ROUNDS rounds.
-APART, NEW, ROUNDS = 6.0, 16, 10
+APART, NEW, ROUNDS = 6.0, 48, 10
 #: Words in fewer sampled documents carry no weight.
 LEAST_DOCS = 4
 
@@ -77,24 +79,26 @@ def fit_linear(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-
     return weights
 
 
-def fit_words(hashes: np.ndarray, bounds: np.ndarray, before: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(features, weights): words are taken in by the score test of what is still unexplained."""
-    owner = np.repeat(np.arange(len(y)), np.diff(bounds))
-    places, at = np.unique(hashes, return_inverse=True)
-    enough = np.bincount(at, minlength=len(places)) >= LEAST_DOCS
-    features = places[:0]
+def fit_words(at: np.ndarray, bounds: np.ndarray, width: int, before: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(features, weights): words are taken in by the score test of what is still unexplained.
+
+    ``at`` has the numbers (below ``width``) of each row's words, ``bounds`` the rows' runs.
+    """
+    owner = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(bounds))
+    enough = np.bincount(at, minlength=width) >= LEAST_DOCS
+    features = np.zeros(0, np.int64)
     weights = fit_linear(before, y)
     for _ in range(ROUNDS if 0 < y.sum() < len(y) else 0):
-        p = _sigmoid(weights[0] + np.column_stack([presence(hashes, bounds, features), before]) @ weights[1:])
-        score = np.bincount(at, (y - p)[owner], len(places))
-        score = np.abs(score) / np.sqrt(np.bincount(at, (p * (1 - p))[owner], len(places)) + 1e-12) * enough
-        score[np.searchsorted(places, features)] = 0
-        best = np.lexsort((places, -score))[:NEW]
+        p = _sigmoid(weights[0] + np.column_stack([presence(at, bounds, features), before]) @ weights[1:])
+        score = np.bincount(at, (y - p)[owner], width)
+        score = np.abs(score) / np.sqrt(np.bincount(at, (p * (1 - p))[owner], width) + 1e-12) * enough
+        score[features] = 0
+        best = np.lexsort((np.arange(width), -score))[:NEW]
         best = best[score[best] >= APART]
         if not len(best):
             break
-        features = np.sort(np.concatenate([features, places[best]]))
-        weights = fit_linear(np.column_stack([presence(hashes, bounds, features), before]), y)
+        features = np.sort(np.concatenate([features, best]))
+        weights = fit_linear(np.column_stack([presence(at, bounds, features), before]), y)
     return features, weights
 
 
@@ -114,39 +118,38 @@ class Chain:
         return out
 
 
-def fit_chain(rows: list[np.ndarray], labels: np.ndarray, names: list[str], folds: np.ndarray) -> Chain:
-    """Fit a chain on rows of distinct word hashes and ``labels`` (rows, categories)."""
-    seen, docs = np.unique(np.concatenate(rows), return_counts=True) if rows else (np.zeros(0, np.int64), 0)
-    seen = seen[docs >= LEAST_DOCS]
-    rows = [r[seen[np.minimum(np.searchsorted(seen, r), len(seen) - 1)] == r] if len(seen) else r[:0] for r in rows]
-    bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-    hashes = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(rows)), np.diff(bounds))
-    before, models = np.zeros((len(rows), 0)), []
+def fit_chain(at: np.ndarray, bounds: np.ndarray, hashes: np.ndarray, labels: np.ndarray, names: list[str], folds: np.ndarray) -> Chain:
+    """Fit a chain on rows of distinct words, given by their numbers ``at`` among the sorted ``hashes``,
+    and ``labels`` (rows, categories)."""
+    before, models = np.zeros((len(labels), 0)), []
 
     def fit(which: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        inside = np.zeros(len(rows), bool)
-        inside[which] = True
-        own = np.concatenate([[0], np.cumsum(np.diff(bounds)[which])])
-        return fit_words(hashes[inside[owner]], own, before[which], y[which])
+        """On the rows that ``which`` marks."""
+        sizes = np.diff(bounds)
+        own = np.concatenate([[0], np.cumsum(sizes[which])])
+        return fit_words(at[np.repeat(which, sizes)], own, len(hashes), before[which], y[which])
 
     for k in range(len(names)):
-        y, unseen = labels[:, k], np.zeros(len(rows))
-        models.append(fit(np.arange(len(rows)), y))
+        y, unseen = labels[:, k], np.zeros(len(labels))
+        features, weights = fit(np.ones(len(labels), bool), y)
+        models.append((hashes[features], weights))
         for fold in np.unique(folds):
-            features, weights = fit(np.flatnonzero(folds != fold), y)
-            out = np.flatnonzero(folds == fold)
-            x = np.column_stack([presence(hashes, bounds, features), before])[out]
+            features, weights = fit(folds != fold, y)
+            out = folds == fold
+            x = np.column_stack([presence(at, bounds, features), before])[out]
             unseen[out] = _sigmoid(weights[0] + x @ weights[1:])
         before = np.column_stack([before, unseen])
     return Chain(names, models)
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: dict, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, mentions: int = MENTIONS) -> Chain:
     """A chain fitted on at most ``sample`` labelled documents, chosen by a hash of their key.
 
     ``categories`` maps names, in the chain's order, to SQL conditions over ``labels``; null counts
-    as false.  Only hashed features come to the driver, some 10 kB for each sampled document.
+    as false.  Words are counted by Spark over the sample; only those of LEAST_DOCS documents come to
+    the driver, as 4-byte numbers.  The documents have ``mentions`` distinct words in all at most, in the
+    order of the hash, so that the driver holds 4 * ``mentions`` bytes of them whatever the texts; one
+    with over 1/64 of that isn't used for fitting.
     """
     names = list(categories)
     marks = F.array(*[F.coalesce(F.expr(c).cast("int"), F.lit(0)) for c in categories.values()])
@@ -158,24 +161,44 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict, key: str = "doc_
     some = chosen.select("id").join(known, "id").filter(below(F.col("id"), sample, known.count()))
     some = some.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(sample)
 
-    def features(batches):
+    def words(batches):
         for part in slices(batches):
             hashes, bounds = word_features(part.column("text"))
-            rows = [np.unique(hashes[a:b]) for a, b in zip(bounds, bounds[1:])]
-            columns = [pa.array(rows, pa.list_(pa.int64())), *(part.column(c) for c in ("labels", "fold"))]
-            yield pa.RecordBatch.from_arrays(columns, ["places", "labels", "fold"])
+            rows = pa.array([np.unique(hashes[a:b]) for a, b in zip(bounds, bounds[1:])], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("turn", "labels", "fold")), rows], ["turn", "labels", "fold", "places"])
 
     ready = chosen.join(F.broadcast(some), "id").select(
-        "text", F.array(*[f"y{i}" for i in range(len(names))]).alias("labels"),
+        "text", F.sha2(F.concat_ws(":", F.xxhash64("id"), F.sha2(F.col("text").cast("binary"), 256)), 256).alias("turn"),
+        F.array(*[f"y{i}" for i in range(len(names))]).alias("labels"),
         F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"),
     )
-    got = ready.mapInArrow(features, "places array<long>, labels array<int>, fold int").toArrow()
+    rows = settle(ready.mapInArrow(words, "turn string, labels array<int>, fold int, places array<long>"), "sampled")
+    sizes = rows.select("turn", F.size("places").alias("n")).filter(F.col("n") <= mentions // 64)
+    so_far = Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)  # ``sample`` narrow rows or so
+    used = sizes.withColumn("total", F.sum("n").over(so_far)).filter(F.col("total") <= mentions).select("turn").distinct()
+    rows = rows.join(F.broadcast(used), "turn")
+    seen = rows.select(F.explode("places").alias("p")).groupBy("p").agg(F.count("*").alias("docs")).filter(F.col("docs") >= LEAST_DOCS)
+    hashes = np.sort(seen.select("p").toArrow().column("p").to_numpy())  # mentions / LEAST_DOCS at most
+
+    def numbers(batches):
+        for part in batches:
+            places = part.column("places")
+            values, cuts = places.values.to_numpy(), places.offsets.to_numpy()
+            spot = np.searchsorted(hashes, values).astype(np.int32)
+            hit = hashes[np.minimum(spot, len(hashes) - 1)] == values if len(hashes) else np.zeros(len(values), bool)
+            cuts = np.concatenate([[0], np.cumsum(hit)])[cuts]
+            first, last = cuts[0], cuts[-1]
+            kept = pa.ListArray.from_arrays(pa.array(cuts - first, pa.int32()), pa.array(spot[hit][first:last]))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("turn", "labels", "fold")), kept], ["turn", "labels", "fold", "places"])
+
+    # in an order that doesn't depend on partitions
+    got = rows.mapInArrow(numbers, "turn string, labels array<int>, fold int, places array<int>").orderBy("turn").drop("turn").toArrow()
+    y = np.array(got.column("labels").to_pylist(), float).reshape(-1, len(names))
+    folds = np.array(got.column("fold").to_pylist(), int)
     places = got.column("places").combine_chunks()
-    values, cuts = places.values.to_numpy(), places.offsets.to_numpy()
-    rows = [values[a:b] for a, b in zip(cuts, cuts[1:])]
-    order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), rows[i].tobytes()))  # the same for any partitioning
-    y = np.array(got.column("labels").to_pylist(), float).reshape(-1, len(names))[order]
-    return fit_chain([rows[i] for i in order], y, names, np.array(got.column("fold").to_pylist(), int)[order])
+    at, bounds = np.array(places.flatten()), np.array(places.offsets, np.int64)
+    del got, places
+    return fit_chain(at, bounds - bounds[0], hashes, y, names, folds)
 
 
 def scored(docs: DataFrame, chain: Chain, reject: list[str], key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:

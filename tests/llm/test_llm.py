@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -320,13 +321,13 @@ def test_salvage(packed):
 
 
 def test_toxicity_chain(spark, odd, none):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     fold = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(4)) == 0
     chain = toxicity.train(docs, labels.filter(~fold), queries.CATEGORIES)
     rows = toxicity.scored(docs, chain, ["toxic"]).join(labels.filter(fold), "doc_id").collect()
     clean, toxic = [r.kept for r in rows if not r.toxic], [r.kept for r in rows if r.toxic]
-    assert np.mean(clean) > 0.93 and np.mean(toxic) < 0.5
+    assert np.mean(clean) > 0.93 and np.mean(toxic) <= 0.2
     got = {r.doc_id: r for r in toxicity.scored(odd, chain, ["toxic"]).collect()}
     assert got[2].kept and got[2].p_toxic == 0 == got[4].p_toxic
     assert toxicity.scored(none, chain, ["toxic"]).count() == 0
@@ -334,6 +335,66 @@ def test_toxicity_chain(spark, odd, none):
     assert toxicity.scored(odd, untaught, ["toxic"]).filter("kept").count() == len(ODD)
 
 
+def slow_chain(rows, labels, names, folds):
+    """The chain with a set of words for each row: every word is tried by counting it."""
+    before, models = [[] for _ in rows], []
+
+    def design(words, chosen, earlier):
+        return np.array([[float(w in r) for w in chosen] + e for r, e in zip(words, earlier)]).reshape(len(words), -1)
+
+    def fit(words, earlier, y):
+        chosen = []
+        weights = toxicity.fit_linear(design(words, chosen, earlier), y)
+        counts = defaultdict(list)
+        for i, r in enumerate(words):
+            for w in r:
+                counts[w].append(i)
+        for _ in range(toxicity.ROUNDS if 0 < y.sum() < len(y) else 0):
+            p = 1 / (1 + np.exp(-(weights[0] + design(words, chosen, earlier) @ weights[1:])))
+            score = {w: abs((y - p)[at].sum()) / np.sqrt((p * (1 - p))[at].sum() + 1e-12) for w, at in counts.items() if len(at) >= toxicity.LEAST_DOCS and w not in chosen}
+            best = [w for w in sorted(score, key=lambda w: (-score[w], w))[: toxicity.NEW] if score[w] >= toxicity.APART]
+            if not best:
+                break
+            chosen = sorted(chosen + best)
+            weights = toxicity.fit_linear(design(words, chosen, earlier), y)
+        return chosen, weights
+
+    for k in range(len(names)):
+        y = labels[:, k]
+        models.append(fit(rows, before, y))
+        unseen = np.zeros(len(rows))
+        for fold in set(folds.tolist()):
+            inside, out = np.flatnonzero(folds != fold), np.flatnonzero(folds == fold)
+            chosen, weights = fit([rows[i] for i in inside], [before[i] for i in inside], y[inside])
+            unseen[out] = 1 / (1 + np.exp(-(weights[0] + design([rows[i] for i in out], chosen, [before[i] for i in out]) @ weights[1:])))
+        before = [[*b, u] for b, u in zip(before, unseen)]
+    return models
+
+
+def test_chain_equals_a_slow_one():
+    rng = np.random.default_rng(8)
+    names, n = ["a", "b", "c"], 240
+    labels = (rng.random((n, 3)) < 0.4).astype(float)
+    rows = [set(rng.choice(60, 12, replace=False).tolist()) | {100 + k for k in range(3) if labels[i, k] and rng.random() < 0.9} | {200 + i % 50} for i in range(n)]
+    hashes = np.array(sorted({w for r in rows for w in r}), np.int64)
+    at = np.concatenate([np.searchsorted(hashes, sorted(r)) for r in rows]).astype(np.int32)
+    bounds, folds = np.concatenate([[0], np.cumsum([len(r) for r in rows])]), rng.integers(0, 3, n)
+    chain = toxicity.fit_chain(at, bounds, hashes, labels, names, folds)
+    slow = slow_chain(rows, labels, names, folds)
+    assert slow[0][0]
+    for (features, weights), (chosen, want) in zip(chain.models, slow):
+        assert features.tolist() == chosen and np.abs(weights - want).max() < 1e-5
+
+
+def test_toxicity_fit_is_bounded(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(300)) + (" vile" if i % 2 else " mild")) for i in range(120)], "doc_id long, text string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 2).alias("toxic"))
+    whole = toxicity.train(docs, labels, queries.CATEGORIES)
+    assert [len(f) for f, _ in whole.models][1] > 0
+    few = toxicity.train(docs, labels, queries.CATEGORIES, mentions=10_000)  # every text has more than a 64th of it
+    assert [len(f) for f, _ in few.models] == [0, 0, 0]
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
@@ -344,7 +405,7 @@ def test_pipeline_stages(spark):
     texts = [r.text for r in docs.collect()]
     assert len({re.sub(r"[\x20\x09-\x0D]+", "", t) for t in texts}) == len(texts)
     sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for w in (WORD.findall(t.lower()) for t in texts)]
-    assert not [1 for a, b in combinations(sets, 2) if 100 * len(a & b) >= 85 * len(a | b)]
+    assert not [1 for a, b in combinations(sets, 2) if 100 * len(a & b) >= 80 * len(a | b)]
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert not [1 for i in items for t in texts if i in t]
     assert corpus_pipeline.run(spark, SF).count() == len(texts)
@@ -352,11 +413,15 @@ def test_pipeline_stages(spark):
 
 def test_pipeline_of_odd_rows(spark, odd):
     docs = odd.withColumn("n_chars", F.length("text"))
+    for clash in ("__row", "__row_", "__mark", "__id", "__gone", "gone", "file", "place"):
+        docs = docs.withColumn(clash, F.lit(clash))
+    columns = docs.columns
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
+        assert docs.columns == columns or stage is corpus_pipeline.tokens
         docs = spark.createDataFrame(docs.collect(), docs.schema)
     kept = sorted(r.doc_id or 0 for r in docs.collect())
-    assert kept == [0, 1, 4, 5, 7, 8, 9, 10]
+    assert kept == [1, 4, 5, 7, 8, 9, 10]
 
 
 def test_pipeline_drops_near_copies_of_080(spark):
@@ -383,6 +448,8 @@ def test_pipeline_judges_rows_not_keys(spark, monkeypatch):
     assert left(corpus_pipeline.clean_language, rows[:2] + rows[3:]) == [(0, "clean"), (1, "clean")]
     assert spark.createDataFrame(rows[2:3], columns).exceptAll(corpus_pipeline.clean_language(spark, spark.createDataFrame(rows, columns), SF)).isEmpty()
     assert left(corpus_pipeline.one_of_equal, [(1, "a copy"), (2, "acopy"), (2, "a text of its own"), (2, "a text of its own")]) == [(1, "a copy"), (2, "a text of its own")]
+    twice = [(1, "longer text"), (1, "long er text"), (1, "of its own"), (None, "longertext"), (None, "none"), (None, "none")]
+    assert left(corpus_pipeline.one_of_equal, twice) == [(0, "none"), (1, "long er text"), (1, "of its own")]
     assert left(corpus_pipeline.one_of_near, [(5, near[0]), (7, near[1]), (7, "other words than those"), (9, "and more")]) == [(5, near[0]), (7, "other words than those"), (9, "and more")]
     monkeypatch.setattr(corpus_pipeline, "table", lambda *_: spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert left(corpus_pipeline.without_benchmark, [(None, item), (None, "clean"), (3, "x " + item), (3, "clean")]) == [(0, "clean"), (3, "clean")]
