@@ -12,23 +12,20 @@ from pyspark.sql import types as T
 
 from loomframe.functions import paths
 from loomframe.functions.text import strip
+from loomframe.sources import documents
 
 ANNOTATION_CSV = (
     "ImageID string, Source string, LabelName string, Confidence double, XMin double, "
     "XMax double, YMin double, YMax double, IsOccluded int, IsTruncated int, IsGroupOf int, "
     "IsDepiction int, IsInside int"
 )
-INSTANCE_JSON = (
-    "images array<struct<id:long,file_name:string,width:int,height:int,coco_url:string,"
-    "license:int,date_captured:string,flickr_url:string>>, "
-    "categories array<struct<id:long,supercategory:string,name:string>>, "
-    "annotations array<struct<id:long,image_id:long,category_id:long,bbox:array<double>,"
-    "iscrowd:int>>"
-)
-CAPTION_JSON = (
-    "images array<struct<id:long,file_name:string>>, "
-    "annotations array<struct<image_id:long,caption:string>>"
+# The fields of instance and caption documents.
+IMAGE_FIELDS = (
+    "id long, file_name string, width int, height int, coco_url string, license int, date_captured string, flickr_url string"
 )
+CATEGORY_FIELDS = "id long, supercategory string, name string"
+INSTANCE_FIELDS = "id long, image_id long, category_id long, bbox array<double>, iscrowd int"
+CAPTION_FIELDS = "image_id long, caption string"
 PIXELS = T.StructType(
     [
         T.StructField("h", T.IntegerType()),
@@ -99,25 +96,20 @@ def class_names(spark: SparkSession, file: str) -> DataFrame:
 
 
 def instances(spark: SparkSession, file: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Images, categories and annotations of an instance document."""
-    doc = spark.read.json(file, schema=INSTANCE_JSON, multiLine=True, mode="FAILFAST")
-    images = doc.select(F.explode("images").alias("i")).select("i.*")
-    categories = doc.select(F.explode("categories").alias("c")).select("c.*")
-    found = doc.select(F.explode("annotations").alias("a")).select(
-        "a.id", "a.image_id", "a.category_id",
-        *[F.element_at("a.bbox", n + 1).alias(c) for n, c in enumerate("xywh")],
-        F.col("a.iscrowd").cast("boolean").alias("is_group_of"),
+    """Images, categories and annotations of an instance document, read once by byte ranges."""
+    tables = documents.sections(spark, file, {"images": IMAGE_FIELDS, "categories": CATEGORY_FIELDS, "annotations": INSTANCE_FIELDS})
+    found = tables["annotations"].select(
+        "id", "image_id", "category_id", *[F.element_at("bbox", n + 1).alias(c) for n, c in enumerate("xywh")],
+        F.col("iscrowd").cast("boolean").alias("is_group_of"),
     )
-    return images, categories, found
+    return tables["images"].drop("position"), tables["categories"].drop("position"), found
 
 
 def captions(spark: SparkSession, file: str) -> tuple[DataFrame, DataFrame]:
-    doc = spark.read.json(file, schema=CAPTION_JSON, multiLine=True, mode="FAILFAST")
-    images = doc.select(F.explode("images").alias("i")).select("i.*")
-    texts = doc.select(F.posexplode("annotations").alias("caption_id", "a")).select(
-        "caption_id", "a.image_id", "a.caption"
-    )
-    return images, texts
+    """Images, and captions numbered by their place in the document."""
+    tables = documents.sections(spark, file, {"images": "id long, file_name string", "annotations": CAPTION_FIELDS})
+    texts = tables["annotations"].withColumnRenamed("position", "caption_id")
+    return tables["images"].drop("position"), texts
 
 
 def index_to_class(spark: SparkSession, file: str) -> DataFrame:

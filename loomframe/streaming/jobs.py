@@ -7,13 +7,15 @@ repeated batch after a failure does no harm.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from loomframe.operators import matching, vectors
-from loomframe.operators.ordering import moving_average
+from loomframe.operators.ordering import moving_average, trailing
 from loomframe.session import fresh_path
 
 
@@ -32,6 +34,18 @@ def incoming(spark: SparkSession, path: str, schema=None, files_per_batch: int =
     )
 
 
+def dealt(df: DataFrame, order: str, folder: str, parts: int = 3) -> str:
+    """``df`` written to ``folder`` as ``parts`` files of ascending ranges of the number ``order``, one after the other.
+
+    Read with one file per batch, they are micro-batches in order.
+    """
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    part = F.least(F.floor((F.col(order) - F.lit(low)) * parts / F.lit(max(1, (high or 0) - (low or 0) + 1))), F.lit(parts - 1))
+    for n in range(parts):
+        df.filter(F.coalesce(part, F.lit(0)) == n).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
 def append_new(stream: DataFrame, out: str, checkpoint: str, rows_per_file: int = 65_536) -> None:
     """Append the rows of all shards that have not been processed yet."""
     (
@@ -54,16 +68,26 @@ def filter_append(
 def fold_batches(
     stream: DataFrame, state_dir: str, checkpoint: str, start: DataFrame,
     step: Callable[[DataFrame, DataFrame], DataFrame],
+    emit: Callable[[DataFrame, DataFrame], DataFrame] | None = None, out: str | None = None,
 ) -> DataFrame:
-    """Fold micro-batches into a state table; returns the newest version."""
+    """Fold micro-batches into a state table; returns the newest version.
+
+    ``emit`` makes rows of a batch and the state before it, which go to a folder of their own below
+    ``out``.  Of the versions the last two stay: a batch that is repeated reads the one before it.
+    """
     spark = start.sparkSession
-    start.write.mode("ignore").parquet(f"{state_dir}/version=-1")
+    root, system = _place(spark, state_dir)
+    if not system.exists(root):
+        start.write.parquet(f"{state_dir}/version=-1")
 
     def absorb(batch: DataFrame, number: int) -> None:
         session, batch = batch.sparkSession, batch.persist()
         state = session.read.schema(start.schema).parquet(f"{state_dir}/version={number - 1}")
+        if emit is not None:
+            emit(state, batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
         step(state, batch).write.mode("overwrite").parquet(f"{state_dir}/version={number}")
         batch.unpersist()
+        _removed(session, f"{state_dir}/version={number - 2}")
 
     query = (
         stream.writeStream.foreachBatch(absorb)
@@ -75,11 +99,21 @@ def fold_batches(
     return spark.read.schema(start.schema).parquet(_newest_version(spark, state_dir))
 
 
+def _place(spark: SparkSession, path: str):
+    """The path and its file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    place, system = _place(spark, path)
+    system.delete(place, True)
+
+
 def _newest_version(spark: SparkSession, state_dir: str) -> str:
     """Folder of the newest state, by name; the data of older ones isn't read."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(state_dir)
-    listed = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
-    names = [entry.getPath().getName() for entry in listed]
+    root, system = _place(spark, state_dir)
+    names = [entry.getPath().getName() for entry in system.listStatus(root)]
     newest = max(int(name.partition("=")[2]) for name in names if name.startswith("version="))
     return f"{state_dir}/version={newest}"
 
@@ -110,6 +144,35 @@ def moving_averages(
     return fold_batches(stream, state_dir, checkpoint, start, step)
 
 
+def trailing_histories(
+    stream: DataFrame, key: str, order: str, value: str, length: int, state_dir: str, checkpoint: str, out: str,
+    into: str = "history", block: int = 100_000,
+) -> DataFrame:
+    """The rows of a stream with the last ``length`` values of their key, oldest first, from micro-batches.
+
+    The state is a bounded list for each key: its last ``length`` - 1 rows.  A batch is numbered
+    after them and cut into blocks of rows, each with the few rows before it, so that a hot key
+    spreads over many tasks.  Rows have to come in their order, as numbers or times do.
+    """
+    spark = stream.sparkSession
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+    start = spark.createDataFrame([], fields)
+
+    def emit(state: DataFrame, batch: DataFrame) -> DataFrame:
+        both = state.withColumn("__new", F.lit(False)).unionByName(batch.withColumn("__new", F.lit(True)))
+        return trailing(both, key, order, value, length, into, block).filter("__new").drop("__new")
+
+    def step(state: DataFrame, batch: DataFrame) -> DataFrame:
+        last = Window.partitionBy(key).orderBy(F.desc(order))
+        both = state.unionByName(batch).withColumn("__back", F.row_number().over(last))  # cut before the shuffle, too
+        return both.filter(F.col("__back") < length).drop("__back")
+
+    fold_batches(stream, state_dir, checkpoint, start, step, emit, out)
+    values = next(f.dataType.simpleString() for f in stream.schema if f.name == value)
+    # batches that brought nothing new leave what is there as it is
+    return spark.read.schema(f"{fields}, `{into}` array<{values}>").option("basePath", out).parquet(f"{out}/batch=*").select(*stream.columns, into)
+
+
 def online_codebook(
     stream: DataFrame, codebook: DataFrame, codes: int, decay: float, eps: float,
     state_dir: str, checkpoint: str, key: str = "id", vector: str = "z",
@@ -124,11 +187,16 @@ def online_codebook(
 
 
 def running_means(stream: DataFrame, key: str, value: str, out: str, checkpoint: str) -> DataFrame:
-    """Mean of each metric over everything seen, kept by streaming aggregation."""
+    """Mean of each metric over everything seen, kept by streaming aggregation.
+
+    Each batch publishes a version of its own below ``out``; readers of the one before aren't disturbed.
+    """
+    spark = stream.sparkSession
     means = stream.groupBy(key).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
 
     def publish(table: DataFrame, number: int) -> None:
-        table.write.mode("overwrite").parquet(out)
+        table.write.mode("overwrite").parquet(f"{out}/version={number}")
+        _removed(table.sparkSession, f"{out}/version={number - 2}")
 
     (
         means.writeStream.outputMode("complete")
@@ -138,7 +206,49 @@ def running_means(stream: DataFrame, key: str, value: str, out: str, checkpoint:
         .start()
         .awaitTermination()
     )
-    return stream.sparkSession.read.parquet(out)
+    return spark.read.schema(means.schema).parquet(_newest_version(spark, out))
+
+
+class Meter(StreamingQueryListener):
+    """Rows, seconds and rows per second of every micro-batch of the streams that :meth:`watched` marks.
+
+    Rows are counted by an observation inside the stream, so that they are those that passed it.
+    """
+
+    fields = "query string, batch long, rows long, seconds double, rows_per_second double"
+
+    def __init__(self, name: str):
+        self.name, self.rows, self._done = name, [], threading.Condition()
+        self._ended: set[str] = set()
+
+    def watched(self, stream: DataFrame) -> DataFrame:
+        return stream.observe(self.name, F.count(F.lit(1)).alias("rows"))
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        progress = event.progress
+        seen = progress.observedMetrics.get(self.name)
+        if seen is not None and seen["rows"]:
+            seconds = progress.batchDuration / 1000
+            self.rows.append((str(progress.runId), progress.batchId, seen["rows"], seconds, seen["rows"] / max(seconds, 1e-3)))
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        with self._done:
+            self._ended.add(str(event.runId))
+            self._done.notify_all()
+
+    def write(self, spark: SparkSession, out: str, queries: int = 1, wait: float = 30.0) -> DataFrame:
+        """Append what was measured to a table once so many queries have ended; reports come after the end."""
+        with self._done:
+            self._done.wait_for(lambda: len(self._ended) >= queries, wait)
+        spark.createDataFrame(self.rows, self.fields).write.mode("append").parquet(out)
+        self.rows = []
+        return spark.read.schema(self.fields).parquet(out)
 
 
 def folders(spark: SparkSession, stem: str) -> tuple[str, str]:

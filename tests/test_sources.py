@@ -59,6 +59,45 @@ def test_json_documents(spark, tmp_path):
     assert [r["caption"] for r in texts.orderBy("caption_id").collect()] == ["x", "y"]
 
 
+def awkward(rng, n):
+    signs = ['"', "\\", "{", "}", "[", "]", ":", ",", " ", "é", "\n", "images", 'x": [{', "😀"]
+    return "".join(rng.choice(signs) for _ in range(rng.randrange(n)))
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_documents_are_read_by_byte_ranges(spark, tmp_path, indent):
+    import random
+
+    from loomframe.sources import documents
+
+    rng = random.Random(3)
+    make = lambda k: {"id": k, "t": awkward(rng, 30), "deep": [{"a": {"b": [awkward(rng, 5)]}}] * (k % 3), "box": [1.5, 2], "o": {"t": awkward(rng, 9)}}
+    doc = {
+        "info": {"year": 1, "more": {"of": {"images": [{"no": 1}]}}, "v": awkward(rng, 9)}, "version": awkward(rng, 9), "empty": [],
+        "images": [make(k) for k in range(300)], "tags": ["a", "}", "{"], "licenses": [{"id": 7}], "nested": [[{"id": 1}], []],
+        "annotations": [make(k) for k in range(500)], "after": {"id": 3},
+    }
+    path = write(tmp_path / "d.json", json.dumps(doc, indent=indent, ensure_ascii=indent is None))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = documents.records(spark, path)
+        assert documents._pieces(spark, path).select("block").distinct().count() > 20
+        got = {(r.section, r.position): json.loads(r.body) for r in rows.collect()}
+        want = {(s, k): x for s in ("images", "licenses", "annotations") for k, x in enumerate(doc[s])}
+        assert got == want
+        field = "id long, t string"
+        table = documents.sections(spark, path, {"annotations": field})["annotations"]
+        whole = spark.read.json(path, schema=f"annotations array<struct<id:long,t:string>>", multiLine=True).selectExpr("posexplode(annotations) as (position, a)").select("position", "a.*")
+        assert table.exceptAll(whole).isEmpty() and whole.exceptAll(table).isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    for text in ("{}", '{"a": []}', '{"images": [{}, {}]}'):
+        count = documents.records(spark, write(tmp_path / "e" / f"{len(text)}.json", text)).count()
+        assert count == (2 if "images" in text else 0)
+
+
 def test_key_value_files(spark, tmp_path):
     assert readers.index_to_class(spark, write(tmp_path / "a", "0: n01\n1: n02\n")).collect()[1]["name"] == "n02"
     table = readers.index_to_label(spark, write(tmp_path / "b", "{0: 'cat, tom',\n 1: 'dog'}\n"))
@@ -173,6 +212,60 @@ def test_streamed_average_equals_batch(spark, tmp_path, shard_folder):
     assert {r["n"] for r in got.collect()} == {30}
 
 
+def test_streamed_histories_and_restart(spark, tmp_path, shard_folder):
+    from loomframe.operators.ordering import trailing
+
+    folder, rows = shard_folder
+    where = [str(tmp_path / n) for n in ("state", "mark", "out")]
+
+    def run():
+        stream = jobs.incoming(spark, folder, files_per_batch=1)
+        return jobs.trailing_histories(stream, "name", "step", "value", 5, *where, block=4)
+
+    known = lambda df: {(r["step"], r["name"]): r["history"] for r in df.collect()}
+    assert known(run()) == known(trailing(rows, "name", "step", "value", 5))
+    more = spark.range(60, 75).select(F.col("id").alias("step"), F.lit("p1").alias("name"), F.lit(1.0).alias("value"))
+    more.coalesce(1).write.mode("append").parquet(folder)
+    assert known(run()) == known(trailing(rows.union(more), "name", "step", "value", 5))  # from the checkpoint on
+    state = [p.name for p in (tmp_path / "state").iterdir() if p.name.startswith("version=")]
+    assert sorted(state) == ["version=2", "version=3"] and len(list((tmp_path / "out").glob("batch=*"))) == 4
+
+
+def test_streamed_means_and_their_meter(spark, tmp_path, shard_folder):
+    folder, rows = shard_folder
+    meter = jobs.Meter("passed")
+    spark.streams.addListener(meter)
+    try:
+        stream = meter.watched(jobs.incoming(spark, folder, files_per_batch=1).filter("step >= 10"))
+        got = jobs.running_means(stream, "name", "value", str(tmp_path / "m"), str(tmp_path / "c"))
+        want = {r["name"]: (r["mean"], r["n"]) for r in rows.filter("step >= 10").groupBy("name").agg(F.avg("value").alias("mean"), F.count("*").alias("n")).collect()}
+        assert {r["name"]: (r["mean"], r["n"]) for r in got.collect()} == want
+        table = meter.write(spark, str(tmp_path / "meter"))
+        assert sorted((r["batch"], r["rows"]) for r in table.collect()) == [(0, 10), (1, 20), (2, 20)]
+        assert table.filter("rows_per_second <= 0 or seconds <= 0").isEmpty()
+    finally:
+        spark.streams.removeListener(meter)
+
+
+def test_streamed_codebook_equals_batch_by_batch(spark, tmp_path):
+    from loomframe.operators import matching, vectors
+
+    rows = spark.range(60).select("id", F.array(F.col("id") % 7 * 1.0, F.col("id") % 5 * 1.0).alias("z"))
+    book = spark.createDataFrame([(0, [0.0, 0.0]), (1, [4.0, 4.0])], "code long, e array<double>")
+    folder = jobs.dealt(rows, "id", str(tmp_path / "in"))
+    stream = jobs.incoming(spark, folder, files_per_batch=1)
+    got = jobs.online_codebook(stream, book, 2, 0.9, 1e-5, str(tmp_path / "s"), str(tmp_path / "c"))
+    state = vectors.fresh_state(book)
+    for n in range(3):
+        batch = rows.filter(f"id >= {20 * n} and id < {20 * n + 20}")
+        assigned = matching.nearest_code(batch, state.select("code", "e"), "id", "z", keep_vector=True)
+        state = vectors.codebook_update(state, assigned, 0.9, 1e-5, 2, "z")
+        state = spark.createDataFrame(state.collect(), state.schema)
+    plain = lambda df: {r["code"]: [r["cluster_size"], *r["e"]] for r in df.collect()}
+    a, b = plain(got), plain(state)
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+
+
 def test_named_plans(spark):
     @registry.builder("numbers")
     def numbers(spark, n=3, scale=1.0):
