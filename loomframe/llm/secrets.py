@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import settle, slices
+from loomframe.llm.common import looked_up, settle, slices
 
 # The patterns of the contract, with the group that is the secret and its least length.
 KINDS = (
@@ -45,7 +45,7 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k][0]}:{a}:{b}" for a, k, b, _ in spans)
 
 
-def candidates(docs: DataFrame, key: str, text: str, owner: str, repository: str) -> DataFrame:
+def candidates(docs: DataFrame, key: str, text: str, owner: str, repository: str | None) -> DataFrame:
     """(row, id, owner, repository, counts, base, base_sha256, found) by one pass over the texts.
 
     ``found`` lists each candidate: where its value lies, and the value's SHA-256 (never the value).
@@ -73,7 +73,7 @@ def candidates(docs: DataFrame, key: str, text: str, owner: str, repository: str
 
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), F.col(owner).cast("string").alias("owner"),
-        F.col(repository).cast("string").alias("repository"), F.col(text).alias("text"),
+        (F.md5(F.col(text).cast("binary")) if repository is None else F.col(repository).cast("string")).alias("repository"), F.col(text).alias("text"),
     )
     kind = docs.schema[key].dataType.simpleString()
     return rows.mapInArrow(
@@ -98,13 +98,14 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def find_secrets(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "doc_id", most_owners: int = 1,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: str | None = None, most_owners: int = 1,
     most_repositories: int = 3,
 ) -> DataFrame:
     """(key, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied) for every row of ``docs``.
 
     Base spans are those of KINDS, written as kind:start:end in code points with an exclusive end.
-    A candidate whose value belongs to at most ``most_owners`` owners and ``most_repositories``
+    Without a column that names the repository, each distinct text is one, so that copies of a
+    document count once.  A candidate whose value belongs to at most ``most_owners`` owners and ``most_repositories``
     repositories of the corpus looks live: ``spans`` also has ``live:start:end`` of its value, in
     order of start, base spans first.  ``n_copied`` counts the other candidates.
 
@@ -118,7 +119,8 @@ def find_secrets(
     owned = ownership(each.select("hash", "owner", "repository"))
     single = settle(owned.filter((F.col("n_owners") <= most_owners) & (F.col("n_repositories") <= most_repositories)).select("hash"), "live")
     # the live spans of a row: a text's own candidates, whose number its length bounds
-    live = each.join(single, "hash").groupBy("row").agg(F.sort_array(F.collect_set(F.struct("at", "end"))).alias("live"), F.count("*").alias("n_live"))
+    known = looked_up(each, single.withColumn("yes", F.lit(True)), "hash", "row").filter("yes")  # a hash may be in any share of the rows
+    live = known.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("at", "end"))).alias("live"), F.count("*").alias("n_live"))
     rows = drawn.withColumn("n", F.size("found")).drop("owner", "repository", "found").join(live, "row", "left")
 
     place = lambda s: F.split(s, ":")

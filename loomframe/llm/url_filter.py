@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import ascii_lower, settle
+from loomframe.llm.common import ascii_lower, settle, sized
 
 PROBES = 5
 #: Bits of the filter for each listed URL.
@@ -68,20 +68,24 @@ def bloom(listed: DataFrame, blocks: int) -> DataFrame:
     return listed.groupBy(_block(F.col("url"), blocks).alias("block")).agg(F.bit_or(_bits(F.col("url"))).alias("word"))
 
 
-def listed_urls(urls: DataFrame, listed: DataFrame, url: str) -> DataFrame:
-    """The distinct values of column ``url`` that ``listed.url`` holds, as column ``hit``.
+def listed_urls(rows: DataFrame, listed: DataFrame, url: str) -> DataFrame:
+    """``rows`` with a column ``hit``: the value of column ``url`` if ``listed.url`` holds it, else null.
 
-    Nulls never match.  The probe reads a broadcast table of BROADCAST_BLOCKS rows at most; above
-    that the filter is joined as a shuffled table, with the same result.
+    The filter is asked where the rows are: only what passes it goes to the exact join, the rest keeps
+    null without any exchange.  Nulls never match.  The filter is a broadcast table of BROADCAST_BLOCKS
+    rows at most; above that it is joined as a shuffled table, with the same result.
     """
     known = settle(listed.select("url").filter("url is not null").distinct(), "listed")
     blocks = max(1, -(-known.count() * BITS // 64))
-    words = bloom(known, blocks)
+    words = bloom(known, blocks).withColumnRenamed("block", "__block")
     words = F.broadcast(words) if blocks <= BROADCAST_BLOCKS else words
-    asked = urls.select(F.col(url).alias("hit")).filter("hit is not null").distinct()
-    asked = asked.withColumn("block", _block(F.col("hit"), blocks)).withColumn("bits", _bits(F.col("hit")))
-    possible = asked.join(words, "block").filter(F.col("word").bitwiseAND(F.col("bits")) == F.col("bits"))
-    return possible.join(known, F.col("hit") == F.col("url")).select("hit")
+    asked = rows.withColumns({"__block": _block(F.col(url), blocks), "__bits": _bits(F.col(url))}).join(words, "__block", "left")
+    asked = asked.withColumn("__possible", F.coalesce(F.col("word").bitwiseAND(F.col("__bits")) == F.col("__bits"), F.lit(False)) & F.col(url).isNotNull())
+    asked = asked.select(*rows.columns, "__possible")
+    exact = sized(known.select(F.col("url").alias("hit")))
+    joined = asked.filter("__possible").join(exact, F.col(url) == F.col("hit"), "left")
+    rest = asked.filter("not __possible").withColumn("hit", F.lit(None).cast("string"))
+    return joined.unionByName(rest).drop("__possible")
 
 
 def judge_urls(pages: DataFrame, listed: DataFrame, allow: list[str], block: list[str], key: str = "page_id", url: str = "url") -> DataFrame:
@@ -98,15 +102,11 @@ def judge_urls(pages: DataFrame, listed: DataFrame, allow: list[str], block: lis
         F.when(host_of(address) != "", canonical(address)).alias("canonical"),
     )
     names = listed.select(F.when(host_of(address) != "", canonical(address)).alias("url"))
-    hits = settle(listed_urls(judged, names, "canonical"), "hits")
-    judged = judged.withColumn("rule", rule_of(F.col("host"), F.col("path"), [*allow, *block]))
-    # few rows are listed or none: those without a canonical URL take no part in the join
-    joined = judged.filter("canonical is not null").join(hits, F.col("canonical") == F.col("hit"), "left")
-    rest = judged.filter("canonical is null").withColumn("hit", F.lit(None).cast("string"))
+    judged = listed_urls(judged, names, "canonical").withColumn("rule", rule_of(F.col("host"), F.col("path"), [*allow, *block]))
     verdict = (
         F.when(F.col("rule").isin(allow), "allow").when(F.col("rule").isin(block), "block")
         .when(F.col("hit").isNotNull(), "block").otherwise("allow")
     )
-    return joined.unionByName(rest).select(
+    return judged.select(
         F.col("id").alias(key), "host", "path", "rule", verdict.alias("verdict"), F.col("hit").isNotNull().alias("listed")
     )

@@ -2,8 +2,9 @@
 
 Each record is a gzip member of its own.  The sink writes members as they are, one a row, with a
 zero byte between them, which gzip readers take for padding.  The reader checks every member and
-record; after a failed check it looks for the next member that opens, or the next version line in
-plain archives, goes on from there, and logs the bytes that it passed over.
+record; after a failed check it looks for the next member that opens, or the next version line, goes
+on from there, and logs the bytes that it passed over.  Members may hold any number of records,
+and what a damaged one has unpacked before it fails is searched by version lines as well.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import slices
+from loomframe.llm.common import looked_up, settle, slices
 from loomframe.session import fresh_path
 
 # Fixed values of the format.
@@ -24,23 +25,32 @@ VERSION, END, MAGIC = b"WARC/1.1", b"\r\n\r\n", b"\x1f\x8b\x08"
 _LINE = re.compile(rb"WARC/1\.[01]\r\n")
 #: Payloads below so many bytes are never revisits.
 LEAST_REVISIT = 100
-#: Records of one archive file; a reading task holds one file.
-RECORDS_PER_FILE = 1_000
+#: Records of one archive file, and payload bytes of one with several records; a reading task holds one file.
+RECORDS_PER_FILE, FILE_BYTES = 1_000, 64 << 20
+#: Payloads up to so many bytes share files; larger ones share them with fewer.
+SMALL = FILE_BYTES // RECORDS_PER_FILE
+#: Bytes given to the unpacker at a time.
+PIECE = 1 << 16
 
 
-def record(key: str, kind: str, url: str, payload: bytes, digest: str, size: int, refers_to: str | None) -> bytes:
+def record(key: str | None, kind: str, url: str, payload: bytes, digest: str, size: int, refers_to: str | None) -> bytes:
     """One record: headers, an HTTP head with the payload's length, and the payload (none in a revisit)."""
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d" % size + END
     body += payload if kind == "response" else b""
     lines = [
-        VERSION.decode(), f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{key}>", f"WARC-Target-URI: {_one_line(url)}",
+        VERSION.decode(), f"WARC-Type: {kind}", f"WARC-Record-ID: {_named(key)}", f"WARC-Target-URI: {_one_line(url)}",
         f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}",
     ]
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_named(refers_to)}"]
     return "\r\n".join(lines).encode() + END + body + END
 
 
+def _named(key: str | None) -> str:
+    """The record's id; a page without a key has one that names none."""
+    return "<urn:nameless>" if key is None else f"<urn:page:{key}>"
+
+
 def _one_line(text: str) -> str:
     return re.sub(r"[\x00-\x20]+", "%20", text)
 
@@ -84,18 +94,23 @@ def parsed(data: bytes, at: int) -> tuple[dict, int] | None:
     }, end + 4
 
 
-def _opened(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """The gzip member that begins at ``at``, unpacked and checked, and where it ends."""
-    reader = zlib.decompressobj(31)
+def _opened(data: bytes, at: int) -> tuple[bytes, int | None]:
+    """What the gzip member that begins at ``at`` unpacks to, and where it ends; None if it fails before."""
+    reader, out, place = zlib.decompressobj(31), [], at
     try:
-        plain = reader.decompress(data[at:] if len(data) - at < 1 << 16 else memoryview(data)[at:])
+        while not reader.eof and place < len(data):
+            out.append(reader.decompress(data[place : place + PIECE]))
+            place += PIECE
     except zlib.error:
-        return None
-    return (plain, len(data) - len(reader.unused_data)) if reader.eof else None
+        return b"".join(out), None
+    return b"".join(out), min(place, len(data)) - len(reader.unused_data) if reader.eof else None
 
 
 def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
-    """(records, gaps): all records that pass their checks, and the (start, end, why) of lost bytes."""
+    """(records, gaps): all records that pass their checks, and the (start, end, why) of lost bytes.
+
+    Bytes are those of ``data``; for what is lost inside a sound member they are the member's.
+    """
     records, gaps, at, lost, why = [], [], 0, None, ""
 
     def fail(reason: str) -> None:
@@ -114,14 +129,18 @@ def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
             at += 1  # padding
             continue
         if data.startswith(MAGIC, at):
-            opened = _opened(data, at)
-            one = opened and parsed(opened[0], 0)
-            if one and one[1] == len(opened[0]):
+            plain, end = _opened(data, at)
+            inner, missed = salvage(plain) if plain[:3] != MAGIC else ([], [(0, len(plain), "")])
+            if end is not None and inner:
                 good()
-                records.append(one[0])
-                at = opened[1]
+                records += inner
+                gaps += [(at, end, f"{reason} at {a} to {b} of the member") for a, b, reason in missed]
+                at = end
                 continue
-            fail("member" if opened is None else "record in member")
+            # what came out before the damage was found stands; the rest of the member is lost
+            good()
+            records += inner
+            fail("member" if end is None else "record in member")
         elif _LINE.match(data, at):
             one = parsed(data, at)
             if one:
@@ -139,18 +158,27 @@ def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
     return records, gaps
 
 
-def write_archives(rows: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> None:
-    """Write rows (key, kind, url, payload, digest, size, refers_to) as gzip archives below ``path``."""
+def write_archives(rows: DataFrame, path: str, largest: int, per_file: int = RECORDS_PER_FILE) -> None:
+    """Write rows (key, kind, url, payload, digest, size, refers_to) as gzip archives below ``path``.
+
+    Files end after ``per_file`` records.  Payloads above SMALL bytes, up to ``largest``, go to files of
+    their own with the fewer records the larger they are, so that FILE_BYTES or one payload bound a file.
+    """
 
     def run(batches):
         for part in slices(batches, "payload"):
             packed = []
             for r in part.to_pylist():
-                packed.append(member(record(r["key"] or "", r["kind"], r["url"] or "", r["payload"] or b"", r["digest"], r["size"], r["refers_to"])))
+                packed.append(member(record(r["key"], r["kind"], r["url"] or "", r["payload"] or b"", r["digest"], r["size"], r["refers_to"])))
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["member"])
 
-    members = rows.mapInArrow(run, "member binary").select(F.col("member").cast("string"))
-    members.write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(path)
+    low, high = -1, SMALL
+    while low < largest:
+        some = rows.filter((F.octet_length("payload") > low) & (F.octet_length("payload") <= high)) if largest > SMALL else rows
+        members = some.mapInArrow(run, "member binary").select(F.col("member").cast("string"))
+        count = min(per_file, max(1, FILE_BYTES // high))
+        members.write.mode("append").option("lineSep", "\0").option("maxRecordsPerFile", count).text(path)
+        low, high = high, high * 16
 
 
 def read_archives(df_spark, path: str) -> DataFrame:
@@ -175,6 +203,11 @@ def read_archives(df_spark, path: str) -> DataFrame:
     return files.mapInArrow(run, f"path string, records array<{record_type}>, gaps array<struct<start:bigint,end:bigint,why:string>>")
 
 
+def quarantine(archives: DataFrame) -> DataFrame:
+    """(path, start, end, why): the log of lost bytes of ``read_archives``."""
+    return archives.select("path", F.explode("gaps").alias("g")).select("path", "g.*")
+
+
 def archived(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Rows for ``write_archives``: of equal payloads of LEAST_REVISIT bytes or more, one is a response."""
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
@@ -184,7 +217,7 @@ def archived(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     # key and payload are all responses, as they refer to themselves
     first = rows.filter(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     several = first.filter("n > 1").select("digest", "first")
-    joined = rows.join(several, "digest", "left")
+    joined = looked_up(rows, settle(several, "several"), "digest", "id")  # a payload may be on any share of the pages
     again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     return joined.select(
         F.col("id").cast("string").alias("key"), F.when(again, "revisit").otherwise("response").alias("kind"), "url",
@@ -198,14 +231,18 @@ def archive_round_trip(pages: DataFrame, key: str = "page_id", url: str = "url",
 
     Null html is an empty payload, a null URL an empty one.  A page with a null key that repeats a
     payload refers to the least key; a payload that only null keys have has only responses.  Rows that
-    repeat a key are a record each.  Other columns are ignored; an empty table gives an empty result.
+    repeat a key are a record each.  Bytes that the reader couldn't make a record of raise an error with
+    their places, so that no page is missing in silence.  Other columns are ignored; an empty table gives an empty result.
     """
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
-    write_archives(archived(pages, key, url, html), path)
+    largest = pages.agg(F.max(F.octet_length(F.col(html)))).first()[0] or 0
+    write_archives(archived(pages, key, url, html), path, largest)
     kind = pages.schema[key].dataType.simpleString()
-    each = read_archives(spark, path).select(F.explode("records").alias("r"))
-    name = lambda c: F.when(F.col(c) != "", F.col(c)).cast(kind)
+    lost = F.raise_error(F.concat(F.lit("bytes lost in "), F.col("path"), F.lit(": "), F.to_json("gaps")))
+    whole = read_archives(spark, path).filter(F.when(F.size("gaps") > 0, lost.cast("boolean")).otherwise(True))
+    each = whole.select(F.explode("records").alias("r"))
+    name = lambda c: F.col(c).cast(kind)
     return each.select(
         name("r.key").alias(key), F.col("r.payload_bytes").alias("payload_bytes"), F.col("r.payload_digest").alias("payload_digest"),
         F.col("r.record_type").alias("record_type"), name("r.refers_to").alias("refers_to"), F.col("r.url").alias("url"),

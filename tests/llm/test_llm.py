@@ -90,6 +90,28 @@ def test_large_bucket_is_compared_block_by_block(spark, monkeypatch):
     assert {r.component_id for r in got} == {71} and sum(r.kept for r in got) == 1
 
 
+def test_blocks_by_size_and_copied_rows(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 6)
+    monkeypatch.setattr("loomframe.llm.common.BROADCAST_BYTES", 0)
+    monkeypatch.setattr("loomframe.operators.ordering.ROWS_PER_TASK", 50)
+    rng, rows = random.Random(9), []
+    for group in range(6):
+        words = [f"g{group}w{k}" for k in range(rng.randrange(30, 90))]
+        for copy in range(14):
+            edited = list(words)
+            for _ in range(copy % 4):
+                edited[rng.randrange(len(edited))] = f"own{rng.random()}"
+            rows.append((len(rows), " ".join(edited)))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    root = list(range(len(rows)))
+    for a, b in combinations(range(len(rows)), 2):
+        if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            ra, rb = root[a], root[b]
+            root = [min(ra, rb) if r in (ra, rb) else r for r in root]
+    assert sum(got[k] != root[k] for k in got) <= 1  # a pair in 200 at the threshold may be missed
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     rows = minhash.near_duplicates(odd).collect()
     by = {r.doc_id: r for r in rows}
@@ -370,10 +392,81 @@ def test_salvage(packed):
     assert [r["key"] for r in records] == list("01345") and [(a, b) for a, b, _ in gaps] == [(begin, begin + len(parts[2]))]
     cut = whole[: len(whole) - 9]
     records, gaps = warc.salvage(b"junk" + cut)
-    assert [r["key"] for r in records] == list("01234") and gaps[0][:2] == (0, 4) and gaps[1][1] == len(cut) + 4
+    # the cut takes a member's checksum, but its record had come out whole; a plain record's end is gone
+    assert [r["key"] for r in records] == list("012345" if packed else "01234") and gaps[0][:2] == (0, 4) and gaps[1][1] == len(cut) + 4
     assert warc.salvage(b"") == ([], []) and zlib.crc32(whole) == zlib.crc32(b"".join(parts))
 
 
+def test_salvage_inside_members():
+    def one(i):
+        body = b"payload %d " % i * 20
+        return warc.record(str(i), "response", f"u{i}", body, hashlib.sha256(body).hexdigest(), len(body), None)
+
+    keys = lambda data: [r["key"] for r in warc.salvage(data)[0]]
+    whole = b"".join(map(one, range(6)))
+    packed = warc.member(whole)
+    assert keys(packed) == list("012345") and warc.salvage(packed)[1] == []
+    assert keys(warc.member(one(0) + one(1)) + b"\0" + warc.member(one(2))) == list("012")
+    place = len(one(0)) + len(one(1)) - 30  # in a payload
+    hurt = whole[:place] + b"#" + whole[place + 1 :]
+    records, gaps = warc.salvage(warc.member(hurt) + warc.member(one(9)))
+    assert [r["key"] for r in records] == list("02345") + ["9"] and len(gaps) == 1 and gaps[0][:2] == (0, len(warc.member(hurt)))
+    rng = random.Random(1)
+    wide = [warc.record(str(i), "response", "u", b, hashlib.sha256(b).hexdigest(), len(b), None) for i, b in ((i, rng.randbytes(30_000)) for i in range(9))]
+    cut = warc.member(b"".join(wide))[: 5 * 30_000]
+    assert keys(cut) == list("0123") and warc.salvage(cut)[1][0][2] == "member"
+    named = [warc.record(k, "response", "u", b"", hashlib.sha256(b"").hexdigest(), 0, None) for k in (None, "", "7")]
+    assert keys(b"".join(named)) == [None, "", "7"]
+
+
+def test_many_members_take_linear_time():
+    body = random.Random(2).randbytes(50_000)
+    one = warc.member(warc.record("1", "response", "u", body, hashlib.sha256(body).hexdigest(), len(body), None))
+    began = time.time()
+    assert len(warc.salvage(one * 1000)[0]) == 1000 and time.time() - began < 5
+
+
+def test_archives_of_text_keys_and_sizes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SMALL", 200)
+    monkeypatch.setattr(warc, "FILE_BYTES", 1000)
+    rows = [("", "u", "x" * 150), ("a", "u", "x" * 150), (None, None, "y" * 5000), ("a", "v", "z" * 900), ("b", "v", "z" * 900), ("b", "v", "z" * 900)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_round_trip(pages).collect()), key=str)
+    want = [("", 150, "response", None), ("a", 150, "revisit", ""), (None, 5000, "response", None), ("a", 900, "response", None), ("b", 900, "revisit", "a"), ("b", 900, "revisit", "a")]
+    assert got == sorted(want, key=str)
+
+
+def test_lost_bytes_are_reported(spark, tmp_path):
+    good = warc.member(warc.record("1", "response", "u", b"x", hashlib.sha256(b"x").hexdigest(), 1, None))
+    (tmp_path / "a.gz").write_bytes(good + b"junk" + good)
+    archives = warc.read_archives(spark, str(tmp_path))
+    assert [(r.start, r.end) for r in warc.quarantine(archives).collect()] == [(len(good), len(good) + 4)]
+
+
+def test_listed_urls_meet_the_join_only_behind_the_filter(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://host{i}.net/p{i}") for i in range(300)] + [(None, "http://host3.net/p3"), (3, "http://host3.net/p3"), (5, "x" * 9000)], "page_id long, url string")
+    listed = pages.filter("page_id % 50 = 3").select("url")
+    want = sorted((r.page_id or -1, r.url in {f"http://host{i}.net/p{i}" for i in range(3, 300, 50)}) for r in pages.collect())
+    for blocks in (1 << 20, 0):
+        monkeypatch.setattr(url_filter, "BROADCAST_BLOCKS", blocks)
+        rows = url_filter.judge_urls(pages, listed, [], [])
+        assert sorted((r.page_id or -1, r.listed) for r in rows.collect()) == want
+
+
+def test_copies_of_a_live_credential_are_one_repository(spark):
+    own, shared = "my password = hunter2hunter2", "the password = changeme123 of the docs"
+    rows = [(i, own, "s1") for i in range(5)] + [(10 + i, shared + str(i), "s1") for i in range(5)]
+    got = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all("live:14:28" in got[i].spans for i in range(5)) and not any("live" in got[10 + i].spans for i in range(5))
+
+
+def test_ownership_equals_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(bytes([rng.randrange(9)]), rng.choice([None, "a", "b", "c"]), rng.choice([None, "r", "s", "t", "u"])) for _ in range(60)]
+    got = {bytes(r.hash): (r.n_owners, r.n_repositories) for r in secrets.ownership(spark.createDataFrame(rows, "hash binary, owner string, repository string")).collect()}
+    assert got == {h: (len({o for x, o, _ in rows if x == h}), len({r for x, _, r in rows if x == h})) for h in {x for x, *_ in rows}}
+
+
 def test_toxicity_chain(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
