@@ -1,6 +1,6 @@
-"""Byte-level pair encoding of text columns.
+"""Byte-level pair encoding of text columns, by a given table of merges.
 
-Words are found by the JVM and encoded in Arrow batches.  Texts are independent,
+Words are found by the JVM and encoded in Arrow batches; decoding is native.  Texts are independent,
 so the job needs no shuffle and no table of all words.
 """
 
@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomframe.functions import text as tx
+from loomframe.functions.arrays import bind
 
 END = "</w>"
 Merges = Sequence[tuple[str, str]]
 
 
+# The printable stand-in of every byte.
 def byte_symbols() -> dict[int, str]:
-    """Printable stand-in character of every byte (fixed values).
+    """Printable stand-in character of every byte.
 
     Visible Latin-1 characters stand for themselves, all others take the code
     points from 256 on in byte order.
@@ -39,6 +41,27 @@ def vocabulary(merges: Merges) -> dict[str, int]:
     return {name: n for n, name in enumerate(names)}
 
 
+#: Rows of a merges table at most; it is held by every task.
+MOST_MERGES = 200_000
+
+
+def merges_of(table: DataFrame) -> list[tuple[str, str]]:
+    """The merges of a table (rank, first, second), lowest rank first.
+
+    Symbols are single bytes' stand-ins, the last of a word with END, or what an earlier merge made.
+    """
+    rows = table.orderBy("rank").select("first", "second").limit(MOST_MERGES + 1).collect()
+    if len(rows) > MOST_MERGES:
+        raise ValueError(f"more than {MOST_MERGES} merges")
+    merges = [(r["first"], r["second"]) for r in rows]
+    known = set(byte_symbols().values()) | {s + END for s in byte_symbols().values()}
+    for first, second in merges:
+        if first not in known or second not in known:
+            raise ValueError(f"{first!r} and {second!r} aren't both bytes or made by an earlier merge")
+        known.add(first + second)
+    return merges
+
+
 def word_pieces(word: str, ranks: dict[tuple[str, str], int], symbols: dict[int, str]) -> list[str]:
     """Symbols of a word after applying merges, lowest rank first."""
     if word in ("<|startoftext|>", "<|endoftext|>"):
@@ -98,42 +121,17 @@ def encode(text, merges: Merges) -> Column:
 
 
 def decode_ids(ids, merges: Merges) -> Column:
-    """Text of token ids; every end-of-word symbol becomes a blank."""
-    table = list(merges)
-
-    @F.pandas_udf(T.StringType())
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        raw = {s: b for b, s in byte_symbols().items()}
-        content = {}
-        for name, n in vocabulary(table).items():
-            stem = name.removesuffix(END)
-            content[n] = bytes(raw[c] for c in stem) + (b" " if stem != name else b"")
-
-        for part in parts:
-            yield part.map(
-                lambda row: b"".join([content[i] for i in row.tolist()]).decode("utf-8", "replace")
-            )
-
-    return run(F.col(ids) if isinstance(ids, str) else ids)
-
-
-def learned_merges(df: DataFrame, text: str, n: int) -> list[tuple[str, str]]:
-    """The ``n`` most frequent adjacent pairs of byte symbols over all words of a corpus as a merges table.
+    """Text of token ids; every end-of-word symbol becomes a blank.
 
-    Words of every script, length and kind count; a word's last byte carries the end-of-word mark.
-    There are two to the 17 different pairs at most.  Pairs of merged symbols aren't counted again.
+    Bytes that are no text become U+FFFD, ids outside the vocabulary raise.
     """
-    words = df.select(F.explode(tx.words(tx.clean(text))).alias("word"))
-    words = words.filter(~F.col("word").isin("<|startoftext|>", "<|endoftext|>"))  # these stay whole
-    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    counted = counted.withColumn("hex", F.hex(F.encode("word", "UTF-8"))).filter(F.length("hex") >= 4)
-    starts = F.sequence(F.lit(1), F.length("hex") - 3, F.lit(2))
-    pair = lambda i: F.struct(F.substring("hex", i, F.lit(4)).alias("bytes"), (i == F.length("hex") - 3).alias("last"))
-    pairs = counted.select("n", F.explode(F.transform(starts, pair)).alias("pair"))
-    top = (
-        pairs.groupBy("pair").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "pair").limit(n).select("pair.*").collect()
-    )
-    symbols = byte_symbols()
-    both = [(*(symbols[b] for b in bytes.fromhex(r["bytes"])), r["last"]) for r in top]
-    return [(a, b + END if last else b) for a, b, last in both]
+    raw = {s: b for b, s in byte_symbols().items()}
+    content = []
+    for name in vocabulary(list(merges)):
+        stem = name.removesuffix(END)
+        content.append((bytes(raw[c] for c in stem) + (b" " if stem != name else b"")).hex())
+    # a list of all names as one constant, in which an id is a place
+    table = F.split(F.lit(",".join(content)), ",")
+    column = F.col(ids) if isinstance(ids, str) else ids
+    joined = bind(table, lambda names: F.array_join(F.transform(column, lambda i: names[i]), ""))
+    return F.call_function("make_valid_utf8", F.unhex(joined).cast("string"))

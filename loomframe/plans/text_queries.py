@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomframe.functions import paths, text
 from loomframe.operators import filters, labels, metrics
 from loomframe.operators.ordering import running_total
-from loomframe.operators.tokenizer import decode_ids, encode, learned_merges
+from loomframe.operators.tokenizer import END, byte_symbols, decode_ids, encode, merges_of, vocabulary
 from loomframe.plans import views
 from loomframe.plans.registry import joined, query, rounded
 from loomframe.plans.views import TAGGED, A, B, strip_sql
@@ -266,12 +266,48 @@ def pad_truncate(t):
     )
 
 
-@query("bpe_encode")
+# A given table of merges, lowest rank first; some make symbols of several bytes out of such symbols.
+MERGES = [tuple(pair.split(" ")) for pair in (
+    "t h,e r,i n,a n,e n,o n,c h,s t,r e,th e,th e</w>,an d</w>,in g</w>,e r</w>,e n</w>,s ch,i o,io n</w>,t ion</w>,o u,u n,un g</w>,"
+    "q u,qu e</w>,Ã ©,Ã ¼,Ã ±,Ã ³,Ã ©</w>,the r,the r</w>,sch Ã¼,l e,le s</w>,d e,de r</w>,de n</w>,ou r</w>,st er</w>,a l,al l</w>,on e,1 2</w>"
+).split(",")]
+
+
+def _merged_sql(symbols: str) -> str:
+    for first, second in MERGES:
+        symbols = f"replace({symbols}, chr(1) || '{first}' || chr(2) || chr(1) || '{second}' || chr(2), chr(1) || '{first}{second}' || chr(2))"
+    return symbols
+
+
+def _listed_sql(names) -> str:
+    return "[" + ", ".join("'" + n.replace("'", "''") + "'" for n in names) + "]"
+
+
+@query(
+    "bpe_encode",
+    f"""with cleaned as (select doc_id, lower(trim(regexp_replace({_UNESCAPED.replace("(html,", "(text,")}, '[{views.WS}]+', ' ', 'g'))) as clean from documents),
+    split as (select doc_id, regexp_extract_all(clean, '{_WORD_SQL}') as words from cleaned),
+    placed as (select doc_id, unnest(words) as word, unnest(range(len(words))) as pos from split),
+    known as (select distinct word, hex(encode(word)) as raw from placed),
+    bytes as (select word, list_transform(range(len(raw) // 2), lambda i: ('0x' || substr(raw, 2 * i + 1, 2))::int) as b from known),
+    signs as (select word, array_to_string(list_transform(b, lambda x, i: chr(1) || ({_listed_sql(byte_symbols().values())})[list_position({list(byte_symbols())}, x)]
+      || case when i = len(b) then '{END}' else '' end || chr(2)), '') as s from bytes),
+    merged as (select word, {_merged_sql("s")} as s from signs),
+    coded as (select word, case when word in ('<|startoftext|>', '<|endoftext|>') then [word] else string_split(s[2:-2], chr(2) || chr(1)) end as names from merged),
+    numbers as (select unnest({_listed_sql(vocabulary(MERGES))}) as name, unnest(range({len(vocabulary(MERGES))})) as id),
+    each as (select word, unnest(names) as name, unnest(range(len(names))) as k from coded),
+    ids as (select word, string_agg(id::varchar, ' ' order by k) as ids, count(*) as n from each join numbers using (name) group by word),
+    found as (select doc_id, string_agg(ids, ' ' order by pos) as ids, sum(n) as n,
+      string_agg(case when word in ('<|startoftext|>', '<|endoftext|>') then word else word || ' ' end, '' order by pos) as back
+      from placed join ids using (word) group by doc_id)
+    select doc_id, coalesce(n, 0)::int as n_ids, md5(coalesce(ids, '')) as ids_md5, md5(coalesce(back, '')) as decoded_md5
+    from documents left join found using (doc_id)""",
+)
 def bpe_encode(t):
-    """Byte-pair codes of whole documents, and the text they decode to."""
-    docs = t.spread("documents", "doc_id").select("doc_id", "text")
-    merges = learned_merges(docs, "text", 200)
-    encoded = docs.select("doc_id", encode("text", merges).alias("ids"))
+    """Byte-pair codes of whole documents by a given table of merges, and the text they decode to."""
+    table = t.spark.createDataFrame([(n, *pair) for n, pair in enumerate(MERGES)], "rank int, first string, second string")
+    merges = merges_of(table)
+    encoded = t.spread("documents", "doc_id").select("doc_id", encode(F.coalesce("text", F.lit("")), merges).alias("ids"))
     return encoded.select(
         "doc_id",
         F.size("ids").alias("n_ids"),
@@ -361,13 +397,13 @@ def text_length_stats(t):
 @query(
     "script_flags",
     f"""select doc_id, cast(regexp_matches(text, '[{A}]') as bigint) as has_a,
-      cast(regexp_matches(text, '[{B}]') as bigint) as has_b from documents where doc_id % 2 = 0""",
+      cast(regexp_matches(text, '[{B}]') as bigint) as has_b, doc_id % 2 = 0 as is_even from documents""",
 )
 def script_flags(t):
-    """Scripts present per document, over the even-number row filter."""
+    """Scripts present per document, and whether the even-number row filter passes it."""
     a, b = text.scripts_present("text", [A, B])
-    return t.documents.filter(F.col("doc_id") % 2 == 0).select(
-        "doc_id", a.alias("has_a"), b.alias("has_b")
+    return t.documents.select(
+        "doc_id", a.alias("has_a"), b.alias("has_b"), (F.col("doc_id") % 2 == 0).alias("is_even")
     )
 
 

@@ -115,13 +115,13 @@ def test_special_words_are_whole(spark):
     assert F is not None
 
 
-def test_merges_are_learned_from_words_of_every_script(spark):
-    from loomframe.operators.tokenizer import END, byte_symbols, learned_merges
-
-    texts, sign = ["of of of of of \u00e9t\u00e9 \u00e9t\u00e9 \u00e9t\u00e9", "\u4e2d \u4e2d abc"], byte_symbols()
-    got = learned_merges(spark.createDataFrame([(t,) for t in texts], "text string"), "text", 50)
-    assert got[0] == ("o", "f" + END) and ("a", "b") in got and ("b", "c" + END) in got
-    for word in ("\u00e9t\u00e9", "\u4e2d"):
-        parts = [sign[b] for b in word.encode()]
-        parts[-1] += END
-        assert set(zip(parts, parts[1:])) <= set(got)
+def test_merges_come_from_a_table(spark):
+    fields = "rank int, first string, second string"
+    table = spark.createDataFrame([(2, "lo", "w</w>"), (1, "l", "o")], fields)
+    assert tokenizer.merges_of(table) == [("l", "o"), ("lo", "w</w>")]
+    with pytest.raises(ValueError, match="earlier merge"):
+        tokenizer.merges_of(spark.createDataFrame([(1, "lo", "w"), (2, "l", "o")], fields))
+    broken = spark.createDataFrame([([0x41 - 0x21, 195],)], "ids array<int>")  # a letter and a byte that is no text alone
+    sign = [n for n, s in enumerate(tokenizer.byte_symbols().values()) if s == "\u00c3"][0]
+    text_ = broken.select(tokenizer.decode_ids(F.array(F.lit(0x41 - 0x21), F.lit(sign)), []).alias("t")).first()["t"]
+    assert text_ == "A\ufffd"
