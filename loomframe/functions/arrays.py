@@ -302,6 +302,14 @@ def level_values(v, levels: int) -> Column:
     return F.transform(_c(v), lambda x: x / F.lit(float(levels)))
 
 
+def block_repeat(v, height: int, width: int, factor: int) -> Column:
+    """A raster enlarged by an integer factor: every value becomes a square of itself."""
+    places = F.sequence(F.lit(0), F.lit(height * width * factor * factor - 1))
+    wide = width * factor
+    at = lambda k: F.floor(k / (wide * factor)) * width + F.floor(k % wide / factor)
+    return bind(_c(v), lambda a: F.transform(places, lambda k: F.get(a, at(k).cast("int"))))
+
+
 def block_mean(v, height: int, width: int, factor: int) -> Column:
     """Area pooling of a raster by an integer factor."""
     out_w = width // factor

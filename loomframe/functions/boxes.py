@@ -282,6 +282,12 @@ def patch_boxes(grid_w: int, grid_h: int, kernel: int, stride: int, scale: int,
     return F.transform(F.sequence(F.lit(0), F.lit(per_row * rows - 1)), one)
 
 
+def with_patch(sequence, patch_box: Column, spec: SequenceSpec) -> Column:
+    """A sequence whose crop, its last two tokens, gives way to the box of a patch."""
+    sequence = _c(sequence)
+    return F.concat(F.slice(sequence, F.lit(1), F.size(sequence) - 2), box_tokens(patch_box, spec.tokens))
+
+
 # --- landmark alignment ------------------------------------------------------
 
 

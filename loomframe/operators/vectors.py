@@ -6,9 +6,10 @@ shuffle; elements are never exploded into rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 from loomframe.functions import seeded
 from loomframe.functions.arrays import doubles
 from loomframe.operators.matching import nearest_code, shippable
-from loomframe.session import materialise, settled
+from loomframe.session import materialise
 
 
 def with_code_vector(df: DataFrame, codebook: DataFrame, code: str = "code") -> DataFrame:
@@ -61,11 +62,10 @@ def remap_codes(
     df: DataFrame, used: DataFrame, code: str = "code", unknown: str | int = "extra",
     key: str = "id", seed: int = 0, into: str = "compact",
 ) -> DataFrame:
-    """Code to its position in the ``used`` table (``code``, ``position``).
+    """Code to its position in the stored table ``used`` (``code``, ``position``).
 
     Unknown codes become a random position, one extra position, or a given one.
     """
-    used = settled(used, "used")
     size = used.count()
     table = used.select(F.col("code").alias(code), F.col("position").alias("__p"))
     if unknown == "random":
@@ -78,7 +78,6 @@ def remap_codes(
 
 def unmap_codes(df: DataFrame, used: DataFrame, compact: str = "compact", into: str = "code"):
     """Inverse of :func:`remap_codes`; the extra position becomes the first code."""
-    used = settled(used, "used")
     size = used.count()
     table = used.select(F.col("position").alias("__q"), F.col("code").alias(into))
     slot = F.when(F.col(compact) >= size, F.lit(0)).otherwise(F.col(compact))
@@ -196,29 +195,28 @@ def embed(
 ) -> DataFrame:
     """Encode token rows with a model the caller supplies.
 
-    ``make_encoder()`` runs once per Python worker and returns a function
-    ``(ids, mask) -> float array (n, length, width)``.  The vector, flattened, is
-    added to the row.
+    ``make_encoder()`` runs once per Python task and returns a function
+    ``(ids, mask) -> float array (n, length, width)``.  It is given rows of one length at a time, at
+    most ``batch_size``; rows may differ in length.  The vector, flattened, is added to the row; it is
+    null where the ids are.
     """
-    from pyspark.ml.functions import predict_batch_udf
 
-    one = df.select(F.size(ids)).first()
-    length = one[0] if one else 1  # an empty table stays empty
-
-    def make_predict():
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         encode = make_encoder()
-
-        def predict(ids_batch: np.ndarray, mask_batch: np.ndarray) -> np.ndarray:
-            out = encode(ids_batch, mask_batch)
-            return np.asarray(out, dtype=np.float32).reshape(len(ids_batch), -1)
-
-        return predict
-
-    udf = predict_batch_udf(
-        make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size,
-        input_tensor_shapes=[[length], [length]],
-    )
-    return df.withColumn(into, udf(F.col(ids), F.col(mask)))
+        for tokens, masks in parts:
+            out: list = [None] * len(tokens)
+            sizes = np.array([-1 if x is None else len(x) for x in tokens])
+            for size in np.unique(sizes[sizes >= 0]):
+                same = np.flatnonzero(sizes == size)
+                for low in range(0, len(same), batch_size):
+                    some = same[low : low + batch_size]
+                    found = np.asarray(encode(np.stack(tokens.iloc[some].tolist()), np.stack(masks.iloc[some].tolist())), dtype=np.float32)
+                    for row, vector in zip(some, found.reshape(len(some), int(size) * width)):
+                        out[row] = vector
+            yield pd.Series(out)
+
+    return df.withColumn(into, run(F.col(ids), F.col(mask)))
 
 
 def largest_difference(stored: Column, fresh: Column) -> Column:

@@ -432,6 +432,29 @@ def patch_crop_tokens(t):
     )
 
 
+@query(
+    "patch_sequences",
+    _sequence_sql(True)
+    + f""", p as (select s.image_id, sequence, unnest(range(0, 9)) as patch, width, height
+      from sequences s join descriptions d on d.image_id = s.image_id),
+    b as (select *, patch % 3 * 8 / width::double l, patch // 3 * 8 / height::double t,
+      16 / width::double w, 16 / height::double h from p)
+    select image_id, patch, array_to_string(list_concat(sequence[:-3], [{_token('l', 't', 32)}, {_token('l + w', 't + h', 32)}]), ' ') as sequence
+    from b""",
+)
+def patch_sequences(t):
+    """The sequence of each image once for every patch, with the patch in place of the crop."""
+    grid = boxes.patch_boxes(16, 16, 8, 4, 2, "width", "height")
+    sized = _sequences(t, CENTERS).select("image_id", "sequence").join(
+        views.descriptions(t).select("image_id", "width", "height"), "image_id"
+    )
+    each = sized.select("image_id", "sequence", F.explode(grid).alias("p"))
+    return each.select(
+        "image_id", F.col("p.patch").cast("long").alias("patch"),
+        joined(boxes.with_patch("sequence", F.col("p.box"), CENTERS)).alias("sequence"),
+    )
+
+
 # --- landmarks ---------------------------------------------------------------
 
 EYES_SQL = f"""with {views.LANDMARKS}, e as (

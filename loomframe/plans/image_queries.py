@@ -110,6 +110,20 @@ def level_map(t):
     )
 
 
+@query(
+    "level_map_full",
+    f"""with {IMAGES8}, e as (select image_id, px, unnest(range(0, 64)) pos from images8),
+    c as (select *, pos // 16 * 16 + pos % 8 // 2 * 2 as o from e)
+    select image_id, pos, round(cast(round_even((px[o+1] / 255.0::double + px[o+2] / 255.0::double + px[o+9] / 255.0::double
+      + px[o+10] / 255.0::double) / 4 * 12, 0) as int) / 12.0::double, 6) as v from c""",
+)
+def level_map_full(t):
+    """Levels of area-pooled images, decoded and enlarged to the images' size."""
+    levels = arrays.quantise_levels(arrays.block_mean(arrays.unit_from_int("px"), 8, 8, 2), 12)
+    decoded = views.images8(t).select("image_id", arrays.level_values(levels, 12).alias("low"))
+    return _pixel_rows(decoded.select("image_id", arrays.block_repeat("low", 4, 4, 2).alias("data")))
+
+
 @query(
     "patchify",
     f"""with {IMAGES8}, e as (select image_id, px, unnest(range(0, 16)) as token from images8)

@@ -8,6 +8,7 @@ from loomframe.functions import arrays, scores
 from loomframe.operators import schedule as sch
 from loomframe.operators import matching
 from loomframe.operators import vectors as vec
+from loomframe.operators.ordering import numbered
 from loomframe.plans import views
 from loomframe.plans.registry import joined, query, rounded
 from loomframe.plans.views import (
@@ -19,6 +20,7 @@ from loomframe.plans.views import (
     normal_sql,
     u_sql,
 )
+from loomframe.session import materialise, settled
 
 STEPS = 1000
 
@@ -95,11 +97,9 @@ USED = """used as (select code, row_number() over (order by code) - 1 as positio
       on u.position = case when compact >= size then 0 else compact end""",
 )
 def code_remap(t):
-    codes = _nearest(t).select("id", "code")
+    codes = materialise(_nearest(t).select("id", "code"), "codes")
     listed = codes.filter(F.col("code") % 3 != 0).select("code").distinct()
-    from loomframe.operators.ordering import numbered
-
-    used = numbered(listed, ["code"], "position")
+    used = settled(numbered(listed, ["code"], "position"), "used")
     out = vec.remap_codes(codes, used, unknown="extra")
     out = vec.remap_codes(out, used, unknown="random", seed=61, into="random_compact")
     return vec.unmap_codes(out, used, into="back").select(

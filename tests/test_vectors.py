@@ -138,6 +138,15 @@ def test_steps():
     assert schedule.quadratic_steps(1000, 5)[0] == 1 and schedule.quadratic_steps(1000, 5)[-1] in (800, 801)
 
 
+def test_embedding_of_ragged_rows(spark):
+    rows = [(n, list(range(n % 4)), [1] * (n % 4)) for n in range(20)] + [(99, None, None)]
+    table = spark.createDataFrame(rows, "id bigint, ids array<int>, mask array<int>")
+    seen = vectors.embed(table, "ids", "mask", lambda: lambda ids, mask: np.stack([ids * mask, ids + 1], axis=2), width=2, batch_size=3)
+    got = {r["id"]: r["embedding"] for r in seen.collect()}
+    assert got[99] is None
+    assert all(got[n] == [float(v) for k in range(n % 4) for v in (k, k + 1)] for n in range(20))
+
+
 def test_embedding_job_and_check(spark):
     table = spark.createDataFrame([(n, [n, 1, 2], [1, 1, 0]) for n in range(9)], "id bigint, ids array<int>, mask array<int>")
 
