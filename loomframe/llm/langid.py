@@ -11,15 +11,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomframe.llm.common import below, flat, slices
 
 #: Units of each direction, and bytes that are read in one go; every byte of a text is in one piece.
 UNITS, PIECE = 4, 128
-#: Labelled documents that training reads at most, chosen by a hash of their key; bytes of each.
-SAMPLE, SAMPLE_BYTES = 2_000, 512
+#: Bytes of labelled texts that training reads at most, whole texts chosen by a hash of their key.
+SAMPLE_BYTES = 1_000_000
 _PARTS = 3
 
 
@@ -166,25 +166,30 @@ def held_out(key: Column, parts: int = _PARTS) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(parts)) == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, passes: int = 6) -> Network | None:
-    """A network fitted on at most ``sample`` labelled documents outside the held-out part, or None.
+def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE_BYTES, passes: int = 6) -> Network | None:
+    """A network fitted on at most ``sample`` bytes of labelled documents outside the held-out part, or None.
 
-    They are chosen by a hash of their key, in like shares of each label; of each, SAMPLE_BYTES bytes
-    around its middle are read.  This bounds what training holds, not what prediction reads.
+    Whole texts are taken in the order of a hash of their key, in like shares of bytes for each
+    label.  A text of more than a sixteenth of its label's share isn't used for fitting.  This bounds what
+    training holds, not what prediction reads.
     """
-    plain = F.col("text").cast("binary")
-    start = F.greatest(F.lit(0), F.floor((F.octet_length("text") - SAMPLE_BYTES) / 2)) + 1
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id"))).filter("text rlike '\\\\p{L}'")
-    rows = rows.select("id", F.substring(plain, start, F.lit(SAMPLE_BYTES)).alias("raw"), "lang", F.xxhash64("id").alias("turn"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    rows = rows.withColumn("size", F.octet_length("text").cast("long"))
+    names = [r["lang"] for r in rows.select("lang").distinct().collect()]
+    if not names:
         return None
-    share, got = -(-sample // len(counts)), []
-    for label in sorted(counts):
-        some = rows.filter((F.col("lang") == label) & below(F.col("id"), share, counts[label]))
-        got += [(bytes(r.raw), label) for r in some.orderBy("turn", "id", "raw").limit(share).select("raw").collect()]
-    return train_network([t for t, _ in got], [y for _, y in got], passes)
+    share = sample // len(names)
+    rows = rows.filter(F.col("size") <= share // 16)
+    known = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.avg("size").alias("mean")).collect()}
+    # a hash of the key passes about twice the rows that are wanted, so that few texts move
+    chosen = F.lit(False)
+    for name, r in known.items():
+        chosen = F.when(F.col("lang") == name, below(F.col("id"), int(share / r["mean"]) + 1, r["n"])).otherwise(chosen)
+    so_far = Window.partitionBy("lang").orderBy("turn", "id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    some = rows.filter(chosen).withColumn("turn", F.xxhash64("id")).withColumn("total", F.sum("size").over(so_far))
+    got = some.filter(F.col("total") <= share).orderBy("lang", "turn", "id", "text").select("text", "lang").collect()
+    return train_network([r["text"].encode() for r in got], [r["lang"] for r in got], passes)
 
 
 def identify(docs: DataFrame, network: Network | None, key: str = "doc_id", text: str = "text") -> DataFrame:
