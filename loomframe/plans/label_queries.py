@@ -8,7 +8,7 @@ from loomframe.functions import paths, scores
 from loomframe.operators import filters, labels, sampling
 from loomframe.operators.ordering import batches, gathered, numbered
 from loomframe.plans import views
-from loomframe.plans.registry import joined, query
+from loomframe.plans.registry import emit_rows, joined, query
 from loomframe.plans.views import CATEGORIES, DESCRIPTIONS, digest_sql
 from loomframe.session import settled
 
@@ -117,6 +117,30 @@ def captions_pick(t):
     )
 
 
+def _neighbours():
+    """Pairs of consecutive captions of an image, the last one with none."""
+    last = None
+
+    def step(row):
+        nonlocal last
+        if last is not None:
+            yield last["image_id"], last["caption_id"], None if row is None else row["caption_id"]
+        last = row
+
+    return step
+
+
+@query(
+    "caption_neighbours",
+    f"""with {CAPTIONS} select image_id, caption_id, lead(caption_id) over (partition by image_id order by caption_id) as following
+    from captions""",
+)
+def caption_neighbours(t):
+    """Every caption with the one that follows it, by a table function over the images' captions."""
+    rows = _captions(t).select("image_id", "caption_id")
+    return emit_rows(rows, "image_id", "caption_id", _neighbours, "image_id long, caption_id long, following long")
+
+
 @query(
     "captions_by_image",
     f"""with {CAPTIONS}, p as (select *, (row_number() over (partition by image_id

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -156,6 +157,35 @@ def with_bundle(df: DataFrame, fn: Callable, inputs: Sequence[str], fields: str)
     return bundled.select(*df.columns, "__bundle.*")
 
 
+def emit_rows(df: DataFrame, key: str, order: str, start: Callable[[], Callable], fields: str) -> DataFrame:
+    """Rows that a plug-in emits for each group of ``key``, read in ``order``.
+
+    ``start()`` begins a group and returns ``fn(row)``, which yields tuples of ``fields`` (a DDL list); after
+    the group's last row it is called with None.  A group passes row by row through a table function
+    with a partitioned table argument; what the plug-in remembers bounds its memory.
+    """
+    shape = T.StructType.fromDDL(fields)
+
+    class Emit:
+        @staticmethod
+        def analyze(table: AnalyzeArgument) -> AnalyzeResult:
+            missing = {key, order} - set(table.dataType.names)
+            if missing:
+                raise ValueError(f"the table has no column {sorted(missing)}")
+            return AnalyzeResult(shape)
+
+        def __init__(self):
+            self.step = start()
+
+        def eval(self, row):
+            yield from self.step(row)
+
+        def terminate(self):
+            yield from self.step(None)
+
+    return F.udtf(Emit)(df.asTable().partitionBy(key).orderBy(order))
+
+
 def map_batches(df: DataFrame, fn: Callable, schema, rows: int = 4096) -> DataFrame:
     """Apply ``fn(pandas frame) -> pandas frame`` to batches of at most ``rows`` rows."""
 
