@@ -12,14 +12,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import Words, flat, mixed, settle, shingle_hashes, sized, slices
+from loomframe.llm.common import Words, flat, looked_up, mixed, settle, shingle_hashes, sized, slices
 from loomframe.llm.components import components
+from loomframe.operators.ordering import running_total
 
-#: Documents of a bucket that are compared in one task at a time; larger buckets meet block by block.
-BLOCK = 128
+#: Documents of a bucket that are compared in one task at a time, with up to BLOCK shingles each on
+#: average; larger buckets meet block by block.
+BLOCK = 512
 
 
 def _sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -149,6 +151,23 @@ def _verified(percent: int, size: int):
     return run
 
 
+def _keys(classes: DataFrame, hashes: int) -> DataFrame:
+    """(rep, weight, bucket): the keys of the tables in which a class may meet another one.
+
+    A class lists only hashes of either collection that a second class has too, and only from these
+    are the pairs formed, so that a text without likeness takes ``2 * hashes`` rows and no more.
+    """
+    halves = classes.select("rep", "n_shingles", F.posexplode(F.concat("left", "right")).alias("k", "h"))
+    halves = halves.select("rep", "n_shingles", "k", F.xxhash64("k", "h").alias("x"))
+    shared = halves.groupBy("x").agg(F.count("*").alias("n")).filter("n > 1").select("x")
+    own = halves.join(sized(settle(shared, "shared")), "x", "left_semi")
+    own = own.groupBy("rep", "n_shingles").agg(F.collect_list(F.struct("k", "x")).alias("s"))  # 2 * hashes entries
+    side = lambda first: F.filter("s", lambda e: (e["k"] < hashes) == F.lit(first))
+    pairs = own.select("rep", "n_shingles", F.explode(side(True)).alias("a"), side(False).alias("right"))
+    pairs = pairs.select("rep", "n_shingles", "a", F.explode("right").alias("b"))
+    return pairs.select("rep", F.greatest("n_shingles", F.lit(BLOCK)).alias("weight"), F.xxhash64("a.x", "b.x").alias("bucket"))
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 85, rows: int = 4, hashes: int = 8
 ) -> DataFrame:
@@ -159,8 +178,8 @@ def near_duplicates(
     ``hashes`` = 8 miss a pair in 200, at 0.9 one in 2,500.
 
     Equal sets are one class with one representative, so that thousands of copies cost one row in
-    all that follows.  A bucket of more than BLOCK representatives is compared block by block, in
-    tasks of two blocks; only each text's link to the least of its component leaves a task, never
+    all that follows.  A bucket of more than BLOCK representatives, or fewer of large sets, is compared
+    block by block, in tasks of two blocks; only each text's link to the least of its component leaves a task, never
     the pairs.  Buckets with the same members in several tables are compared once.
 
     Null or empty texts, and texts of white space, have no shingles and are linked with nothing.
@@ -171,29 +190,22 @@ def near_duplicates(
     drawn = settle(sketches(docs, key, text, size, rows, hashes), "sketches")
     classes = settle(
         drawn.filter("digest is not null and id is not null").groupBy("digest").agg(
-            F.min("id").alias("rep"), F.min("left").alias("left"), F.min("right").alias("right")
+            F.min("id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("left").alias("left"), F.min("right").alias("right")
         ),
         "classes",
     )
-    keyed = (
-        classes.select("rep", "right", F.posexplode("left").alias("i", "a"))
-        .select("rep", "i", "a", F.posexplode("right").alias("j", "b"))
-        .select("rep", F.xxhash64("i", "j", "a", "b").alias("bucket"))
-    )
-    same = Window.partitionBy("bucket")
+    keyed = settle(_keys(classes, hashes), "keyed")
     mark = F.xxhash64("rep").cast("decimal(38,0)")
-    crowded = keyed.select(
-        "bucket", "rep", F.count("*").over(same).alias("n"), F.sum(mark).over(same).alias("mark"),
-        F.row_number().over(same.orderBy("rep")).alias("at"),
-    ).filter("n > 1")
-    crowded = settle(crowded, "buckets")
-    alike = crowded.filter("at = 1").groupBy("n", "mark").agg(F.min("bucket").alias("bucket"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.floor((F.col("at") - 1) / BLOCK).cast("int")
+    buckets = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(mark).alias("mark"), F.sum("weight").alias("whole"))
+    # buckets of the same members are compared once
+    chosen = buckets.filter("n > 1").groupBy("n", "mark").agg(F.min("bucket").alias("bucket"), F.min("whole").alias("whole"))
+    crowded = keyed.join(sized(settle(chosen.select("bucket", "whole"), "chosen")), "bucket")
+    crowded = running_total(settle(crowded, "crowded"), ["rep"], F.col("weight"), "upto", within=["bucket"])
+    blocks = F.ceil(F.col("whole") / (BLOCK * BLOCK)).cast("int")
+    mine = F.floor((F.col("upto") - F.col("weight")) / (BLOCK * BLOCK)).cast("int")
     others = F.when(blocks == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), blocks - 1), F.array(mine)))
     placed = (
-        crowded.join(alike.select("bucket"), "bucket", "left_semi")
-        .select("bucket", "rep", mine.alias("mine"), F.explode(others).alias("other"))
+        crowded.select("bucket", "rep", mine.alias("mine"), F.explode(others).alias("other"))
         .select("bucket", "rep", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
     )
     placed = settle(placed, "placed")
@@ -216,7 +228,9 @@ def near_duplicates(
     named = classes.join(reached, F.col("rep") == F.col("node"), "left").select(
         "digest", F.coalesce("component", "rep").alias("component_id")
     )
-    result = drawn.select("id", "n_shingles", "digest").join(named, "digest", "left")
+    # a group of copies may be a third of all rows, and so may rows without a digest: both are spread
+    rows = drawn.select("id", "n_shingles", F.coalesce("digest", F.unhex(F.hex(F.xxhash64("id")))).alias("digest"), F.col("digest").isNull().alias("none"))
+    result = looked_up(rows, settle(named, "named"), "digest", "id").withColumn("digest", F.when(~F.col("none"), F.col("digest")))
     component = F.when(F.col("digest").isNull(), F.col("id")).when(F.col("id").isNotNull(), F.col("component_id"))
     return result.select(
         F.col("id").alias(key), F.col("n_shingles"), component.alias("component_id"),
