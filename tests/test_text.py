@@ -2,7 +2,9 @@
 
 import html
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +127,35 @@ def test_merges_come_from_a_table(spark):
     sign = [n for n, s in enumerate(tokenizer.byte_symbols().values()) if s == "\u00c3"][0]
     text_ = broken.select(tokenizer.decode_ids(F.array(F.lit(0x41 - 0x21), F.lit(sign)), []).alias("t")).first()["t"]
     assert text_ == "A\ufffd"
+
+
+def test_lists_of_words_are_encoded_in_slices():
+    merges = [("l", "o"), ("lo", "w</w>")]
+    names = {s: n for n, s in enumerate(tokenizer.vocabulary(merges))}
+    low, lo, er = [names["low</w>"]], [names["lo"], names["e"], names["r</w>"]], [names["e"], names["r</w>"]]
+    rows = [["low", "loer"], None, [], ["low"] * (tokenizer.SLICE_WORDS + 1), ["er", "low", "er"], [], ["loer"]]
+    want = [low + lo, None, [], low * (tokenizer.SLICE_WORDS + 1), er + low + er, [], lo]
+    part = pa.array([["cut"], *rows], pa.list_(pa.string())).slice(1)
+    for remembered in (1, 100):
+        parts = list(tokenizer.encoded_lists(iter([part, part.slice(4)]), merges, remembered))
+        assert [x for p in parts for x in p.to_pylist()] == want + want[4:]
+        assert max(len(p) for p in parts[:3]) < len(rows)  # no slice is the whole batch
+
+
+def test_encoding_a_large_batch_makes_few_objects():
+    """A batch of a million words: before, each was a Python string at the same time (over 50 MB)."""
+    part = pa.array([[f"w{(i * 7 + k) % 5000}" for k in range(100)] for i in range(10_000)], pa.list_(pa.string()))
+    tracemalloc.start()
+    try:
+        n = sum(len(p) for p in tokenizer.encoded_lists(iter([part]), [("w", "1")], 500_000))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 10_000 and peak < 16 << 20
+
+
+def test_encoding_keeps_null_and_empty_rows(spark):
+    rows = spark.createDataFrame([(1, ["lo", "w"]), (2, None), (3, [])], "k int, w array<string>")
+    got = {r["k"]: r["ids"] for r in rows.select("k", tokenizer.encode_words("w", [("l", "o</w>")]).alias("ids")).collect()}
+    names = tokenizer.vocabulary([("l", "o</w>")])
+    assert got == {1: [names["lo</w>"], names["w</w>"]], 2: None, 3: []}
