@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import html
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomframe.functions.arrays import bind
+
 # The CJK range and ASCII letters, and all Unicode white space.
 CJK = "一-龥"
 LATIN = "A-Za-z"
@@ -91,14 +93,74 @@ def validity(text) -> Column:
     return F.when(F.coalesce(_c(text), F.lit("")) == "", 0).otherwise(1)
 
 
-@F.pandas_udf(T.StringType())
-def unescape_twice(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else html.unescape(html.unescape(t)))
+def _entity(names: Mapping[str, str], name: Column) -> Column:
+    """Characters of an entity by its name, else null; names and characters are one constant each."""
+    known, chars = (F.split(F.lit("\1".join(x)), "\1") for x in (names.keys(), names.values()))
+    return F.get(chars, (F.array_position(known, name) - 1).cast("int"))
+
+
+def _character(point: Column) -> Column:
+    """The character that HTML reads for a number."""
+    low = F.array(*[F.lit(html.unescape(f"&#{n};")) for n in range(0xA0)])  # controls are read as Windows characters or dropped
+    return (
+        F.when((point > 0x10FFFF) | point.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+        .when(point < 0xA0, F.get(low, point.cast("int")))
+        .when(point.between(0xFDD0, 0xFDEF) | (point % 0x10000 >= 0xFFFE), F.lit(""))
+        .otherwise(F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
+    )
+
+
+def unescape(text) -> Column:
+    """Entities replaced as HTML reads them, by name or number, with or without a semicolon.
+
+    The text is cut at ampersands.  What a piece begins with is a number, else a whole name, else
+    the longest beginning that is known without a semicolon.
+    """
+    closed = {n: c for n, c in html5.items() if n.endswith(";")}
+    opened = {n: html5[n] for n in sorted(html5.keys() - closed.keys(), key=lambda n: (-len(n), n))}
+
+    def begin(p: Column, i: Column) -> Column:
+        number = F.regexp_extract(p, "^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0)
+        name = F.regexp_extract(F.substring(p, 1, 33), r"^[^\t\n\f <&#;]{1,32};", 0)
+        digits = F.regexp_extract(number, "^#[xX]?0*([0-9a-fA-F]*)", 1)
+        return F.struct(
+            i.alias("i"), p.alias("piece"), F.when(p.startswith("#"), number).otherwise(name).alias("taken"),
+            F.when(p.startswith("#"), F.substring(digits, 1, 8)).alias("digits"),  # eight are beyond the last character
+        )
+
+    def known(x: Column) -> Column:
+        point = F.when(x.digits == "", F.lit("0")).when(x.taken.rlike("^#[xX]"), F.conv(x.digits, 16, 10)).otherwise(x.digits)
+        return F.struct(
+            x.i.alias("i"), x.piece.alias("piece"), x.taken.alias("taken"),
+            F.when(x.taken.startswith("#"), point.cast("long")).alias("point"),
+            F.when(x.taken.endswith(";") & ~x.taken.startswith("#"), _entity(closed, x.taken)).alias("chars"),
+        )
+
+    def or_begun(x: Column) -> Column:
+        begun = F.regexp_extract(F.substring(x.piece, 1, 32), f"^(?:{'|'.join(opened)})", 0)
+        found = x.point.isNotNull() | x.chars.isNotNull()
+        return F.struct(
+            x.i.alias("i"), x.piece.alias("piece"), F.when(found, x.taken).otherwise(begun).alias("taken"),
+            x.point.alias("point"), x.chars.alias("chars"),
+        )
+
+    def replaced(x: Column) -> Column:
+        chars = F.coalesce(x.chars, _character(x.point), F.when(x.taken != "", _entity(opened, x.taken)), F.lit("&"))
+        rest = F.substring(x.piece, F.length(x.taken) + 1, F.length(x.piece))
+        return F.when(x.i == 0, x.piece).otherwise(F.concat(chars, rest))
+
+    def run(t: Column) -> Column:
+        pieces = F.transform(F.split(t, "&", -1), begin)
+        for step in (known, or_begun, replaced):
+            pieces = F.transform(pieces, step)
+        return F.when(F.contains(t, F.lit("&")), F.array_join(pieces, "")).otherwise(t)
+
+    return bind(_c(text), run)
 
 
 def clean(text) -> Column:
     """Unescape entities twice, collapse white space, trim, lower-case."""
-    plain = unescape_twice(_c(text))
+    plain = unescape(unescape(text))
     return F.lower(F.trim(F.regexp_replace(plain, f"[{BLANKS}]+", " ")))
 
 

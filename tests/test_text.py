@@ -1,6 +1,7 @@
 """Hand-worked text cases."""
 
 import html
+import html.entities
 import re
 import tracemalloc
 
@@ -84,6 +85,23 @@ def test_clean(spark):
     assert one(spark, value, text.clean("v").alias("c"))["c"] == want
 
 
+def test_entities_are_read_as_html_reads_them(spark):
+    values = [f"{before}&{n}{after}" for n in html.entities.html5 for before, after in (("", ""), ("a", "q; b"))]
+    numbers = [*range(0x102), 0xD7FF, 0xD800, 0xDFFF, 0xFDD0, 0xFDEF, 0xFFFE, 0x1F600, 0x10FFFF, 0x110000, 10**7, 10**30]
+    values += [f"&#{z}{n}{end}&#X{z}{n:x}{end}" for n in numbers for z in ("", "00") for end in (";", "z")]
+    values += ["", "&", "&&", "&;", "&#;", "&#x;", "&#xg", "&notit;", "& amp;", "&amp;amp;#38;lt;", "&" + "z" * 40 + ";", "é&日;😀&eacute😀"]
+    rows = spark.createDataFrame([(v,) for v in [*values, None]], "v string").repartition(8)
+    got = rows.select("v", text.unescape("v").alias("u")).collect()
+    assert len(got) == len(values) + 1
+    assert [(r["v"], r["u"]) for r in got if r["u"] != (None if r["v"] is None else html.unescape(r["v"]))] == []
+
+
+def test_cleaning_needs_no_python(spark):
+    """Before, whole batches of texts were Python strings, three times over."""
+    plan = spark.createDataFrame([("a",)], "v string").select(text.clean("v"))._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan
+
+
 def test_paths(spark):
     row = one(
         spark, "a/b/0123.x.png", paths.stem("v").alias("s"), paths.content_number("v").alias("n"),
